@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import source_mix
+from . import feistel_shards, simhash_dedup, source_mix
 
 
 def queries() -> dict:
     return {
+        "op4_feistel_shards": feistel_shards.op4_feistel_shards,
         "op8_source_mix": source_mix.op8_source_mix,
+        "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
     }
 
 
