@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import feistel_shards, simhash_dedup, source_mix
+from . import conflict_pack, feistel_shards, media_shards, simhash_dedup, source_mix
 
 
 def queries() -> dict:
     return {
         "op4_feistel_shards": feistel_shards.op4_feistel_shards,
+        "op7_conflict_pack": conflict_pack.op7_conflict_pack,
         "op8_source_mix": source_mix.op8_source_mix,
+        "op9_media_shards": media_shards.op9_media_shards,
         "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
     }
 
