@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import conflict_pack, feistel_shards, media_shards, simhash_dedup, source_mix, token_pack
+from . import conflict_pack, feistel_shards, grade_model, media_shards, simhash_dedup, source_mix, token_pack
 
 
 def queries() -> dict:
     return {
         "op2_token_pack": token_pack.op2_token_pack,
         "op4_feistel_shards": feistel_shards.op4_feistel_shards,
+        "op5_grade_model": grade_model.op5_grade_model,
         "op7_conflict_pack": conflict_pack.op7_conflict_pack,
         "op8_source_mix": source_mix.op8_source_mix,
         "op9_media_shards": media_shards.op9_media_shards,
