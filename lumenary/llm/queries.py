@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import conflict_pack, feistel_shards, grade_model, media_shards, simhash_dedup, source_mix, token_pack
+from . import conflict_pack, feistel_shards, grade_model, line_crf, media_shards, simhash_dedup, source_mix, token_pack
 
 
 def queries() -> dict:
     return {
         "op2_token_pack": token_pack.op2_token_pack,
+        "op3_line_crf": line_crf.op3_line_crf,
         "op4_feistel_shards": feistel_shards.op4_feistel_shards,
         "op5_grade_model": grade_model.op5_grade_model,
         "op7_conflict_pack": conflict_pack.op7_conflict_pack,

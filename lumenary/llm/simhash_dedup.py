@@ -213,12 +213,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> Data
 
 
 def near_unique(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One document of each group, with all its columns: of those with the group's smallest doc_id, the first by text."""
-    marked = fingerprints(docs, n, tuple(docs.columns))
-    groups = near_groups(materialize(marked.select("doc_id", "fp"), "prints"), bits)
-    chosen = marked.join(groups, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = W.partitionBy("root").orderBy(F.col("_row.text"))
-    return chosen.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("_row.*")
+    """One document of each group, with all its columns: of those with the group's smallest doc_id, the first by text hash."""
+    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    hashed = docs.select("doc_id", "text", key.alias("key"))
+    prints = materialize(fingerprints(hashed, n, ("key",)).select("doc_id", "fp", "_row.key"), "prints")
+    chosen = prints.join(near_groups(prints, bits), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = chosen.withColumn("_nth", F.row_number().over(W.partitionBy("root").orderBy("key"))).filter("_nth = 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    rows = docs.select("doc_id", F.struct("*").alias("_row"), key.alias("key")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
+    return rows.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "key").orderBy(F.lit(1)))).filter("_nth = 1").select("_row.*")
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:
