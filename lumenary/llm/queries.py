@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import conflict_pack, feistel_shards, grade_model, line_crf, media_shards, simhash_dedup, source_mix, token_pack
+from . import conflict_pack, feistel_shards, grade_model, line_crf, media_shards, ngram_trie, simhash_dedup, source_mix, token_pack
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_trie": ngram_trie.op1_ngram_trie,
         "op2_token_pack": token_pack.op2_token_pack,
         "op3_line_crf": line_crf.op3_line_crf,
         "op4_feistel_shards": feistel_shards.op4_feistel_shards,
