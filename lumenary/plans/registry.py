@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C, fixed, geometry as G
-from ..operators import relational as R
+from ..operators import pixels, relational as R
+
+from . import process
 
 _found: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -363,3 +365,44 @@ def subdomain_pick(spark, sf_dir):
 def last_writer(spark, sf_dir):
     rows = _table(spark, sf_dir, "part").select("p_partkey", C.output_path(F.concat("p_brand", F.lit(".png")))["path"].alias("output"))
     return R.last_writer(rows, "output", "p_partkey")
+
+
+# --- pixels
+
+
+def _resample_sql(kernel: str, n: int) -> str:
+    """Weights of the 64 -> n resampling as a list of lists; the sum goes in the order of the samples."""
+    rows = ", ".join("[" + ", ".join(repr(float(v)) + "::DOUBLE" if v else "0.0::DOUBLE" for v in row) + "]" for row in pixels.weights(64, n, kernel))
+    return f"""WITH w AS (SELECT [{rows}] AS m)
+SELECT vec_id, {n} AS n, round(list_sum(list_transform(range(1, {n} + 1), lambda k: k * list_dot_product(m[k], embedding::DOUBLE[]))), 5) AS moment,
+  round(list_dot_product(m[1], embedding::DOUBLE[]), 6) AS first, round(list_dot_product(m[{n}], embedding::DOUBLE[]), 6) AS last FROM embeddings, w"""
+
+
+def _resample(kernel: str):
+    def run(spark, sf_dir, n: int = 24):
+        rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(embedding, x -> cast(x AS double))").alias("v"))
+        m = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in pixels.weights(64, n, kernel)])
+        dot = lambda w: F.aggregate(F.zip_with(w, "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        rows = rows.select("vec_id", F.transform(m, dot).alias("r"))
+        moment = F.aggregate(F.transform("r", lambda x, k: x * (k + 1)), F.lit(0.0), lambda s, x: s + x)
+        return rows.select("vec_id", F.lit(n).alias("n"), F.round(moment, 5).alias("moment"), F.round(F.col("r")[0], 6).alias("first"), F.round(F.element_at("r", -1), 6).alias("last"))
+
+    run.__name__ = f"resample_1d_{kernel.replace('-', '_')}"
+    return run
+
+
+for _kernel in pixels.RADIUS:
+    _query(_resample_sql(_kernel, 24))(_resample(_kernel))
+
+
+@_query()
+def image_process(spark, sf_dir):
+    """Embeddings as 8 x 8 grey tiles, fitted, framed, captioned with their label and encoded; digests of the files."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    grey = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round((x + 0.6) * 210).cast("int"))))
+    image = F.struct(F.lit("").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(F.array_join(F.transform(grey, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")).alias("data"))
+    path = F.concat(F.lit("tiles/"), F.col("vec_id"), F.lit(".png"))
+    tiles = rows.select(F.col("vec_id").alias("ordinal"), path.alias("path"), C.output_path(path)["path"].alias("output"), F.concat(F.lit("N"), F.col("label")).alias("headline"), F.lit(None).cast("string").alias("error"), image.alias("image"))
+    job = process.check(process.Settings(size="96,64", frame=5, color="navy", label=True))
+    done = process.render_rows(tiles, job)
+    return done.select(F.col("ordinal").alias("vec_id"), "output", "in_w", "in_h", "out_w", "out_h", "error", F.length("data").alias("n_bytes"), F.md5("data").alias("md5"))
