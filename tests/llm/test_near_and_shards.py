@@ -55,9 +55,51 @@ def test_near_duplicates(odd_docs, odd_rows, no_docs, wide_docs):
         got = sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in D.near_duplicates(docs).collect())
         assert got == want
     assert D.near_duplicates(no_docs).count() == 0
+
+
+def wide(text):
+    return int.from_bytes(D.wide_fingerprint((text or "").encode(), 5), "big")
+
+
+def test_near_unique(spark, odd_rows, no_docs, wide_docs):
+    root = roots([wide(r[1]) for r in odd_rows], D.most_bits(0.8))
     kept = D.near_unique(wide_docs)
     assert kept.columns == wide_docs.columns and kept.count() == len(set(root))
     assert D.near_unique(no_docs).count() == 0
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert {1, 10} <= set(ids) and not {2, 3, 300} & set(ids)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_are_caught_and_others_left(spark):
+    rng, rows = random.Random(6), []
+    for k in range(60):
+        text = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
+        rows.append((10 * k, " ".join(text)))
+        for c in range(1, 4):  # c words changed: similarity 0.95, 0.9, 0.86
+            other = list(text)
+            for at in rng.sample(range(len(other)), c):
+                other[at] = f"x{rng.randint(0, 5000)}"
+            rows.append((10 * k + c, " ".join(other)))
+        half = text[:100] + [f"y{rng.randint(0, 5000)}" for _ in range(100)]
+        rows.append((10 * k + 9, " ".join(half)))
+    kept = {r["doc_id"] for r in D.near_unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert {10 * k for k in range(60)} | {10 * k + 9 for k in range(60)} <= kept
+    missed = [d for d in kept if d % 10 in (1, 2, 3) and jaccard(texts[d], texts[d - d % 10]) >= 0.85]
+    assert len(missed) <= 2
+
+
+def test_a_long_posting_gives_a_spanning_forest():
+    rng = np.random.default_rng(8)
+    seeds = rng.integers(0, 2**63, (3, D.WIDE)).astype(np.uint64)
+    prints = np.concatenate([s ^ np.concatenate([np.zeros((1, D.WIDE), np.uint64), np.uint64(1) << rng.integers(0, 64, (200, D.WIDE)).astype(np.uint64)]) for s in seeds])
+    edges = D._wide_run(prints, 41)
+    assert sorted(len(a) for a, _ in edges) == [200, 200, 200] and all((b == b[0]).all() for _, b in edges)
 
 
 @pytest.mark.parametrize("long,count", [(4096, 300), (20, 300)])

@@ -1,10 +1,10 @@
 import collections
 
 import corpus_pipeline
-from lumenary.llm import grade_model, line_crf, queries
+from lumenary.llm import grade_model, line_crf, queries, simhash_dedup
 from lumenary.llm.conflict_pack import CAPACITY, SLOTS
 
-from .test_near_and_shards import fingerprint, roots
+from .test_near_and_shards import roots, wide
 
 
 def test_stages_on_odd_rows(spark, wide_docs, odd_docs, no_docs, tmp_path, labels, sf_dir):
@@ -28,7 +28,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     rows = sorted((r["doc_id"], r["text"], r["source"]) for r in docs.collect())
     good = [r for r in rows if model.tails([model.latent(r[1].encode())])[0, -1] >= 0.5]
     clean = [r for r in good if line_crf.judge(r[1].encode(), chain)[-1]]
-    root = roots([fingerprint(r[1]) for r in clean])
+    root = roots([wide(r[1]) for r in clean], simhash_dedup.most_bits(0.8))
     single = [r for k, r in enumerate(clean) if root[k] == k]
     assert 0 < len(single) < len(clean) < len(good) < len(rows)
 
