@@ -87,8 +87,24 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _category(v: int) -> int:
-    return abs(v).bit_length()
+def _categories(v: np.ndarray) -> np.ndarray:
+    """Bits of each magnitude."""
+    return np.where(v == 0, 0, np.frexp(np.abs(v).astype(float))[1]).astype(np.int64)
+
+
+def _extra(v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bits that follow a category: negative values less one, in `size` bits."""
+    return np.where(v >= 0, v, v + (1 << size) - 1)
+
+
+def _pack(value: np.ndarray, length: np.ndarray) -> bytes:
+    """The values' lowest bits side by side, filled up with ones."""
+    ends = np.cumsum(length)
+    total = int(ends[-1])
+    at = np.arange(total) - np.repeat(ends - length, length)
+    bits = np.ones(-(-total // 8) * 8, np.uint8)
+    bits[:total] = np.repeat(value, length) >> (np.repeat(length, length) - 1 - at) & 1
+    return np.packbits(bits).tobytes()
 
 
 def jpeg(image: np.ndarray, quality: int = 92) -> bytes:
@@ -109,34 +125,39 @@ def jpeg(image: np.ndarray, quality: int = 92) -> bytes:
         cells = p.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).transpose(0, 2, 1, 3)
         q = np.rint(m @ cells @ m.T / tables[min(k, 1)]).astype(int)
         blocks.append(q.reshape(-1, 64)[:, order])
-    symbols: list[tuple[int, int, int, int]] = []  # table, symbol, extra bits, their number
-    counts = [dict(), dict(), dict(), dict()]
-    last = [0] * len(planes)
-    for n in range(len(blocks[0])):
-        for k in range(len(planes)):
-            row = blocks[k][n]
-            diff = int(row[0]) - last[k]
-            last[k] = int(row[0])
-            t, size = 2 * min(k, 1), _category(diff)
-            symbols.append((t, size, diff if diff >= 0 else diff + (1 << size) - 1, size))
-            at = 0
-            for j in np.flatnonzero(row[1:]) + 1:
-                run = int(j) - at - 1
-                while run > 15:
-                    symbols.append((t + 1, 0xF0, 0, 0))
-                    run -= 16
-                v = int(row[j])
-                size = _category(v)
-                symbols.append((t + 1, run << 4 | size, v if v >= 0 else v + (1 << size) - 1, size))
-                at = int(j)
-            if at < 63:
-                symbols.append((t + 1, 0, 0, 0))
-    for t, s, _, _ in symbols:
-        counts[t][s] = counts[t].get(s, 0) + 1
-    codes = [_huffman(x) if x else {} for x in counts]
-    bits = "".join(f"{codes[t][s][0]:0{codes[t][s][1]}b}" + (f"{extra:0{n}b}" if n else "") for t, s, extra, n in symbols)
-    bits += "1" * (-len(bits) % 8)
-    data = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    n = len(planes)
+    rows = np.stack(blocks, 1).reshape(-1, 64)  # in scan order: a block of each plane in turn
+    kind = np.tile(np.minimum(np.arange(n), 1), len(blocks[0])) * 2  # its table for the first coefficient; the next one is for the rest
+    first = np.concatenate([np.diff(x[:, 0], prepend=0)[:, None] for x in blocks], 1).reshape(-1)
+    at, j = np.nonzero(rows[:, 1:])
+    value = rows[at, j + 1]
+    run = np.diff(j, prepend=-1) - 1
+    begins = np.diff(at, prepend=-1) > 0
+    run[begins] = j[begins]
+    long = run >> 4  # runs of sixteen, said on their own
+    size, size0 = _categories(value), _categories(first)
+    many = np.arange(len(rows))
+    whole = np.zeros(len(rows), bool)
+    whole[at[j == 62]] = True
+    ends = many[~whole]
+    zeros = np.repeat(np.arange(len(at)), long)
+    none = np.zeros(len(zeros), np.int64)
+    # (place in the scan, table, symbol, extra bits, their number)
+    place = np.concatenate([many * 130, at[zeros] * 130 + 2 * j[zeros] + 1, at * 130 + 2 * j + 2, ends * 130 + 129])
+    table = np.concatenate([kind, kind[at[zeros]] + 1, kind[at] + 1, kind[ends] + 1])
+    symbol = np.concatenate([size0, none + 0xF0, (run & 15) << 4 | size, np.zeros(len(ends), np.int64)])
+    extra = np.concatenate([_extra(first, size0), none, _extra(value, size), np.zeros(len(ends), np.int64)])
+    width = np.concatenate([size0, none, size, np.zeros(len(ends), np.int64)])
+    order_of = np.argsort(place, kind="stable")
+    table, symbol, extra, width = table[order_of], symbol[order_of], extra[order_of], width[order_of]
+    counts = np.bincount(table * 256 + symbol, minlength=1024).reshape(4, 256)
+    codes = [_huffman({int(s): int(c) for s, c in enumerate(x) if c}) if x.any() else {} for x in counts]
+    code, length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+    for t, x in enumerate(codes):
+        for sym, (c, size_) in x.items():
+            code[256 * t + sym], length[256 * t + sym] = c, size_
+    key = table * 256 + symbol
+    data = _pack(code[key] << width | extra, length[key] + width).replace(b"\xff", b"\xff\x00")
     out = b"\xff\xd8" + _segment(0xE0, b"JFIF\0" + struct.pack(">BBBHHBB", 1, 1, 0, 1, 1, 0, 0))
     used = min(2, len(planes))
     for k in range(used):
