@@ -29,6 +29,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import materialize
+
 HOSTS_AT_ONCE, SALTS, LONGEST = 2_000, 16, 8
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
@@ -354,7 +356,7 @@ def host_regions(pages: DataFrame) -> DataFrame:
                     yield send()
         yield send()
 
-    def whole(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = None
         for w in sorted(rows["wrapper"]):
             out = json.loads(w) if out is None else align(out, json.loads(w))
@@ -366,7 +368,8 @@ def host_regions(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row with page_id, url, html."""
     rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    regions = host_regions(rows).select("host", "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # written first, so that its size is known: small enough, it is broadcast and no page moves; else hot hosts are salted
+    regions = materialize(host_regions(rows), "wrappers").select("host", "region").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     @F.pandas_udf("string")
     def read(html: pd.Series, region: pd.Series) -> pd.Series:
