@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import pick, words
 
-WORDS, SAMPLE, GRADES, KEEP = 1 << 18, 16_000, 3, 0.5
+WORDS, SAMPLE, GRADES, KEEP = 1 << 18, 16_000, 3, 0.4
 SIZE, STAT_VALUE, BEGIN = WORDS + 128, 4.0, 4
 #: Bytes that are stripped off words; symbols; letters.
 MARKS = b".,;:!?\"'()[]{}#*$%&|<>-_"
@@ -97,44 +97,54 @@ class GradeModel:
         self.weights, self.thresholds, self.known = weights, thresholds, _Known(weights)
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], grades: list[int], n_grades: int = GRADES, epochs: int = 12, batch: int = 256, rate: float = 0.3, l1: float = 5e-4, seed: int = 7) -> GradeModel:
-        """Minibatch AdaGrad on the cumulative-link likelihood, L1-shrunk; thresholds stay in order by way of log gaps."""
+    def fit(cls, rows: list[np.ndarray], grades: list[int], n_grades: int = GRADES, steps: int = 1000, batch: int = 256, rate: float = 0.3, l1: float = 5e-4, seed: int = 7) -> GradeModel:
+        """Minibatch AdaGrad on the cumulative-link likelihood, L1-shrunk, for so many steps whatever the sample;
+        thresholds stay in order by way of log gaps. Features of one document alone are left at 0."""
         y = np.asarray(grades, np.int64)
         if not len(y) or len(set(grades)) < 2:
             return cls(np.zeros(SIZE), np.full(n_grades - 1, -np.inf))
-        w, w2 = np.zeros(SIZE), np.full(SIZE, 1e-2)
+        in_docs = np.bincount(np.concatenate(rows), minlength=SIZE)
+        used = np.flatnonzero(in_docs > 1)
+        local = np.full(SIZE, -1, np.int32)
+        local[used] = np.arange(len(used))
+        rows = [x[x >= 0] for x in (local[r] for r in rows)]
+        scale = np.where(used < WORDS, 1.0, STAT_VALUE)
+        w, w2 = np.zeros(len(used)), np.full(len(used), 1e-2)
         share = np.clip(np.cumsum(np.bincount(y, minlength=n_grades))[:-1] / len(y), 1e-3, 1 - 1e-3)
         start = np.log(share / (1 - share))
         t = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])  # first threshold, log gaps
         t2 = np.full(len(t), 1e-8)
         rng = np.random.default_rng(seed)
         sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -35, 35)))
-        for epoch in range(epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(order), batch):
-                own = order[at : at + batch]
-                sizes = np.array([len(rows[k]) for k in own])
-                ids = np.concatenate([rows[k] for k in own])
-                row = np.repeat(np.arange(len(own)), sizes)
-                value = np.where(ids < WORDS, 1.0, STAT_VALUE)
-                z = np.bincount(row, w[ids] * value, len(own))
-                theta = np.concatenate([[-np.inf], np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])), [np.inf]])
-                hi, lo = theta[y[own] + 1], theta[y[own]]
-                s_hi, s_lo = np.where(np.isinf(hi), 1.0, sigmoid(hi - z)), np.where(np.isinf(lo), 0.0, sigmoid(lo - z))
-                p = np.maximum(s_hi - s_lo, 1e-9)
-                d_hi, d_lo = s_hi * (1 - s_hi) / p, s_lo * (1 - s_lo) / p
-                gz = (d_hi - d_lo) / len(own)  # of -log p by z
-                g = np.bincount(ids, gz[row] * value, SIZE)
-                hit = np.unique(ids)
-                w2[hit] += g[hit] ** 2
-                step = rate / np.sqrt(w2[hit])
-                moved = w[hit] - step * g[hit]
-                w[hit] = np.sign(moved) * np.maximum(0, np.abs(moved) - step * l1)
-                by_theta = np.bincount(y[own], -d_hi / len(own), n_grades)[:-1] + np.bincount(y[own], d_lo / len(own), n_grades)[1:]
-                gt = np.array([by_theta.sum(), *(by_theta[k:].sum() * np.exp(t[k]) for k in range(1, len(t)))])
-                t2 += gt**2
-                t -= 0.05 / np.sqrt(t2) * gt
-        return cls(w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])))
+        order = np.empty(0, np.int64)
+        for _ in range(steps):
+            if len(order) < min(batch, len(y)):
+                order = np.concatenate([order, rng.permutation(len(y))])
+            own, order = order[:batch], order[batch:]
+            sizes = np.array([len(rows[k]) for k in own])
+            ids = np.concatenate([rows[k] for k in own])
+            row = np.repeat(np.arange(len(own)), sizes)
+            value = scale[ids]
+            z = np.bincount(row, w[ids] * value, len(own))
+            theta = np.concatenate([[-np.inf], np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])), [np.inf]])
+            hi, lo = theta[y[own] + 1], theta[y[own]]
+            s_hi, s_lo = np.where(np.isinf(hi), 1.0, sigmoid(hi - z)), np.where(np.isinf(lo), 0.0, sigmoid(lo - z))
+            p = np.maximum(s_hi - s_lo, 1e-9)
+            d_hi, d_lo = s_hi * (1 - s_hi) / p, s_lo * (1 - s_lo) / p
+            gz = (d_hi - d_lo) / len(own)  # of -log p by z
+            g = np.bincount(ids, gz[row] * value, len(used))
+            hit = np.flatnonzero(np.bincount(ids, minlength=len(used)))
+            w2[hit] += g[hit] ** 2
+            step = rate / np.sqrt(w2[hit])
+            moved = w[hit] - step * g[hit]
+            w[hit] = np.sign(moved) * np.maximum(0, np.abs(moved) - step * l1)
+            by_theta = np.bincount(y[own], -d_hi / len(own), n_grades)[:-1] + np.bincount(y[own], d_lo / len(own), n_grades)[1:]
+            gt = np.array([by_theta.sum(), *(by_theta[k:].sum() * np.exp(t[k]) for k in range(1, len(t)))])
+            t2 += gt**2
+            t -= 0.05 / np.sqrt(t2) * gt
+        weights = np.zeros(SIZE)
+        weights[used] = w
+        return cls(weights, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])))
 
     def latent(self, text: bytes | None) -> float:
         found = words(text)

@@ -26,7 +26,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model, chain = grade_model.fit_model(docs, labels), line_crf.fit_chain(docs, labels)
     rows = sorted((r["doc_id"], r["text"], r["source"]) for r in docs.collect())
-    good = [r for r in rows if model.tails([model.latent(r[1].encode())])[0, -1] >= 0.5]
+    good = [r for r in rows if model.tails([model.latent(r[1].encode())])[0, -1] >= grade_model.KEEP]
     clean = [r for r in good if line_crf.judge(r[1].encode(), chain)[-1]]
     root = roots([wide(r[1]) for r in clean], simhash_dedup.most_bits(0.8))
     single = [r for k, r in enumerate(clean) if root[k] == k]

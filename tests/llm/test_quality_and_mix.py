@@ -37,7 +37,7 @@ def test_grades_are_learned_in_order():
     assert (np.diff(model.thresholds) > 0).all()
     z = np.array([model.latent(t.encode()) for t, _ in rows[600:]])
     grades, tails = np.array([g for _, g in rows[600:]]), model.tails(z)
-    assert ((tails[:, -1] >= 0.5) == (grades == 2)).mean() > 0.97
+    assert ((tails[:, -1] >= Q.KEEP) == (grades == 2)).mean() > 0.97
     means = [tails.sum(1)[grades == g].mean() for g in range(3)]
     assert means[0] < means[1] < means[2] and (tails[:, 0] >= tails[:, 1]).all()
     value = lambda ids: (model.weights[ids] * np.where(ids < Q.WORDS, 1, Q.STAT_VALUE)).sum()
@@ -60,7 +60,7 @@ def test_grade_odd_documents(spark, odd_docs, odd_rows, wide_docs, no_docs, labe
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = Q.fit_model(odd_docs, labels)
     rows = Q.grade_documents(odd_docs, model).collect()
-    assert len(rows) == len(odd_rows) and all(0 <= r["tail_good"] <= 1 and 0 <= r["expected_grade"] <= 2 and r["kept"] == (r["tail_good"] >= 0.5) for r in rows)
+    assert len(rows) == len(odd_rows) and all(0 <= r["tail_good"] <= 1 and 0 <= r["expected_grade"] <= 2 and r["kept"] == (r["tail_good"] >= Q.KEEP) for r in rows)
     assert Q.good_documents(wide_docs, labels).columns == wide_docs.columns
     assert Q.good_documents(odd_docs, empty).count() == len(odd_rows)
     assert Q.good_documents(no_docs, labels).count() == 0 and Q.good_documents(no_docs, empty).count() == 0
