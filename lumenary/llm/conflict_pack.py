@@ -7,10 +7,11 @@ duplicate clusters (one bit: no two pieces of a cluster share a bin). From the p
 successor search goes to the next larger residual until it meets the tightest compatible bin; if there is
 none, a bin is opened.
 
-Bins of one residual are kept by what they hold of sources and of clusters with many pieces, so a hot
-source or a large group of copies is ruled out once for each such class and not bin by bin.
+Bins of one residual are kept by what they hold of sources and of the HOT largest clusters, so a hot
+source or a large group of copies is ruled out once for each such class and not bin by bin. The bitmap of other
+clusters is sparse: the set of its bits, and clusters of one piece need none.
 
-Windows: a task packs what it streams in windows of `window` words, so memory is bounded, nothing is
+Windows: a task packs what it streams in windows of `window` words or MOST_DOCS documents, so memory is bounded, nothing is
 shuffled, and only the last bins of a window are not full. A cluster's pieces in different windows can't
 meet in a bin.
 
@@ -31,26 +32,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import words
 
-CAPACITY, SLOTS, WINDOW, MANY = 2048, 2, 8_000_000, 8
+CAPACITY, SLOTS, WINDOW, MOST_DOCS, MANY, HOT = 2048, 2, 8_000_000, 200_000, 8, 64
 
 
 class Bins:
     """Open bins ordered by residual room; place() puts a piece into the tightest compatible one."""
 
-    def __init__(self, capacity: int, slots: int = SLOTS, hot: frozenset = frozenset()):
-        self.capacity, self.slots, self.hot = capacity, slots, {c: 1 << k for k, c in enumerate(hot)}
+    def __init__(self, capacity: int, slots: int = SLOTS, hot: list = (), single: set = frozenset()):
+        self.capacity, self.slots, self.hot, self.single = capacity, slots, {c: 1 << k for k, c in enumerate(hot)}, single
         self.filled = 0  # bit r: some bin has residual r
         self.at: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(dict)  # residual -> (sources, hot clusters) -> bins
         self.source_bit: dict = {}
-        self.cluster_bit: dict = {}
-        self.clusters: list[int] = []  # of each bin, the bitmap of its clusters that aren't hot
+        self.clusters: list[set] = []  # of each bin, the bits of its clusters that aren't hot
         self.room: list[int] = []
 
     def place(self, size: int, source, cluster) -> int:
         first = self.source_bit.setdefault(source, len(self.source_bit)) * self.slots
         full = ((1 << self.slots) - 1) << first
         warm = self.hot.get(cluster, 0)
-        cold = 0 if warm else 1 << self.cluster_bit.setdefault(cluster, len(self.cluster_bit))
+        cold = None if warm or cluster in self.single else cluster
         larger = self.filled >> size << size
         while larger:
             residual = (larger & -larger).bit_length() - 1  # the successor
@@ -59,7 +59,7 @@ class Bins:
                 if sources & full == full or held & warm:
                     continue
                 for k in range(len(bins) - 1, -1, -1):
-                    if not self.clusters[bins[k]] & cold:
+                    if cold is None or cold not in self.clusters[bins[k]]:
                         found = bins.pop(k)
                         if not bins:
                             del kinds[sources, held]
@@ -67,15 +67,16 @@ class Bins:
                                 self.filled &= ~(1 << residual)
                         return self._keep(found, residual - size, sources, held, first, warm, cold)
             larger &= larger - 1
-        self.clusters.append(0)
+        self.clusters.append(set())
         self.room.append(self.capacity)
         return self._keep(len(self.room) - 1, self.capacity - size, 0, 0, first, warm, cold)
 
-    def _keep(self, bin_: int, residual: int, sources: int, held: int, first: int, warm: int, cold: int) -> int:
+    def _keep(self, bin_: int, residual: int, sources: int, held: int, first: int, warm: int, cold) -> int:
         used = sources >> first & ((1 << self.slots) - 1)
         sources |= (used + 1 & ~used) << first  # the lowest free bit of the source
         self.room[bin_] = residual
-        self.clusters[bin_] |= cold
+        if cold is not None:
+            self.clusters[bin_].add(cold)
         if residual:
             self.at[residual].setdefault((sources, held | warm), []).append(bin_)
             self.filled |= 1 << residual
@@ -91,8 +92,9 @@ def pack_window(docs: list[tuple], capacity: int = CAPACITY, slots: int = SLOTS)
     """From (doc_id, units, source, cluster): a row for each piece:
     (doc_id, piece, pieces, start, units, source, cluster, bin, offset), bins numbered from 0."""
     cut = [(doc_id, k, s, n, source, cluster, len(own)) for doc_id, units, source, cluster in docs for own in [pieces(units, capacity)] for k, (s, n) in enumerate(own)]
-    many = frozenset(c for c, n in Counter(x[5] for x in cut).items() if n >= MANY)
-    bins, fill, out = Bins(capacity, slots, many), Counter(), []
+    times = Counter(x[5] for x in cut)
+    bins = Bins(capacity, slots, [c for c, n in times.most_common(HOT) if n >= MANY], {c for c, n in times.items() if n == 1})
+    fill, out = Counter(), []
     for doc_id, k, start, units, source, cluster, n in sorted(cut, key=lambda x: -x[3]):
         b = bins.place(units, source, cluster)
         out.append((doc_id, k, n, start, units, source, cluster, b, fill[b]))
@@ -121,7 +123,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slots: int = SLOTS, window:
             for doc_id, text, source, group in zip(*(c.to_pylist() for c in batch.columns)):
                 units = len(words(text)) + 1
                 group = group if group is not None else hashlib.md5(text or b"").hexdigest()
-                if held and total + units > window:
+                if held and (total + units > window or len(held) >= MOST_DOCS):
                     yield from packed()
                     held, total, nth = [], 0, nth + 1
                 held.append((doc_id, units, source, group))

@@ -17,8 +17,6 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-import io
-import os
 import struct
 import tarfile
 import uuid
@@ -32,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, shared_path
 
-WIDTH, LEVEL, SHARD_BYTES = 192, 5, 256 << 20
+WIDTH, LEVEL, SHARD_BYTES, SHARD_ROWS = 192, 5, 256 << 20, 200_000
 HEADER = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 INDEX = "digest string, shard string, offset long, length long"
@@ -142,17 +140,27 @@ def store_payloads(docs: DataFrame, folder: str, limit: int = SHARD_BYTES) -> Da
 
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        writer, ids, rows = ShardWriter(folder, f"part-{TaskContext.get().partitionId():06d}", limit), [], []
+        writer, rows = ShardWriter(folder, f"part-{TaskContext.get().partitionId():06d}", limit), []
+
+        def send():
+            """Rows go out when the shards that they point at are complete."""
+            writer.close()
+            for at in range(0, len(rows), 10_000):
+                cols = list(zip(*rows[at : at + 10_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+            rows.clear()
+            if len(writer.known) > 1_000_000:
+                writer.known.clear()
+
         for batch in batches:
             for doc_id, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = payload.as_py() or b""
                 data = to_png(pad(raw))
                 digest = hashlib.sha256(data).hexdigest()
                 rows.append((doc_id, len(raw), digest, *writer.add(digest, data)))
-        writer.close()  # rows go out when all shards of the task are complete
-        for at in range(0, len(rows), 10_000):
-            cols = list(zip(*rows[at : at + 10_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+                if len(rows) >= SHARD_ROWS:
+                    yield from send()
+        yield from send()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "payload").mapInArrow(write, f"doc_id long, n_bytes long, {INDEX}")
 

@@ -8,7 +8,7 @@ log(length) steps. A packed row is a fixed-length vector of ids, padded at its e
 where its segments end (with 0 first) and `resets` the places where positions start again from 0.
 `unpack` gives the documents' ids back; `write_matrices` writes the id matrices as raw little-endian files.
 
-Windows: a task packs what it streams in windows of `window` tokens, so memory is bounded and nothing is
+Windows: a task packs what it streams in windows of `window` tokens or MOST_DOCS documents, so memory is bounded and nothing is
 shuffled; only a window's last rows are not full.
 
 Nulls: a null or empty text is the end token alone; null doc_ids are kept as nulls. Empty table: empty
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-FOLDER, VOCABULARY, LENGTH, WINDOW, END = "/opt/tokenizers", "byte_bpe_50k.tiktoken", 2048, 8_000_000, 50256
+FOLDER, VOCABULARY, LENGTH, WINDOW, MOST_DOCS, END = "/opt/tokenizers", "byte_bpe_50k.tiktoken", 2048, 8_000_000, 200_000, 50256
 #: The vocabulary's own splitting rule.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "row_id string, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, resets array<int>, n_tokens int, ids binary"
@@ -153,7 +153,7 @@ def pack_tokens(docs: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABUL
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.concatenate([encoder.encode(text.as_py() or ""), last])
-                if held and total + len(ids) > window:
+                if held and (total + len(ids) > window or len(held) >= MOST_DOCS):
                     yield from packed()
                     held, total, nth = [], 0, nth + 1
                 held.append((doc_id, ids))
