@@ -5,16 +5,20 @@ down to unigrams of classes: the VOCABULARY most frequent training words (a docu
 bytes), the end, and one class of all other words, inside which a word has probability
 (c + 1) / (C + V + 1) by its exact training count. So every word counts and is scored.
 
-A trie holds the n-grams whose middle word it owns. Levels: middle words; their successors (bigrams);
-contexts (the word before a middle word); and trigrams, each stored as the rank of its last word among
-the middle word's successors, so that a small number stands for the word. All are Elias-Fano sequences with monotone
+The back-off from (before, middle) goes to (class of before, middle): a middle word with up to SPREAD
+training tokens has one class, so this is its bigram; more frequent ones have as many classes (by the last bits of the
+id of the word before, powers of two) as leave about SPREAD tokens in each.
+
+A trie holds the n-grams of the nodes (class, middle) that it owns. Levels: nodes; their successors;
+contexts (the word before); and trigrams, each stored as the rank of its last word among
+the node's successors, so that a small number stands for the word. All are Elias-Fano sequences with monotone
 pointers between levels; probabilities and back-off weights are 16-bit codes of STEP of a decade. A trie is one
-file that is memory-mapped; a query is a successor search in the middle word's range, then one for the rank in the
+file that is memory-mapped; a query is a successor search in the node's range, then one for the rank in the
 context's range.
 
-Scale: one pass sends each token's n-gram to the shard of its middle word, in sorted and compressed
-blocks; a middle word with a large share of all tokens is spread by the word before it, and its shards all get its
-(pre-summed) bigram counts. A shard counts its training n-grams, builds its trie and scores its tokens;
+Scale: one pass sends each token's n-gram to the shard of its node, in sorted and compressed blocks. Classes keep
+nodes small, so a word with a third of all tokens spreads over many shards; one pair of words (the start of
+documents is one) stays together. A shard counts its training n-grams, builds its trie and scores its tokens;
 sums go back to the block they came from. The vocabulary alone is held by every task. No corpus-sized
 table reaches the driver, and results do not depend on the number of shards, save for the order of sums of doubles.
 
@@ -42,7 +46,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize, words
 from .elias_fano import EliasFano
 
-VOCABULARY, DISCOUNT, STEP, SHARD_TOKENS, BLOCK_TOKENS, BLOCK_DOCS = 65_533, 0.75, 1024, 2_000_000, 1_500_000, 30_000
+VOCABULARY, DISCOUNT, STEP, SHARD_TOKENS, SPREAD, BLOCK_TOKENS, BLOCK_DOCS = 65_533, 0.75, 1024, 1_000_000, 250_000, 800_000, 30_000
 START, END, OTHER, FIRST = 0, 1, 2, 3
 FOLDS, HELD = 7, 2
 
@@ -56,6 +60,28 @@ def code(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-np.log10(p) * STEP), 65535).astype(np.uint16)
 
 
+#: Sixteen bits in reverse order, so that classes by the last bits of an id are ranges.
+_BYTES = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1).reshape(-1).astype(np.uint16)
+
+
+def reverse16(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint16)
+    return _BYTES[x & np.uint16(255)] << np.uint16(8) | _BYTES[x >> np.uint16(8)]
+
+
+def keys_of(before: np.ndarray, middle: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """middle << 32 | reversed before << 16 | word: sorted, the n-grams of a node are side by side."""
+    return middle.astype(np.uint64) << np.uint64(32) | reverse16(before).astype(np.uint64) << np.uint64(16) | word.astype(np.uint64)
+
+
+def nodes_of(keys: np.ndarray, class_bits: np.ndarray) -> np.ndarray:
+    """The nodes of keys: the middle word, and as many bits of the reversed word before as its classes take."""
+    middle = keys >> np.uint64(32)
+    cut = (16 - class_bits[middle.astype(np.int64)]).astype(np.uint64)
+    before = keys >> np.uint64(16) & np.uint64(65535)
+    return middle << np.uint64(16) | before >> cut << cut
+
+
 class Trie:
     """Levels of a trigram trie; see the module's note. Ids are below 65536."""
 
@@ -66,33 +92,33 @@ class Trie:
         self.unigram = unigram
 
     @classmethod
-    def build(cls, thirds: tuple[np.ndarray, np.ndarray], nexts: tuple[np.ndarray, np.ndarray], unigram: np.ndarray, p1: np.ndarray) -> Trie:
-        """thirds: sorted distinct keys middle << 32 | before << 16 | word, and counts; nexts: keys middle << 16 | word, and counts.
-        p1: class probabilities; unigram: their codes."""
-        (k3, c3), (k2, c2) = thirds, nexts
-        mid2, word2 = (k2 >> np.uint64(16)).astype(np.int64), (k2 & np.uint64(65535)).astype(np.int64)
-        middles, at2, kinds2 = np.unique(mid2, return_index=True, return_counts=True)
+    def build(cls, keys: np.ndarray, counts: np.ndarray, class_bits: np.ndarray, unigram: np.ndarray, p1: np.ndarray) -> Trie:
+        """From sorted distinct keys (see keys_of) and their counts. p1: class probabilities; unigram: their codes."""
+        nodes = nodes_of(keys, class_bits)
+        key2, of = np.unique(nodes << np.uint64(16) | keys & np.uint64(65535), return_inverse=True)
+        count2 = np.bincount(of, counts, len(key2))
+        node2, word2 = (key2 >> np.uint64(16)).astype(np.int64), (key2 & np.uint64(65535)).astype(np.int64)
+        middles, at2, kinds2 = np.unique(node2, return_index=True, return_counts=True)
         of2 = np.repeat(np.arange(len(middles)), kinds2)
-        total2 = np.add.reduceat(c2, at2) if len(c2) else np.zeros(0)
+        total2 = np.add.reduceat(count2, at2) if len(count2) else np.zeros(0)
         back2 = DISCOUNT * kinds2 / np.maximum(total2, 1)
-        prob2 = np.maximum(c2 - DISCOUNT, 0) / total2[of2] + back2[of2] * p1[word2]
-        start2 = np.concatenate([at2, [len(k2)]])
-        pair, at3, kinds3 = np.unique(k3 >> np.uint64(16), return_index=True, return_counts=True)
+        prob2 = np.maximum(count2 - DISCOUNT, 0) / total2[of2] + back2[of2] * p1[word2]
+        start2 = np.concatenate([at2, [len(key2)]])
+        pair, at3, kinds3 = np.unique(keys >> np.uint64(16), return_index=True, return_counts=True)
         of3 = np.repeat(np.arange(len(pair)), kinds3)
-        node = np.searchsorted(middles, (pair >> np.uint64(16)).astype(np.int64))
-        total3 = np.add.reduceat(c3, at3) if len(c3) else np.zeros(0)
+        node = np.searchsorted(middles, nodes[at3].astype(np.int64))
+        total3 = np.add.reduceat(counts, at3) if len(counts) else np.zeros(0)
         back3 = DISCOUNT * kinds3 / np.maximum(total3, 1)
-        place2 = np.searchsorted(k2, k3 >> np.uint64(32) << np.uint64(16) | k3 & np.uint64(65535))
-        prob3 = np.maximum(c3 - DISCOUNT, 0) / total3[of3] + back3[of3] * prob2[place2]
+        prob3 = np.maximum(counts - DISCOUNT, 0) / total3[of3] + back3[of3] * prob2[of]
         base = np.concatenate([[0], np.cumsum(kinds2[node])]).astype(np.int64)
-        rank = place2 - start2[node][of3]
+        rank = of - start2[node][of3]
         make = EliasFano.build
         return cls({
-            "middle": make(middles, 65536),
-            "next_start": make(start2, len(k2) + 1),
+            "middle": make(middles, 1 << 32),
+            "next_start": make(start2, len(key2) + 1),
             "next": make(of2 * 65536 + word2, len(middles) * 65536),
             "context": make(node * 65536 + (pair & np.uint64(65535)).astype(np.int64), len(middles) * 65536),
-            "third_start": make(np.concatenate([at3, [len(k3)]]), len(k3) + 1),
+            "third_start": make(np.concatenate([at3, [len(keys)]]), len(keys) + 1),
             "third_base": make(base, int(base[-1]) + 1),
             "third": make(base[of3] + rank, int(base[-1])),
             "p2": code(prob2), "b2": code(back2), "p3": code(prob3), "b3": code(back3),
@@ -119,11 +145,11 @@ class Trie:
         take = lambda n: np.frombuffer(held, np.dtype(where[n][1]), where[n][2], start + where[n][0])
         return cls({n: EliasFano.of({k: take(f"{n}.{k}") for k in ("meta", "low", "high", "ones")}) for n in cls.SEQUENCES} | {n: take(n) for n in cls.CODES}, take("unigram"))
 
-    def query(self, keys: np.ndarray) -> np.ndarray:
-        """Codes (negative logs, as int64) of the sorted keys middle << 32 | before << 16 | word."""
+    def query(self, keys: np.ndarray, class_bits: np.ndarray) -> np.ndarray:
+        """Codes (negative logs, as int64) of the sorted keys."""
         word = (keys & np.uint64(65535)).astype(np.int64)
         pairs, of_pair = np.unique(keys >> np.uint64(16), return_inverse=True)
-        mids, of_mid = np.unique(pairs >> np.uint64(16), return_inverse=True)
+        mids, of_mid = np.unique(nodes_of(pairs << np.uint64(16), class_bits), return_inverse=True)
         node_of = self.middle.find(mids.astype(np.int64))
         start = np.where(node_of >= 0, self.next_start.access(np.maximum(node_of, 0)), 0)
         pair_node = node_of[of_mid]
@@ -165,7 +191,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 if not held_out(doc_id):
                     counts.update(words(text.as_py(), lower=True))
                     n += 1
-            if len(counts) > 600_000:
+            if len(counts) > 400_000:
                 yield from send()
                 counts.clear()
         yield from send()
@@ -193,17 +219,15 @@ class Vocabulary:
         top = counts.filter("word IS NOT NULL").orderBy(F.desc("c"), "word").limit(size).collect()
         return cls([(bytes(r["word"]), r["c"]) for r in top], n_docs or 0, n_words or 0, n_distinct)
 
-    def spreads(self, shards: int) -> np.ndarray:
-        """For each id, over how many shards its n-grams as a middle word are spread (powers of two)."""
-        most = max(1.0, self.tokens / shards / 4)
+    def class_bits(self, spread: int) -> np.ndarray:
+        """For each id, the bits of its classes as a middle word."""
         heads = np.maximum(self.counts, 1).astype(float)
         heads[START], heads[OTHER], heads[END] = self.counts[END], max(1, self.other_count), 1
-        return (1 << np.clip(np.ceil(np.log2(heads / most)), 0, 12).astype(np.int64)).astype(np.int64)
+        return np.clip(np.ceil(np.log2(np.maximum(heads, 1) / spread)), 0, 16).astype(np.int64)
 
 
-def _shard(middle: np.ndarray, salt: np.ndarray, shards: int) -> np.ndarray:
-    x = (middle.astype(np.uint64) << np.uint64(13) | salt.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+def _shard(nodes: np.ndarray, shards: int) -> np.ndarray:
+    return (nodes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -215,6 +239,16 @@ def _expand(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones, and so on: like bytes side by side compress well."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+
+
+def _unplanes(raw: bytes, kind, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).reshape(-1)
+
+
 BLOCK = "shard int, kind int, block long, n int, extra int, data binary"
 DOCS, GRAMS, RARE = 0, 1, 2
 
@@ -224,9 +258,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["shard", "kind", "block", "n", "extra", "data"])
 
 
-def route(docs: DataFrame, vocabulary: Vocabulary, shards: int, rare_shards: int) -> DataFrame:
-    """Blocks for the shards: n-grams by middle word, rare words by hash; and each block's documents."""
-    listed, spreads, counts = vocabulary.words, vocabulary.spreads(shards), vocabulary.counts
+def route(docs: DataFrame, vocabulary: Vocabulary, shards: int, rare_shards: int, spread: int) -> DataFrame:
+    """Blocks for the shards: n-grams by node, rare words by hash; and each block's documents."""
+    listed, class_bits, counts = vocabulary.words, vocabulary.class_bits(spread), vocabulary.counts
     log_count = np.log10(counts + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,61 +272,56 @@ def route(docs: DataFrame, vocabulary: Vocabulary, shards: int, rare_shards: int
 
         def send():
             block = part << 32 | nth
-            sizes = np.array([len(s) for s in sequences])  # with two starts each
+            sizes = np.array([len(x) for x in sequences])  # with two starts each
             flow = np.concatenate(sequences)
-            doc = np.repeat(np.arange(len(sequences)), sizes)
+            sequences.clear()
             real = np.ones(len(flow), bool)
             begin = np.cumsum(sizes) - sizes
             real[begin] = real[begin + 1] = False
-            at = np.flatnonzero(real)
-            w, v, u, d = flow[at], flow[at - 1], flow[at - 2], doc[at]
+            w, v, u = flow[2:][real[2:]], flow[1:-1][real[2:]], flow[:-2][real[2:]]
+            d = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes - 2)
+            del flow, real
             out = np.array(held, bool)
-            base = np.bincount(d, np.where(w == OTHER, 0.0, log_count[w]), len(sequences))
-            n_known = np.bincount(d, (w != OTHER) & (counts[w] > 0), len(sequences)).astype(np.int64)
+            base = np.bincount(d, np.where(w == OTHER, 0.0, log_count[w]), len(ids))
+            n_known = np.bincount(d, (w != OTHER) & (counts[w] > 0), len(ids)).astype(np.int64)
             id_null = np.array([i is None for i in ids], np.uint8)
             id_value = np.array([0 if i is None else i for i in ids], np.int64)
             yield _batch([(-1 - block % 997, DOCS, block, len(ids), 0, _squeeze(id_value, base, (sizes - 2).astype(np.int64), n_known, id_null, out.astype(np.uint8)))])
-            key = v.astype(np.uint64) << np.uint64(32) | u.astype(np.uint64) << np.uint64(16) | w.astype(np.uint64)
+            key = keys_of(u, v, w)
+            del w, v, u
             order = np.argsort(key)
-            w, v, u, d = w[order], v[order], u[order], d[order]
-            spread = spreads[v]
-            to = _shard(v, u % spread, shards)
-            mark = (d | out[d].astype(np.int64) << 15).astype(np.uint16)
-            hot = np.flatnonzero((spread > 1) & ~out[d])
-            pair, times = np.unique(v[hot] << 16 | w[hot], return_counts=True)
-            copies = spreads[pair >> 16]
-            pair, times = np.repeat(pair, copies), np.repeat(times, copies)
-            salt = np.arange(len(pair)) - np.repeat(np.cumsum(copies) - copies, copies) if len(pair) else np.zeros(0, np.int64)
-            pair_to = _shard(pair >> 16, salt, shards)
-            short = np.uint16 if shards < 65536 else np.int64  # two bytes are sorted by radix
-            by, pair_by = np.argsort(to.astype(short), kind="stable"), np.argsort(pair_to.astype(short), kind="stable")
-            to, pair_to, rows = to[by], pair_to[pair_by], []
-            used = np.union1d(to, pair_to)
-            ends = [np.searchsorted(x, used, side) for x in (to, pair_to) for side in ("left", "right")]
-            for s, a, b, c, e in zip(used.tolist(), *ends):
-                own, pairs = by[a:b], pair_by[c:e]
-                # a word pair may come under several salts of one shard; it counts once there
-                kept, first = np.unique(pair[pairs], return_index=True)
-                rows.append((s, GRAMS, block, len(own), len(kept), _squeeze(kept.astype(np.uint32), times[pairs][first].astype(np.uint32), v[own].astype(np.uint16), u[own].astype(np.uint16), w[own].astype(np.uint16), mark[own])))
+            key, d = key[order], d[order]
+            del order
+            mark = d | out[d].astype(np.uint16) << np.uint16(15)
+            to = _shard(nodes_of(key, class_bits), shards)
+            by = np.argsort(to.astype(np.uint16) if shards < 65536 else to, kind="stable")  # two bytes are sorted by radix
+            used, begin = np.unique(to[by], return_index=True)
+            rows = []
+            for s, own in zip(used.tolist(), np.split(by, begin[1:])):
+                steps = np.diff((key[own] >> np.uint64(16)).astype(np.uint32), prepend=np.uint32(0))  # contexts ascend within a shard
+                rows.append((s, GRAMS, block, len(own), 0, _squeeze(_planes(steps), _planes(key[own].astype(np.uint16)), _planes(mark[own]))))
+            del key, mark, to, by
             if rare:
                 hashes, whose = np.array(rare, np.uint64), np.array(rare_doc, np.int64)
                 whose = (whose | out[whose].astype(np.int64) << 15).astype(np.uint16)
+                rare.clear()
+                rare_doc.clear()
                 order = np.argsort(hashes)
                 hashes, whose = hashes[order], whose[order]
                 to = (hashes % np.uint64(rare_shards)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
                 used, begin = np.unique(to[by], return_index=True)
                 for s, own in zip(used.tolist(), np.split(by, begin[1:])):
-                    rows.append((shards + s, RARE, block, len(own), 0, _squeeze(hashes[own], whose[own])))
+                    rows.append((shards + s, RARE, block, len(own), 0, _squeeze(_planes(np.diff(hashes[own], prepend=np.uint64(0))), _planes(whose[own]))))
             for k in range(0, len(rows), 256):
                 yield _batch(rows[k : k + 256])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = words(text.as_py(), lower=True)
-                flow = np.empty(len(found) + 3, np.int64)
+                flow = np.empty(len(found) + 3, np.uint16)
                 flow[:2], flow[-1] = START, END
-                flow[2:-1] = np.fromiter(map(known.get, found, repeat(OTHER)), np.int64, len(found))
+                flow[2:-1] = np.fromiter(map(known.get, found, repeat(OTHER)), np.uint16, len(found))
                 strange = np.flatnonzero(flow[2:-1] == OTHER).tolist()
                 rare.extend(map(xxhash.xxh64_intdigest, map(found.__getitem__, strange)))
                 rare_doc.extend(repeat(len(ids), len(strange)))
@@ -315,7 +344,7 @@ def _sums(doc: np.ndarray, *values: np.ndarray) -> bytes:
     return len(own).to_bytes(4, "little") + _squeeze(own.astype(np.uint16), *(np.bincount(doc, v)[own] for v in values))
 
 
-def score_shard(table: pa.Table, vocabulary: Vocabulary) -> pa.Table:
+def score_shard(table: pa.Table, vocabulary: Vocabulary, spread: int) -> pa.Table:
     """A shard's blocks -> for each block the sums of its tokens' codes (GRAMS), or of rare words' log counts and known flags (RARE)."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "block", "n", "extra", "data"))))
     kind, out = rows[0][0], []
@@ -323,39 +352,28 @@ def score_shard(table: pa.Table, vocabulary: Vocabulary) -> pa.Table:
         out = [(0, *r) for r in rows]
     elif kind == GRAMS:
         parts = []
-        for _, _, n, extra, data in rows:
+        for _, _, n, _, data in rows:
             raw = _expand(data)
-            grams = np.frombuffer(raw, np.uint16, 4 * n, 8 * extra).reshape(4, n)
-            parts.append((np.frombuffer(raw, np.uint32, extra), np.frombuffer(raw, np.uint32, extra, 4 * extra), *grams))
-        pair, times, v, u, w, mark = (np.concatenate(x) for x in zip(*parts))
-        sizes = [len(p[2]) for p in parts]
+            context = np.cumsum(_unplanes(raw, np.uint32, n, 0), dtype=np.uint32)
+            parts.append((context.astype(np.uint64) << np.uint64(16) | _unplanes(raw, np.uint16, n, 4 * n), _unplanes(raw, np.uint16, n, 6 * n)))
+        key, mark = (np.concatenate(x) for x in zip(*parts))
+        sizes = [len(p[0]) for p in parts]
         del parts
-        key = v.astype(np.uint64) << np.uint64(32) | u.astype(np.uint64) << np.uint64(16) | w.astype(np.uint64)
-        del v, u, w
         order = np.argsort(key)
         ordered = key[order]
         del key
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
-        distinct, of = ordered[new], np.cumsum(new) - 1
+        distinct, of = ordered[new], np.cumsum(new, dtype=np.int32) - 1
+        del ordered, new
         count = np.bincount(of, mark[order] < 32768, len(distinct))
-        trained = count > 0
-        thirds = distinct[trained], count[trained]
-        # bigrams: of middle words that are spread, the sums that came along; of others, those of the n-grams here
-        key2, own2 = np.unique((thirds[0] >> np.uint64(32)) << np.uint64(16) | thirds[0] & np.uint64(65535), return_inverse=True)
-        count2 = np.bincount(own2, thirds[1], len(key2))
-        if len(pair):
-            spread, of_pair = np.unique(pair, return_inverse=True)
-            summed = np.bincount(of_pair, times, len(spread))
-            whole = np.isin(key2 >> np.uint64(16), np.unique(spread >> 16).astype(np.uint64))
-            key2, count2 = np.concatenate([key2[~whole], spread.astype(np.uint64)]), np.concatenate([count2[~whole], summed])
-            by = np.argsort(key2)
-            key2, count2 = key2[by], count2[by]
-        trie = Trie.build(thirds, (key2, count2), code(vocabulary.p1), vocabulary.p1)
+        trained, class_bits = count > 0, vocabulary.class_bits(spread)
+        trie = Trie.build(distinct[trained], count[trained], class_bits, code(vocabulary.p1), vocabulary.p1)
         with tempfile.TemporaryDirectory() as folder:
             trie.save(path := os.path.join(folder, "trie"))
-            codes = Trie.load(path).query(distinct)
-        score = np.empty(len(order), np.int64)
+            codes = Trie.load(path).query(distinct, class_bits)
+        score = np.empty(len(order), np.int32)
         score[order] = codes[of]
+        del order, of, codes, distinct
         at = 0
         for (_, block, *_), n in zip(rows, sizes):
             if n:
@@ -365,7 +383,7 @@ def score_shard(table: pa.Table, vocabulary: Vocabulary) -> pa.Table:
         parts = []
         for _, _, n, _, data in rows:
             raw = _expand(data)
-            parts.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint16, n, 8 * n)))
+            parts.append((np.cumsum(_unplanes(raw, np.uint64, n, 0), dtype=np.uint64), _unplanes(raw, np.uint16, n, 8 * n)))
         hashes, mark = (np.concatenate(x) for x in zip(*parts))
         distinct, of = np.unique(hashes, return_inverse=True)
         count = np.bincount(of, mark < 32768, len(distinct))
@@ -404,13 +422,13 @@ def finish_block(table: pa.Table, vocabulary: Vocabulary) -> pa.Table:
     return pa.table([pa.array(ids, mask=id_null), pa.array(out), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(n, vocabulary.tokens)), pa.array(base), pa.array(inside - codes / STEP)], names=names)
 
 
-def score_texts(docs: DataFrame, vocabulary_size: int = VOCABULARY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary_size: int = VOCABULARY, shard_tokens: int = SHARD_TOKENS, spread: int = SPREAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row with doc_id and text."""
     vocabulary = Vocabulary.of(materialize(count_words(docs), "word-counts"), vocabulary_size)
     shards = 1 + vocabulary.tokens // shard_tokens
     rare_shards = 1 + vocabulary.other_count // shard_tokens
-    blocks = route(docs, vocabulary, shards, rare_shards)
-    sums = blocks.groupBy("shard").applyInArrow(lambda t: score_shard(t, vocabulary), BLOCK)
+    blocks = route(docs, vocabulary, shards, rare_shards, spread)
+    sums = blocks.groupBy("shard").applyInArrow(lambda t: score_shard(t, vocabulary, spread), BLOCK)
     return sums.groupBy("block").applyInArrow(lambda t: finish_block(t, vocabulary), RESULT)
 
 

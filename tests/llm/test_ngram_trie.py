@@ -25,7 +25,7 @@ def test_elias_fano(n, universe):
         assert e.nbytes() * 8 / n < 8 + math.log2(max(2, universe / n))
 
 
-def brute(rows, size):
+def brute(rows, size, spread=G.SPREAD):
     """Scores by dictionaries of n-gram counts."""
     texts = [(i, (t or "").encode().lower().split()) for i, t in rows]
     out_of = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
@@ -36,11 +36,15 @@ def brute(rows, size):
     known, oc = set(top), sum(k for w, k in c.items()) - sum(c[w] for w in top)
     od = len(c) - len(top)
     flow = lambda w: ["<s>", "<s>", *(x if x in known else "<o>" for x in w), "</s>"]
+    number = {"<s>": 0, "</s>": 1, "<o>": 2, **{w: k + 3 for k, w in enumerate(top)}}
+    heads = {"<s>": len(train), "</s>": 1, "<o>": max(1, oc)}
+    classes = {b: 2 ** max(0, math.ceil(math.log2(max(1, heads.get(b, c[b])) / spread))) for b in number}
+    node = lambda a, b: (b, number[a] % classes[b])
     c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
     for w in train:
         s = flow(w)
         c1.update(s[2:])
-        c2.update(zip(s[1:], s[2:]))
+        c2.update((node(a, b), x) for a, b, x in zip(s, s[1:], s[2:]))
         c3.update(zip(s, s[1:], s[2:]))
     t2, s2, t3, s3 = (collections.Counter() for _ in range(4))
     for (a, _), k in c2.items():
@@ -57,28 +61,29 @@ def brute(rows, size):
     for i, w in texts:
         s, total = flow(w), 0
         for a, b, x in zip(s, s[1:], s[2:]):
+            m = node(a, b)
             if c3[a, b, x]:
-                total += q((c3[a, b, x] - d) / s3[a, b] + d * t3[a, b] / s3[a, b] * p2(b, x))
+                total += q((c3[a, b, x] - d) / s3[a, b] + d * t3[a, b] / s3[a, b] * p2(m, x))
                 continue
             total += q(d * t3[a, b] / s3[a, b]) if s3[a, b] else 0
-            total += q(p2(b, x)) if c2[b, x] else (q(d * t2[b] / s2[b]) if s2[b] else 0) + q(p1(x))
+            total += q(p2(m, x)) if c2[m, x] else (q(d * t2[m] / s2[m]) if s2[m] else 0) + q(p1(x))
         inside = sum(math.log10((c[x] + 1) / (oc + od + 1)) for x in w if x not in known)
         base = sum(math.log10((k + 1) / (n + v + 1)) for k in [*(c[x] for x in w), len(train)])
         out.append((i, out_of(i), len(w) + 1, sum(c[x] > 0 for x in w) + (len(train) > 0), n, base, inside - total / G.STEP))
     return out
 
 
-@pytest.mark.parametrize("size,shard_tokens", [(65_533, 2_000_000), (40, 3_000), (1, 500)])
-def test_scores_match_brute_force(odd_docs, odd_rows, size, shard_tokens):
+@pytest.mark.parametrize("size,shard_tokens,spread", [(65_533, 2_000_000, 250_000), (40, 3_000, 500), (1, 500, 100), (300, 4_000, 20)])
+def test_scores_match_brute_force(odd_docs, odd_rows, size, shard_tokens, spread):
     say = lambda rows: sorted((tuple("" if x is None else f"{x:.6f}" if isinstance(x, float) else x for x in r) for r in rows), key=str)
-    got = G.score_texts(odd_docs, size, shard_tokens).collect()
-    assert say(map(tuple, got)) == say(brute([r[:2] for r in odd_rows], size))
+    got = G.score_texts(odd_docs, size, shard_tokens, spread).collect()
+    assert say(map(tuple, got)) == say(brute([r[:2] for r in odd_rows], size, spread))
 
 
 def test_small_blocks_and_hot_words(odd_docs, odd_rows, monkeypatch):
     monkeypatch.setattr(G, "BLOCK_TOKENS", 700)
-    got = G.score_texts(odd_docs.repartition(3), 200, 1_000).collect()
-    want = brute([r[:2] for r in odd_rows], 200)
+    got = G.score_texts(odd_docs.repartition(3), 200, 1_000, 300).collect()
+    want = brute([r[:2] for r in odd_rows], 200, 300)
     assert sorted(round(r["score"], 6) for r in got) == sorted(round(r[-1], 6) for r in want)
 
 
@@ -88,19 +93,26 @@ def test_model_beats_the_base_on_held_out(spark, sf_dir):
 
 
 def test_probabilities_sum_to_one():
-    """Over all classes, after a seen context, an unseen context and an unseen middle word."""
+    """A node's stored and backed-off probabilities, before codes round them: each context's mass is one at most."""
     rng = np.random.default_rng(0)
     n = 12
     flow = rng.integers(0, n - 2, (400, 3))
-    keys = (flow[:, 1] << 32 | flow[:, 0] << 16 | flow[:, 2]).astype(np.uint64)
-    k3, c3 = np.unique(keys, return_counts=True)
-    k2, c2 = np.unique((keys >> np.uint64(32)) << np.uint64(16) | keys & np.uint64(65535), return_counts=True)
-    p1 = np.full(n, 1 / n)
-    trie = G.Trie.build((k3, c3), (k2, c2), G.code(p1), p1)
+    keys, counts = np.unique(G.keys_of(*flow.T), return_counts=True)
+    bits, p1 = np.zeros(65536, np.int64), np.full(n, 1 / n)
+    trie = G.Trie.build(keys, counts, bits, G.code(p1), p1)
     for before, middle in ((1, 2), (n - 1, 3), (0, n - 1)):
-        p = 10.0 ** (-trie.query(np.array([middle << 32 | before << 16 | w for w in range(n)], np.uint64)) / G.STEP)
-        # a back-off spreads the discounted mass over all words, seen ones included in the stored values
-        assert abs(p.sum() - 1) < 0.35 if before == n - 1 or middle == n - 1 else p.sum() <= 1.05
+        every = np.sort(G.keys_of(np.full(n, before), np.full(n, middle), np.arange(n)))
+        p = 10.0 ** (-trie.query(every, bits) / G.STEP)
+        assert abs(p.sum() - 1) < 0.01
+
+
+def test_classes_are_ranges_of_keys():
+    before = np.arange(65536)
+    assert (G.reverse16(G.reverse16(before)) == before).all()
+    keys = np.sort(G.keys_of(before, np.full(65536, 5), before % 3))
+    bits = np.full(65536, 3)
+    nodes = G.nodes_of(keys, bits)
+    assert len(np.unique(nodes)) == 8 and (np.diff(nodes.astype(np.int64)) >= 0).all()
 
 
 def test_empty_and_no_training(spark, no_docs, wide_docs, odd_rows):
