@@ -215,8 +215,17 @@ class Vocabulary:
 
     @classmethod
     def of(cls, counts: DataFrame, size: int) -> Vocabulary:
+        """A histogram of the counts (at most about a thousand rows) says from which on a word can be among the `size` most
+        frequent, so that hardly more rows than those reach the driver."""
         n_docs, n_words, n_distinct = counts.agg(F.sum(F.when(F.col("word").isNull(), F.col("c"))), F.sum(F.when(F.col("word").isNotNull(), F.col("c"))), F.count("word")).first()
-        top = counts.filter("word IS NOT NULL").orderBy(F.desc("c"), "word").limit(size).collect()
+        level = F.when(F.col("c") < 64, F.col("c")).otherwise(64 + F.floor((F.log2("c") - 6) * 16)).cast("long")
+        found = counts.filter("word IS NOT NULL").withColumn("level", level)
+        lowest, total = 0, 0
+        for r in sorted(found.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+            lowest, total = r["level"], total + r["count"]
+            if total >= size:
+                break
+        top = found.filter(F.col("level") >= lowest).orderBy(F.desc("c"), "word").limit(size).collect()
         return cls([(bytes(r["word"]), r["c"]) for r in top], n_docs or 0, n_words or 0, n_distinct)
 
     def class_bits(self, spread: int) -> np.ndarray:
