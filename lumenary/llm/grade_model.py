@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import pick, words
 
-WORDS, SAMPLE, GRADES, KEEP = 1 << 18, 16_000, 3, 0.4
+WORDS, SAMPLE, GRADES, KEEP = 1 << 18, 12_000, 3, 0.4
 SIZE, STAT_VALUE, BEGIN = WORDS + 128, 4.0, 4
 #: Bytes that are stripped off words; symbols; letters.
 MARKS = b".,;:!?\"'()[]{}#*$%&|<>-_"
@@ -167,15 +167,13 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grade
     """Fit on at most `sample` rated documents, taken by hash of the id."""
     chosen = rated(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+        return pd.Series([features(t).tobytes() for t in texts])
 
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    got = rows.select("doc_id", "grade", ids(F.col("text").cast("binary")).alias("ids")).limit(sample).toPandas()
-    got["key"] = [(d, len(x), int(np.sum(x))) for d, x in zip(got["doc_id"], got["ids"])]
-    got = got.sort_values("key")
-    return GradeModel.fit([np.asarray(x, np.int32) for x in got["ids"]], [int(g) for g in got["grade"]])
+    got = rows.select("doc_id", "grade", ids(F.col("text").cast("binary")).alias("ids")).limit(sample).toPandas().sort_values(["doc_id", "ids"])
+    return GradeModel.fit([np.frombuffer(x, np.int32) for x in got["ids"]], got["grade"].tolist())
 
 
 def grade_documents(docs: DataFrame, model: GradeModel, keep: float = KEEP, carry: tuple[str, ...] = ()) -> DataFrame:
