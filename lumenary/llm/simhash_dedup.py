@@ -9,10 +9,11 @@ returns a spanning star for each of its connected parts, never all its pairs: lo
 by growing a part from a seed against what is still unvisited, after splitting those of over `long`
 entries by a fourth shared byte, which a link must have.
 
-`near_unique` keeps one document of each group of similar texts (five words, similarity 0.8). At that similarity
-15% of the bits differ, more than 64 bits can guarantee shared bytes for, so it takes 256 bits, meets candidates in 72
-postings of two and a half positional bytes (found with probability 0.93 at similarity 0.8, 0.99 at 0.85 and
-above), tallies their shared bytes and verifies the differing bits, an estimate of the similarity within 0.03.
+`near_unique` keeps one document of each group of similar texts (Jaccard similarity 0.8 of the sets of five-word shingles). At
+that similarity 15% of the bits differ, more than shared bytes can be guaranteed for, so it takes 256 bits and candidates meet
+in postings of shingles: sets that similar share a shingle among the first fifth of each in any one order (prefix filter; hash
+order, with shingles frequent in a sample last). There their bits are compared with a cut far above those expected. The
+components of candidates are then split by the exact similarity of their sets; a component is held by one task.
 
 Components of the links are found by alternating large-star and small-star steps over distributed edges.
 
@@ -24,7 +25,6 @@ columns are ignored (`near_unique` keeps them).
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from itertools import accumulate, combinations, repeat
 
@@ -37,8 +37,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import drop_shared, materialize, shared_path, words
 
 SHINGLE, BITS, LONG = 4, 4, 4096
-#: For near_unique: words of a shingle, similarity, 64-bit words of a fingerprint, postings, least shared bytes.
-STAGE_SHINGLE, SIMILARITY, WIDE, POSTINGS, SHARED = 5, 0.8, 4, 72, 3
+#: For near_unique: words of a shingle, similarity, 64-bit words of a fingerprint.
+STAGE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 4
+#: Standard deviations by which the bits of candidates may exceed those expected at the similarity.
+CANDIDATE = 4.5
+#: Documents sampled for frequent shingles, the count from which they are, the longest list: they order postings, no result depends on them.
+SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 20, 100_000
 
 
 def _shingle_hashes(text: bytes | None, n: int) -> np.ndarray:
@@ -71,8 +75,11 @@ def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
 
 
 def wide_fingerprint(text: bytes | None, n: int) -> bytes:
-    """WIDE words of 64 bits, each from its own mix of the shingles' hashes."""
-    hashes = _shingle_hashes(text, n)
+    """WIDE words of 64 bits, each from its own mix of the hashes of the text's distinct shingles."""
+    return _wide_majority(np.unique(_shingle_hashes(text, n)))
+
+
+def _wide_majority(hashes: np.ndarray) -> bytes:
     if not len(hashes):
         return bytes(8 * WIDE)
     mixed = np.empty((len(hashes), WIDE), np.uint64)
@@ -248,24 +255,38 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> Data
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_postings() -> list[tuple[int, int, int]]:
-    """Which positional bytes a posting joins: two whole ones, and the high half of a third."""
-    rng = random.Random(10)
-    return [tuple(rng.sample(range(8 * WIDE), 3)) for _ in range(POSTINGS)]
+def most_bits(similarity: float, deviations: float = 0.5) -> int:
+    """The differing bits of wide fingerprints expected at this Jaccard similarity of sets of like size
+    (cosine 2 J / (1 + J)), and some standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(64 * WIDE * p + deviations * math.sqrt(64 * WIDE * p * (1 - p)))
+
 
+def _prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set of sorted hashes, frequent ones last: similar sets share one of them."""
+    if len(frequent) and len(hashes):
+        late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
-def most_bits(similarity: float) -> int:
-    """The differing bits up to which wide fingerprints link: those expected at this Jaccard similarity of sets of
-    like size (cosine 2 J / (1 + J)), and half a standard deviation more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(64 * WIDE * p + 0.5 * math.sqrt(64 * WIDE * p * (1 - p)))
+
+def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of the shingles in FREQUENT or more of about SAMPLE texts."""
+
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_shingle_hashes(t, n)).view(np.int64) for t in texts], dtype=object)
+
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.col("text").cast("binary").alias("text"))
+    counts = some.select(F.explode(sets("text")).alias("s")).groupBy("s").count().filter(F.col("count") >= FREQUENT)
+    found = counts.orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r["s"] for r in found], np.int64).view(np.uint64))
 
 
 def _near(x: np.ndarray, bits: int) -> np.ndarray:
-    """From differences (..., WIDE): few enough bits differ, and at least SHARED positional bytes are the same."""
-    near = np.bitwise_count(x).sum(-1, dtype=np.int64) <= bits
-    near[near] = (np.ascontiguousarray(x[near]).view(np.uint8).reshape(-1, 8 * WIDE) == 0).sum(1) >= SHARED
-    return near
+    """From differences (..., WIDE): few enough bits differ."""
+    return np.bitwise_count(x).sum(-1, dtype=np.int64) <= bits
 
 
 def _wide_run(prints: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -288,11 +309,9 @@ def _wide_run(prints: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarra
 
 
 def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
-    """(a, b): edges between the ids of distinct wide fingerprints (id, w0, w1, ...) that meet in a posting and link."""
-    byte = lambda k: F.shiftrightunsigned(F.col(f"w{k // 8}"), 8 * (k % 8)).bitwiseAND(F.lit(255).cast("long"))
+    """(a, b): edges between the ids of wide fingerprints (w0, w1, ..., prefix) that meet in a posting and differ in few bits."""
     names = [f"w{k}" for k in range(WIDE)]
-    keys = [F.lit(n).cast("long") * (1 << 20) + byte(a) * 4096 + byte(b) * 16 + F.shiftrightunsigned(byte(c), 4) for n, (a, b, c) in enumerate(wide_postings())]
-    postings = distinct.select(*names, F.explode(F.array(*keys)).alias("posting"))
+    postings = distinct.select(*names, F.explode("prefix").alias("posting"))
 
     def ids(prints: np.ndarray) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(r.tobytes(), 42) for r in prints], np.uint64).view(np.int64)
@@ -328,26 +347,81 @@ def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
     return postings.repartition(many, "posting").sortWithinPartitions("posting").select("posting", *names).mapInArrow(meet, "a long, b long").distinct()
 
 
+def _similar_parts(prints: np.ndarray, sets: list[np.ndarray], bits: int, similarity: float) -> np.ndarray:
+    """For each of the sets of a component of candidates: the first set of its part over links of the given similarity."""
+    part, rest = np.arange(len(sets)), np.arange(len(sets))
+    while len(rest) > 1:
+        seed, front, rest = rest[0], [rest[0]], rest[1:]
+        while front and len(rest):
+            one = front.pop()
+            linked = []
+            for other in rest[_near(prints[rest] ^ prints[one], bits)]:
+                a, b = sets[one], sets[other]
+                if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9:
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both >= similarity * (len(a) + len(b) - both) - 1e-9:
+                        linked.append(other)
+            if linked:
+                part[linked] = seed
+                front += linked
+                rest = rest[~np.isin(rest, linked)]
+    return part
+
+
+def exact_parts(rows: DataFrame, n: int, similarity: float, bits: int) -> DataFrame:
+    """(sid, part) from rows with root, sid, text, w0, w1, ..., one for each distinct set of the components of candidates."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sids, prints, sets = None, [], [], []
+
+        def whole():
+            part = _similar_parts(np.array(prints, np.int64).view(np.uint64), sets, bits, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array([sids[k] for k in part], pa.int64())], names=["sid", "part"])
+
+        for batch in batches:
+            for root, sid, text, *words_ in zip(*[c.to_pylist() for c in batch.columns]):
+                if root != now and sids:
+                    yield whole()
+                    sids, prints, sets = [], [], []
+                now = root
+                sids.append(sid)
+                prints.append(words_)
+                sets.append(np.unique(_shingle_hashes(text, n)))
+        if sids:
+            yield whole()
+
+    many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select("root", "sid", "text", *(f"w{k}" for k in range(WIDE)))
+    return rows.repartition(many, "root").sortWithinPartitions("root", "sid").mapInArrow(split, "sid long, part long")
+
+
 def near_unique(docs: DataFrame, n: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of similar ones, with all its columns: of those with the group's smallest
     doc_id, the first by text hash. Texts without words are one group."""
+    names, bits, frequent = [f"w{k}" for k in range(WIDE)], most_bits(similarity, CANDIDATE), frequent_shingles(docs, n)
 
-    @F.pandas_udf(", ".join(["id long", *(f"w{k} long" for k in range(WIDE))]))
+    @F.pandas_udf(", ".join(["id long", "sid long", *(f"{w} long" for w in names), "prefix array<long>"]))
     def prints_of(texts: pd.Series) -> pd.DataFrame:
-        found = [wide_fingerprint(t, n) for t in texts]
+        sets = [np.unique(_shingle_hashes(t, n)) for t in texts]
+        found = [_wide_majority(x) for x in sets]
         words_ = np.frombuffer(b"".join(found), np.int64).reshape(-1, WIDE)
-        ids = np.array([xxhash.xxh64_intdigest(x, 42) for x in found], np.uint64).view(np.int64)
-        return pd.DataFrame({"id": ids, **{f"w{k}": words_[:, k] for k in range(WIDE)}})
+        ids, sids = (np.array([xxhash.xxh64_intdigest(x, 42) for x in xs], np.uint64).view(np.int64) for xs in (found, map(np.ndarray.tobytes, sets)))
+        prefixes = pd.Series([_prefix(x, similarity, frequent).view(np.int64) for x in sets], dtype=object)
+        return pd.DataFrame({"id": ids, "sid": sids, **{w: words_[:, k] for k, w in enumerate(names)}, "prefix": prefixes})
 
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
     prints = materialize(docs.select("doc_id", key.alias("key"), prints_of(F.col("text").cast("binary")).alias("p")).select("doc_id", "key", "p.*"), "prints")
-    names = [f"w{k}" for k in range(WIDE)]
-    distinct = materialize(prints.groupBy("id", *names).agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = components(wide_links(distinct, most_bits(similarity))).withColumnRenamed("node", "id")
-    named = distinct.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sets = prints.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first(F.struct("id", *names, "prefix")).alias("p"))
+    distinct = materialize(sets.select("sid", "least", "key", "p.*"), "fingerprints")
+    roots = components(wide_links(distinct, bits)).withColumnRenamed("node", "id")
+    named = distinct.select("sid", "least", "key", "id", *names).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = materialize(named.join(named.groupBy("root").count().filter("count > 1").select("root"), "root").select("key", "sid", "root", *names), "candidates")
+    texts = docs.select(key.alias("key"), F.col("text").cast("binary").alias("text")).join(several, "key").dropDuplicates(["sid"])
+    parts = materialize(exact_parts(texts, n, similarity, bits), "parts")
+    named = distinct.select("sid", "least").join(parts, "sid", "left").withColumn("root", F.coalesce("part", "sid"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = named.join(least, "root").filter(F.col("least").eqNullSafe(F.col("component_id"))).select("id", "root", "component_id")
-    chosen = prints.select("doc_id", "key", "id").join(groups, "id").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = named.join(least, "root").filter(F.col("least").eqNullSafe(F.col("component_id"))).select("sid", "root", "component_id")
+    chosen = prints.select("doc_id", "key", "sid").join(groups, "sid").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = chosen.withColumn("_nth", F.row_number().over(W.partitionBy("root").orderBy("key"))).filter("_nth = 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     rows = docs.select("doc_id", F.struct("*").alias("_row"), key.alias("key")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
     return rows.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "key").orderBy(F.lit(1)))).filter("_nth = 1").select("_row.*")

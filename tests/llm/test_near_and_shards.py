@@ -94,6 +94,23 @@ def test_similar_texts_are_caught_and_others_left(spark):
     assert len(missed) <= 2
 
 
+def test_similarity_from_0_8_is_exact(spark):
+    """Against brute-force Jaccard: pairs just above and below 0.8, with a repeated line and a line that all texts share."""
+    rng, rows, shared = random.Random(7), [], [f"s{k}" for k in range(8)]
+    word = lambda: f"w{rng.randint(0, 50000)}"
+    for k in range(150):
+        text = [*shared, *(word() for _ in range(200))]
+        other = list(text)
+        for at in rng.sample(range(10, 205), 1 + k % 6):
+            other[at] = word()
+        rows += [(2 * k, " ".join(text + text[20:40] * (k % 5 == 0) * 30)), (2 * k + 1, " ".join(other))]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    near = {2 * k + 1 for k in range(150) if len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) >= 0.8}
+    assert 60 < len(near) < 130
+    kept = {r["doc_id"] for r in D.near_unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(300)) - near
+
+
 def test_a_long_posting_gives_a_spanning_forest():
     rng = np.random.default_rng(8)
     seeds = rng.integers(0, 2**63, (3, D.WIDE)).astype(np.uint64)
