@@ -4,7 +4,8 @@ Sizes are word counts. Sources (by code point, null last) take the weights in tu
 weight's share of all words, held at max_epochs times the source's size with the excess reshared.
 A fixed number of equal-token blocks goes to the sources by highest quotient t / (2k + 1). Seats in
 quotient order are dealt to the shards in equal runs, so every shard has integer quotas close to the
-targets. Each source's documents stand in a seeded order, end to end; its blocks are whole passes over
+targets. A source whose target is less than FEWEST blocks takes its target in words, and the blocks of the
+other targets go to the others: no source is too small for its share. Each source's documents stand in a seeded order, end to end; its blocks are whole passes over
 this stream plus one cyclic run that starts at a seeded block, so at most two documents of a source are
 cut by a block's edge.
 
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import word_count
 
 BLOCKS, SHARDS, SEED, EPOCHS, WEIGHTS = 8192, 16, "mix", 3, (1, 2, 3)
+#: A source with a target of fewer blocks is served in words.
+FEWEST = 16
 
 
 def _long(x) -> F.Column:
@@ -58,11 +61,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
 
 
 def seats(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
-    """(sk, nth of the source, seat, shard): one row for each block that a source gets, in quotient order."""
+    """(sk, nth of the source, seat, shard): one row for each block that a source gets, in quotient order; of `left` blocks, if that column is given."""
     most = F.floor(F.col("target") / F.col("total") * (F.lit(float(blocks)) + F.col("sources") / 2.0) + 0.5) + 1
     tries = targets.filter("total > 0").withColumn("k", F.explode(F.sequence(_long(0), most)))
     ranked = tries.withColumn("quotient", F.col("target") / (2 * F.col("k") + 1)).withColumn("seat", F.row_number().over(W.orderBy(F.desc("quotient"), "sk", "k")) - 1)
-    return ranked.filter(F.col("seat") < blocks).select("sk", "k", "seat", F.expr(f"seat * {shards} div {blocks}").alias("shard"))
+    return ranked.filter(F.col("seat") < (F.col("left") if "left" in targets.columns else blocks)).select("sk", "k", "seat", F.expr(f"seat * {shards} div {blocks}").alias("shard"))
 
 
 def shard_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
@@ -76,8 +79,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, blocks:
     parts = keyed.groupBy("sk", "part").agg(F.sum("size").alias("part_size"))
     parts = parts.withColumn("part_start", F.sum("part_size").over(W.partitionBy("sk").orderBy("part")) - F.col("part_size"))
     targets = source_targets(parts.groupBy("sk").agg(F.sum("part_size").alias("source_size")), weights, epochs)
-    won = shard_quotas(targets, blocks, shards).groupBy("sk").agg(F.sum("blocks").alias("won"))
-    plan = targets.join(won, "sk", "left").withColumn("words", F.least(F.col("source_size") * epochs, F.expr(f"coalesce(won, 0L) * total div {blocks}L")))
+    targets = targets.withColumn("few", F.col("target") * blocks < F.col("total") * FEWEST)
+    targets = targets.withColumn("left", F.round(F.sum(F.when(~F.col("few"), F.col("target")).otherwise(0.0)).over(W.partitionBy()) / F.greatest(F.col("total"), _long(1)) * blocks).cast("long"))
+    won = shard_quotas(targets.filter("not few"), blocks, shards).groupBy("sk").agg(F.sum("blocks").alias("won"))
+    seated, in_words = F.expr(f"coalesce(won, 0L) * total div {blocks}L"), F.when(F.col("target") > 0, F.greatest(_long(1), F.round("target").cast("long"))).otherwise(0)
+    plan = targets.join(won, "sk", "left").withColumn("words", F.least(F.col("source_size") * epochs, F.when(F.col("few"), in_words).otherwise(seated)))
     plan = plan.withColumn("passes", F.expr("if(source_size = 0, 0L, words div source_size)")).withColumn("run", F.col("words") - F.col("passes") * F.col("source_size"))
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("sk"))), 1, 7), 16, 10).cast("long")
     plan = plan.withColumn("own_blocks", F.expr(f"greatest(1L, source_size * {blocks}L div greatest(total, 1L))")).withColumn("run_start", F.floor((start % F.col("own_blocks")) * F.col("total") / F.lit(blocks).cast("double")).cast("long"))

@@ -227,6 +227,20 @@ def test_mix_matches_sql(spark, odd_rows):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, found.fetchall()))
 
 
+def test_small_sources_reach_their_targets(spark):
+    small = [(k, "w " * 3, f"a{k}") for k in range(5)] + [(10, "w " * 30, "b")] + [(100 + k, "w " * 5000, f"c{k % 2}") for k in range(40)]
+    like = [(k, "w " * 10, f"s{k:05}") for k in range(9000)]
+    blank = spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")
+    assert [r["taken"] for r in X.mix_sources(blank).collect()] == [0, 0]
+    for rows in (small, like):
+        taken, target = collections.Counter(), {}
+        for r in X.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=("source",)).collect():
+            taken[r["_row"]["source"]] += r["taken"]
+            target[r["_row"]["source"]] = r["target"]
+        assert all(abs(taken[s] - t) <= max(1, t / 16) for s, t in target.items())
+        assert abs(sum(taken.values()) - sum(target.values())) <= 0.01 * sum(target.values())
+
+
 def test_mix_runs_no_python(odd_docs):
     plan = X.mix_sources(odd_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
