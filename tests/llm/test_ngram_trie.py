@@ -25,26 +25,19 @@ def test_elias_fano(n, universe):
         assert e.nbytes() * 8 / n < 8 + math.log2(max(2, universe / n))
 
 
-def brute(rows, size, spread=G.SPREAD):
-    """Scores by dictionaries of n-gram counts."""
+def brute(rows):
+    """Scores by dictionaries of n-gram counts, over all words."""
     texts = [(i, (t or "").encode().lower().split()) for i, t in rows]
     out_of = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     train = [w for i, w in texts if not out_of(i)]
     c = collections.Counter(x for w in train for x in w)
     n, v = sum(c.values()) + len(train), len(c) + (len(train) > 0)
-    top = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]]
-    known, oc = set(top), sum(k for w, k in c.items()) - sum(c[w] for w in top)
-    od = len(c) - len(top)
-    flow = lambda w: ["<s>", "<s>", *(x if x in known else "<o>" for x in w), "</s>"]
-    number = {"<s>": 0, "</s>": 1, "<o>": 2, **{w: k + 3 for k, w in enumerate(top)}}
-    heads = {"<s>": len(train), "</s>": 1, "<o>": max(1, oc)}
-    classes = {b: 2 ** max(0, math.ceil(math.log2(max(1, heads.get(b, c[b])) / spread))) for b in number}
-    node = lambda a, b: (b, number[a] % classes[b])
+    flow = lambda w: ["<s>", "<s>", *w, "</s>"]
     c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
     for w in train:
         s = flow(w)
         c1.update(s[2:])
-        c2.update((node(a, b), x) for a, b, x in zip(s, s[1:], s[2:]))
+        c2.update(zip(s[1:], s[2:]))
         c3.update(zip(s, s[1:], s[2:]))
     t2, s2, t3, s3 = (collections.Counter() for _ in range(4))
     for (a, _), k in c2.items():
@@ -55,36 +48,77 @@ def brute(rows, size, spread=G.SPREAD):
         s3[a, b] += k
     q = lambda p: round(-math.log10(p) * G.STEP)
     d = G.DISCOUNT
-    p1 = lambda x: (c1[x] + 1) / (n + len(top) + 2)
+    p1 = lambda x: (c1[x] + 1) / (n + v + 1)
     p2 = lambda b, x: (c2[b, x] - d) / s2[b] + d * t2[b] / s2[b] * p1(x)
     out = []
     for i, w in texts:
         s, total = flow(w), 0
         for a, b, x in zip(s, s[1:], s[2:]):
-            m = node(a, b)
             if c3[a, b, x]:
-                total += q((c3[a, b, x] - d) / s3[a, b] + d * t3[a, b] / s3[a, b] * p2(m, x))
+                total += q((c3[a, b, x] - d) / s3[a, b] + d * t3[a, b] / s3[a, b] * p2(b, x))
                 continue
             total += q(d * t3[a, b] / s3[a, b]) if s3[a, b] else 0
-            total += q(p2(m, x)) if c2[m, x] else (q(d * t2[m] / s2[m]) if s2[m] else 0) + q(p1(x))
-        inside = sum(math.log10((c[x] + 1) / (oc + od + 1)) for x in w if x not in known)
+            total += q(p2(b, x)) if c2[b, x] else (q(d * t2[b] / s2[b]) if s2[b] else 0) + q(p1(x))
         base = sum(math.log10((k + 1) / (n + v + 1)) for k in [*(c[x] for x in w), len(train)])
-        out.append((i, out_of(i), len(w) + 1, sum(c[x] > 0 for x in w) + (len(train) > 0), n, base, inside - total / G.STEP))
+        out.append((i, out_of(i), len(w) + 1, sum(c[x] > 0 for x in w) + (len(train) > 0), n, base, -total / G.STEP))
     return out
 
 
-@pytest.mark.parametrize("size,shard_tokens,spread", [(65_533, 2_000_000, 250_000), (40, 3_000, 500), (1, 500, 100), (300, 4_000, 20)])
-def test_scores_match_brute_force(odd_docs, odd_rows, size, shard_tokens, spread):
-    say = lambda rows: sorted((tuple("" if x is None else f"{x:.6f}" if isinstance(x, float) else x for x in r) for r in rows), key=str)
-    got = G.score_texts(odd_docs, size, shard_tokens, spread).collect()
-    assert say(map(tuple, got)) == say(brute([r[:2] for r in odd_rows], size, spread))
+def say(rows):
+    return sorted((tuple("" if x is None else f"{x:.6f}" if isinstance(x, float) else x for x in r) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("size,shard_tokens,spread,heavy,sample", [(65_533, 2_000_000, 250_000, 32, 64), (40, 3_000, 500, 32, 1), (0, 500, 100, 2, 1), (300, 4_000, 20, 1, 1), (5, 200, 3, 10**9, 1)])
+def test_scores_match_brute_force(odd_docs, odd_rows, size, shard_tokens, spread, heavy, sample):
+    """Scores do not depend on the list of words, on shards, or on what counts as hot."""
+    got = G.score_texts(odd_docs, size, shard_tokens, spread, heavy, sample).collect()
+    assert say(map(tuple, got)) == say(brute([r[:2] for r in odd_rows]))
 
 
 def test_small_blocks_and_hot_words(odd_docs, odd_rows, monkeypatch):
     monkeypatch.setattr(G, "BLOCK_TOKENS", 700)
-    got = G.score_texts(odd_docs.repartition(3), 200, 1_000, 300).collect()
-    want = brute([r[:2] for r in odd_rows], 200, 300)
-    assert sorted(round(r["score"], 6) for r in got) == sorted(round(r[-1], 6) for r in want)
+    got = G.score_texts(odd_docs.repartition(3), 200, 1_000, 300, 4, 1).collect()
+    assert say(map(tuple, got)) == say(brute([r[:2] for r in odd_rows]))
+
+
+def test_words_of_one_hash_are_listed(spark, odd_rows, monkeypatch):
+    """Words whose hashes clash get numbers of the list. The clash is made: hashes are cut to 8 bits on both sides."""
+    import xxhash
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"clash{k} clash{k + 1} same") for k in range(600)]
+    whole = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: whole(*c).bitwiseAND(F.lit(255).cast("long")))
+    counts = G.count_words(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    listed = set(G.Vocabulary.of(counts, 1, 1000).words)
+    found = collections.defaultdict(set)
+    for r in counts.filter("word is not null").collect():
+        if b" " not in bytes(r["word"]):
+            found[xxhash.xxh64_intdigest(bytes(r["word"]), 42) & 255].add(bytes(r["word"]))
+    assert all(own <= listed for own in found.values() if len(own) > 1) and any(len(own) > 1 for own in found.values())
+
+
+def test_tries_stay_in_a_given_folder(odd_docs, odd_rows, tmp_path):
+    got = G.score_texts(odd_docs, 40, 3_000, 500, folder=f"file://{tmp_path}").collect()
+    assert say(map(tuple, got)) == say(brute([r[:2] for r in odd_rows]))
+    names = sorted(p.name for p in tmp_path.iterdir())
+    assert len(names) > 3 and all(n.startswith("trie-") for n in names)
+    trie = G.Trie.load(f"file://{tmp_path / names[0]}")
+    assert isinstance(trie.p3.base, np.ndarray | memoryview) or trie.p3.base is not None
+    assert G.Trie.load(str(tmp_path / names[0])).middle.n == trie.middle.n
+
+
+def test_blocks_round_trip():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([np.arange(50, dtype=np.uint64), rng.integers(0, 2**62, 30).astype(np.uint64) | G.RARE])
+    v, u, w = (rng.choice(ids, 5000) for _ in range(3))
+    order = np.lexsort((w, u, v))
+    v, u, w, extra = v[order], u[order], w[order], rng.integers(0, 2**16, 5000).astype(np.uint16)
+    for got, want in zip(G.decode(G.encode(u, v, w, extra), 5000, np.uint16), (u, v, w, extra)):
+        assert (got == want).all()
+    big = G.pack3(*(x % np.uint64(2**32) for x in (v, u, w)), 2**32)
+    order = np.argsort(big, kind="stable")
+    assert (order == np.lexsort((w % np.uint64(2**32), u % np.uint64(2**32), v % np.uint64(2**32)))).all()
 
 
 def test_model_beats_the_base_on_held_out(spark, sf_dir):
@@ -92,27 +126,21 @@ def test_model_beats_the_base_on_held_out(spark, sf_dir):
     assert rows and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
-def test_probabilities_sum_to_one():
-    """A node's stored and backed-off probabilities, before codes round them: each context's mass is one at most."""
-    rng = np.random.default_rng(0)
-    n = 12
-    flow = rng.integers(0, n - 2, (400, 3))
-    keys, counts = np.unique(G.keys_of(*flow.T), return_counts=True)
-    bits, p1 = np.zeros(65536, np.int64), np.full(n, 1 / n)
-    trie = G.Trie.build(keys, counts, bits, G.code(p1), p1)
-    for before, middle in ((1, 2), (n - 1, 3), (0, n - 1)):
-        every = np.sort(G.keys_of(np.full(n, before), np.full(n, middle), np.arange(n)))
-        p = 10.0 ** (-trie.query(every, bits) / G.STEP)
-        assert abs(p.sum() - 1) < 0.01
-
-
-def test_classes_are_ranges_of_keys():
-    before = np.arange(65536)
-    assert (G.reverse16(G.reverse16(before)) == before).all()
-    keys = np.sort(G.keys_of(before, np.full(65536, 5), before % 3))
-    bits = np.full(65536, 3)
-    nodes = G.nodes_of(keys, bits)
-    assert len(np.unique(nodes)) == 8 and (np.diff(nodes.astype(np.int64)) >= 0).all()
+def test_probabilities_sum_to_one(odd_rows):
+    """The probabilities of all words and the rest after a context, before codes round them."""
+    rows = [(0, t) for _, t, *_ in odd_rows if t and len(t) < 5000]
+    flow = [x.encode().lower().split() for _, x in rows]
+    names = {w: k + 2 for k, w in enumerate(sorted({x for f in flow for x in f}))}
+    vocabulary = G.Vocabulary([(w, sum(f.count(w) for f in flow)) for w in names], [], len(rows), sum(map(len, flow)), len(names), 10**9)
+    sequences = [np.array([0, 0, *(names[x] for x in f), 1], np.uint64) for f in flow]
+    blocks = [(k, b, n, e, d) for s, k, b, n, e, d in G.block_rows(0, [0] * len(rows), [False] * len(rows), sequences, vocabulary, 1) if s >= 0]
+    g = G.Grams(sorted(blocks), vocabulary)
+    g.answer(*(np.zeros(len(g.questions(1)[0]), np.int64),) * 2, vocabulary)
+    trie = G.Trie.build(g, (vocabulary.counts[g.ids.astype(np.int64)] + 1) / (vocabulary.tokens + vocabulary.distinct + 1))
+    size = len(g.ids)
+    for k in range(0, len(g.u), 997):
+        p = 10.0 ** (-trie.query(np.full(size, g.u[k]), np.full(size, g.v[k]), np.arange(size)) / G.STEP)
+        assert abs(p.sum() - 1) < 0.02
 
 
 def test_empty_and_no_training(spark, no_docs, wide_docs, odd_rows):
