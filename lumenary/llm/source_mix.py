@@ -2,34 +2,41 @@
 
 Sizes are word counts. Sources (by code point, null last) take the weights in turn; a target is its
 weight's share of all words, held at max_epochs times the source's size with the excess reshared.
-A fixed number of equal-token blocks goes to the sources by highest quotient t / (2k + 1). Seats in
-quotient order are dealt to the shards in equal runs, so every shard has integer quotas close to the
-targets. A source whose target is less than FEWEST blocks takes its target in words, and the blocks of the
-other targets go to the others: no source is too small for its share. Each source's documents stand in a seeded order, end to end; its blocks are whole passes over
-this stream plus one cyclic run that starts at a seeded block, so at most two documents of a source are
-cut by a block's edge.
+Blocks have equally many words: at most 1 / BLOCKS of all, and so few that the smallest target takes FINEST (one
+word at least). They go to the sources by highest quotient target / (2 k + 1). Seats in quotient order are dealt to
+the shards in equal runs; as the first m seats are the apportionment of m, a shard's quotas are the differences of
+apportionments at its ends. Each of these needs only the seats near its last one (about five for each source), so the
+number of blocks does not matter.
+
+Each source's documents stand in a seeded order, end to end, and are cut into blocks. A quota is whole passes over
+these, and seeded blocks beyond: the stream is parted into up to RUNS equal segments, and each gives its share of the blocks as
+one run from a seeded place. A shard has the blocks of a source from its first seat to its last, in this order. So
+at most two documents a run are cut by its edges.
 
 Nulls: a null text has size 0, a null source is a source of its own, a null doc_id is kept. Empty table:
 empty result. A document without words takes 0. Repeated rows are rows of their own, and equal ones are
 interchangeable. Extra columns are ignored unless named in `carry`.
 
-Scale: the prefix sums have two levels, (source, 3 hex digits of the row's key) and within it, so that
-a source with a third of all rows spreads over 4096 groups. What is gathered in one task is a row for
-each source, each block seat, or each of a source's 4096 groups.
+Scale: texts are read once (once more if columns are carried); sizes and keys are written and used from there. The prefix sums have two
+levels, (source, 3 hex digits of the row's key) and within it, so that a source with a third of all rows spreads over 4096 groups.
+What is gathered in one task is a row for each source (for targets), about five for each source (for a shard's end),
+or each of a source's 4096 groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import word_count
+from .common import materialize, word_count
 
 BLOCKS, SHARDS, SEED, EPOCHS, WEIGHTS = 8192, 16, "mix", 3, (1, 2, 3)
-#: A source with a target of fewer blocks is served in words.
-FEWEST = 16
+#: Blocks of the smallest target, and runs of a source.
+FINEST, RUNS = 16, 64
+#: The step of seeded places from run to run.
+STEP = 40_503
 
 
-def _long(x) -> F.Column:
+def _long(x) -> Column:
     return F.lit(x).cast("long")
 
 
@@ -38,7 +45,7 @@ def _keyed(docs: DataFrame, seed: str, carry: tuple[str, ...]) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.coalesce(text, F.lit(""))))
     return docs.select(
         F.col("doc_id"),
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row") if carry else F.lit(None).cast("int").alias("_row"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")] if carry else []),
         F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)).alias("sk"),
         word_count(text).alias("size"),
         key.alias("key"),
@@ -60,76 +67,108 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
     return rows.withColumn("target", F.least(F.col("cap").cast("double"), share)).select("sk", "source_size", "weight", "total", "sources", "target")
 
 
-def seats(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
-    """(sk, nth of the source, seat, shard): one row for each block that a source gets, in quotient order; of `left` blocks, if that column is given."""
-    most = F.floor(F.col("target") / F.col("total") * (F.lit(float(blocks)) + F.col("sources") / 2.0) + 0.5) + 1
-    tries = targets.filter("total > 0").withColumn("k", F.explode(F.sequence(_long(0), most)))
-    ranked = tries.withColumn("quotient", F.col("target") / (2 * F.col("k") + 1)).withColumn("seat", F.row_number().over(W.orderBy(F.desc("quotient"), "sk", "k")) - 1)
-    return ranked.filter(F.col("seat") < (F.col("left") if "left" in targets.columns else blocks)).select("sk", "k", "seat", F.expr(f"seat * {shards} div {blocks}").alias("shard"))
+def block_words(targets: DataFrame, blocks: int = BLOCKS, finest: int = FINEST) -> DataFrame:
+    """Adds block (its words) and blocks (the number to be dealt)."""
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(W.partitionBy())
+    block = F.greatest(_long(1), F.least(F.floor(F.col("total") / blocks), F.floor(least / finest)))
+    return targets.withColumn("block", F.coalesce(block, _long(1))).withColumn("blocks", F.expr("total div block"))
+
+
+def shard_quotas(targets: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(shard, sk, upto, quota): the blocks of a source up to a shard's end, and in it; from rows with sk, target, total,
+    sources and blocks. The sums over shards differ by one block at most."""
+    ends = targets.filter("target > 0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("end", F.expr(f"(shard + 1) * blocks div {shards}"))
+    at = lambda seats: F.floor(F.col("target") * seats / F.col("total")).cast("long")
+    # with `end` seats in all, a source has as many as its share of end - sources / 2 to end + sources / 2, rounded
+    ends = ends.withColumn("sure", F.greatest(_long(0), at(F.col("end") - F.col("sources")) - 1)).withColumn("open", F.col("end") - F.sum("sure").over(W.partitionBy("shard")))
+    tries = ends.withColumn("k", F.explode(F.sequence("sure", F.greatest(F.col("sure"), at(F.col("end") + F.col("sources")) + 1))))
+    ranked = tries.withColumn("seat", F.row_number().over(W.partitionBy("shard").orderBy(F.desc(F.col("target") / (2 * F.col("k") + 1)), "sk", "k")))
+    upto = ranked.groupBy("shard", "sk").agg((F.max("sure") + F.sum(F.when(F.col("seat") <= F.col("open"), 1).otherwise(0))).alias("upto"))
+    return upto.withColumn("quota", F.col("upto") - F.coalesce(F.lag("upto").over(W.partitionBy("sk").orderBy("shard")), _long(0)))
+
+
+def _plan(targets: DataFrame, epochs: int, shards: int, seed: str) -> DataFrame:
+    """A row for each source: its passes, and where its runs lie (stream: its blocks; more: the blocks beyond whole passes)."""
+    ends = shard_quotas(targets, shards).groupBy("sk").agg(F.max("upto").alias("seats"), F.sort_array(F.collect_list("upto")).alias("ends"))
+    plan = targets.join(ends, "sk", "left").withColumn("stream", F.expr("(source_size + block - 1) div block"))
+    plan = plan.withColumn("seats", F.least(F.coalesce("seats", _long(0)), F.col("stream") * epochs))
+    plan = plan.withColumn("passes", F.expr("if(stream = 0, 0L, seats div stream)")).withColumn("more", F.col("seats") - F.col("passes") * F.col("stream"))
+    plan = plan.withColumn("runs", F.least(_long(RUNS), "more", F.col("stream") - F.col("more")))
+    return plan.withColumn("seeded", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("sk"))), 1, 7), 16, 10).cast("long"))
 
 
-def shard_quotas(targets: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataFrame:
-    """(shard, sk, blocks): integer quotas, whose sums over a shard differ by one block at most."""
-    return seats(targets, blocks, shards).groupBy("shard", "sk").agg(F.count("*").alias("blocks"))
+def _taken_before(rows: DataFrame, place: str, name: str) -> DataFrame:
+    """Adds the words of the seeded runs before a place of a source's stream. Segment j has the blocks from j * stream div runs on; its run
+    is (j + 1) * more div runs - j * more div runs blocks long."""
+    rows = rows.withColumn("_j", F.expr(f"least(runs - 1, if(runs > 0, ((({place} div block) + 1) * runs - 1) div stream, 0L))"))
+    rows = rows.withColumn("_first", F.expr("if(runs > 0, _j * stream div runs, 0L)")).withColumn("_done", F.expr("if(runs > 0, _j * more div runs, 0L)"))
+    rows = rows.withColumn("_own", F.expr("if(runs > 0, (_j + 1) * more div runs, 0L) - _done")).withColumn("_spare", F.expr("if(runs > 0, (_j + 1) * stream div runs, 0L) - _first - _own"))
+    rows = rows.withColumn("_run", F.expr(f"_first + (seeded + _j * {STEP}L) % (_spare + 1)"))
+    return rows.withColumn(name, F.expr(f"if(runs > 0, _done * block + greatest(0L, least({place} - _run * block, _own * block)), 0L)"))
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, passes, extra (words of the run beyond whole passes), and the carried columns as struct _row."""
-    keyed = _keyed(docs, seed, carry)
-    parts = keyed.groupBy("sk", "part").agg(F.sum("size").alias("part_size"))
+    """doc_id, size, source_size, target, taken, passes, extra (words of the runs beyond whole passes), shard (that of the first block
+    with a word of it; null if none is taken), and the carried columns as struct _row."""
+    slim = materialize(_keyed(docs, seed, ()), "mix-sizes")
+    keyed = _keyed(docs, seed, carry) if carry else slim
+    parts = slim.groupBy("sk", "part").agg(F.sum("size").alias("part_size"))
     parts = parts.withColumn("part_start", F.sum("part_size").over(W.partitionBy("sk").orderBy("part")) - F.col("part_size"))
-    targets = source_targets(parts.groupBy("sk").agg(F.sum("part_size").alias("source_size")), weights, epochs)
-    targets = targets.withColumn("few", F.col("target") * blocks < F.col("total") * FEWEST)
-    targets = targets.withColumn("left", F.round(F.sum(F.when(~F.col("few"), F.col("target")).otherwise(0.0)).over(W.partitionBy()) / F.greatest(F.col("total"), _long(1)) * blocks).cast("long"))
-    won = shard_quotas(targets.filter("not few"), blocks, shards).groupBy("sk").agg(F.sum("blocks").alias("won"))
-    seated, in_words = F.expr(f"coalesce(won, 0L) * total div {blocks}L"), F.when(F.col("target") > 0, F.greatest(_long(1), F.round("target").cast("long"))).otherwise(0)
-    plan = targets.join(won, "sk", "left").withColumn("words", F.least(F.col("source_size") * epochs, F.when(F.col("few"), in_words).otherwise(seated)))
-    plan = plan.withColumn("passes", F.expr("if(source_size = 0, 0L, words div source_size)")).withColumn("run", F.col("words") - F.col("passes") * F.col("source_size"))
-    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("sk"))), 1, 7), 16, 10).cast("long")
-    plan = plan.withColumn("own_blocks", F.expr(f"greatest(1L, source_size * {blocks}L div greatest(total, 1L))")).withColumn("run_start", F.floor((start % F.col("own_blocks")) * F.col("total") / F.lit(blocks).cast("double")).cast("long"))
-    places = parts.join(plan.select("sk", "source_size", "target", "passes", "run", "run_start"), "sk")
+    targets = block_words(source_targets(parts.groupBy("sk").agg(F.sum("part_size").alias("source_size")), weights, epochs), blocks)
+    places = parts.join(_plan(targets, epochs, shards, seed), "sk").drop("part_size", "weight", "total", "sources", "blocks")
     placed = keyed.join(places, ["sk", "part"])
-    doc_start = F.col("part_start") + F.sum("size").over(W.partitionBy("sk", "part").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
-    placed = placed.withColumn("from", doc_start).withColumn("to", F.col("from") + F.col("size")).withColumn("run_end", F.col("run_start") + F.col("run"))
-    first = F.greatest(_long(0), F.least("to", "run_end") - F.greatest("from", "run_start"))
-    wrapped = F.greatest(_long(0), F.least(F.col("to"), F.col("run_end") - F.col("source_size")) - F.col("from"))
-    return placed.withColumn("extra", first + wrapped).select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"), "passes", "extra", "_row")
+    upto = F.col("part_start") + F.sum("size").over(W.partitionBy("sk", "part").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = placed.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("size"))
+    placed = _taken_before(_taken_before(placed, "start", "before"), "upto", "after").withColumn("extra", F.col("after") - F.col("before"))
+    taken = F.col("passes") * F.col("size") + F.col("extra")
+    seat = F.expr("if(passes > 0, start, before) div block")
+    shard = F.when(taken > 0, F.size(F.filter("ends", lambda e: e <= seat)))
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "passes", "extra", shard.alias("shard"), *(["_row"] if carry else []))
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of the mix, whole: a row for each pass, and one more where the run takes half of the document or more."""
+    """The documents of the mix, whole: a row for each pass, and one more where the runs take half of the document or more."""
     mixed = mix_sources(docs, carry=tuple(docs.columns), **settings)
     copies = F.col("passes") + F.when((F.col("extra") * 2 >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
     return mixed.filter(copies > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("_row.*")
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).drop("_row")
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 
-def oracle() -> str:
-    n, e = BLOCKS, EPOCHS
+def oracle(blocks: int = BLOCKS, shards: int = SHARDS, epochs: int = EPOCHS, seed: str = SEED) -> str:
+    """The same by other means: all seats are ranked, all blocks of the runs are listed, and each document's overlaps with them are summed."""
     return f"""
 WITH keyed AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(text, '')) AS key
+         md5('{seed}|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(text, '')) AS key
   FROM documents),
 sized AS (SELECT sk, sum(size)::BIGINT AS source_size FROM keyed GROUP BY sk),
-weighed AS (SELECT sk, source_size, source_size * {e} AS cap, ((row_number() OVER (ORDER BY sk) - 1) % 3 + 1)::BIGINT AS weight,
-  (sum(source_size) OVER ())::BIGINT AS total, count(*) OVER () AS sources FROM sized),
+weighed AS (SELECT sk, source_size, source_size * {epochs} AS cap, ((row_number() OVER (ORDER BY sk) - 1) % 3 + 1)::BIGINT AS weight,
+  (sum(source_size) OVER ())::BIGINT AS total FROM sized),
 levels AS (SELECT *, (total - ((sum(cap) OVER r)::BIGINT - cap))::DOUBLE / ((sum(weight) OVER ())::BIGINT - (sum(weight) OVER r)::BIGINT + weight)::DOUBLE AS level_here
   FROM weighed WINDOW r AS (ORDER BY cap / weight, sk)),
 targets AS (SELECT *, least(cap::DOUBLE, weight::DOUBLE * max(level_here) OVER ()) AS target FROM levels),
-tries AS (SELECT sk, target, unnest(range(0, (floor(target / total * ({float(n)}::DOUBLE + sources / 2.0::DOUBLE) + 0.5::DOUBLE) + 2)::BIGINT)) AS k FROM targets WHERE total > 0),
-ranked AS (SELECT sk, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, sk, k) - 1 AS seat FROM tries),
-won AS (SELECT sk, count(*) AS won FROM ranked WHERE seat < {n} GROUP BY sk),
-plan AS (SELECT t.*, least(source_size * {e}, coalesce(won, 0) * total // {n}) AS words FROM targets t LEFT JOIN won USING (sk)),
-passed AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE words // source_size END AS passes FROM plan),
-runs AS (SELECT *, words - passes * source_size AS run,
-  floor((('0x' || substr(md5('{SEED}|' || sk), 1, 7))::BIGINT % greatest(1, source_size * {n} // greatest(total, 1))) * total / {float(n)}::DOUBLE)::BIGINT AS run_start FROM passed),
-placed AS (SELECT *, (sum(size) OVER (PARTITION BY sk ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM keyed JOIN runs USING (sk)),
-cut AS (SELECT *, greatest(0, least(upto, run_start + run) - greatest(upto - size, run_start))
-                + greatest(0, least(upto, run_start + run - source_size) - (upto - size)) AS extra FROM placed)
-SELECT doc_id, size, source_size, target, (passes * size + extra)::BIGINT AS taken, passes::BIGINT AS passes, extra::BIGINT AS extra FROM cut
+cut AS (SELECT *, coalesce(greatest(1, least(total // {blocks}, floor(min(target) FILTER (target > 0) OVER () / {float(FINEST)}::DOUBLE)::BIGINT)), 1)::BIGINT AS block FROM targets),
+seats AS (SELECT sk, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, sk, k) - 1 AS seat
+  FROM (SELECT sk, target, unnest(range(0, (target / block * 1.1::DOUBLE)::BIGINT + 40)) AS k FROM cut WHERE target > 0)),
+won AS (SELECT sk, seat, row_number() OVER (PARTITION BY sk ORDER BY seat) - 1 AS nth FROM seats WHERE seat < (SELECT max(total // block) FROM cut)),
+dealt AS (SELECT sk, nth, (SELECT count(*) FROM range({shards}) s(j) WHERE (s.j + 1) * (SELECT max(total // block) FROM cut) // {shards} <= seat) AS shard FROM won),
+plan AS (SELECT c.*, (source_size + block - 1) // block AS stream, least(coalesce(w.seats, 0), (source_size + block - 1) // block * {epochs})::BIGINT AS seats,
+  ('0x' || substr(md5('{seed}|' || c.sk), 1, 7))::BIGINT AS seeded FROM cut c LEFT JOIN (SELECT sk, count(*) AS seats FROM won GROUP BY sk) w USING (sk)),
+passed AS (SELECT *, CASE WHEN stream = 0 THEN 0 ELSE seats // stream END AS passes, CASE WHEN stream = 0 THEN 0 ELSE seats % stream END AS more FROM plan),
+parted AS (SELECT *, least({RUNS}, more, stream - more) AS runs FROM passed),
+segments AS (SELECT *, j * stream // runs AS first, (j + 1) * stream // runs - j * stream // runs AS room, (j + 1) * more // runs - j * more // runs AS own
+  FROM (SELECT *, unnest(range(0, runs)) AS j FROM parted WHERE runs > 0)),
+picked AS (SELECT sk, block, source_size, first + (seeded + j * {STEP}) % (room - own + 1) + o AS b FROM (SELECT *, unnest(range(0, own)) AS o FROM segments)),
+chosen AS (SELECT sk, b * block AS lo, least((b + 1) * block, source_size) AS hi, row_number() OVER (PARTITION BY sk ORDER BY b) - 1 AS nth FROM picked),
+placed AS (SELECT *, row_number() OVER () AS n, (sum(size) OVER (PARTITION BY sk ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM keyed JOIN parted USING (sk)),
+met AS (SELECT p.n, sum(least(upto, hi) - greatest(upto - size, lo))::BIGINT AS extra, min(nth) AS nth
+  FROM placed p JOIN chosen c ON p.sk = c.sk AND c.lo < p.upto AND c.hi > p.upto - p.size GROUP BY p.n),
+found AS (SELECT p.*, coalesce(extra, 0) AS extra, CASE WHEN passes > 0 THEN (upto - size) // block ELSE nth END AS first FROM placed p LEFT JOIN met USING (n))
+SELECT doc_id, size, source_size, target, (passes * size + extra)::BIGINT AS taken, passes::BIGINT AS passes, extra::BIGINT AS extra,
+  CASE WHEN passes * size + extra > 0 THEN d.shard::INTEGER END AS shard
+FROM found f LEFT JOIN dealt d ON f.sk = d.sk AND f.first = d.nth
 """

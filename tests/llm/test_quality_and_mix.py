@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lumenary.llm import grade_model as Q, line_crf as L, source_mix as X
 
@@ -172,23 +173,17 @@ def test_targets(spark, sizes):
     assert sum(r["target"] for r in rows) == pytest.approx(sum(sizes))
 
 
-def test_seats_are_sainte_lague(spark):
-    sizes = [(f"0{k}", n) for k, n in enumerate((50, 400, 37, 1000, 8))]
-    targets = X.source_targets(spark.createDataFrame(sizes, "sk string, source_size long"))
-    want, t = collections.Counter(), {r["sk"]: r["target"] for r in targets.collect()}
-    for _ in range(160):
-        want[max(t, key=lambda s: (t[s] / (2 * want[s] + 1), -int(s)))] += 1
-    quotas = X.shard_quotas(targets, 160, 8).collect()
-    got = collections.Counter()
-    for r in quotas:
-        got[r["sk"]] += r["blocks"]
-    assert got == want
-    per = collections.Counter()
-    for r in quotas:
-        per[r["shard"]] += r["blocks"]
-    assert set(per.values()) == {20}
-    for r in quotas:
-        assert abs(r["blocks"] - 20 * t[r["sk"]] / sum(t.values())) <= 2
+@pytest.mark.parametrize("sizes,blocks", [((50, 400, 37, 1000, 8), 160), ((1, 1, 1, 1), 7), ((3, 30, 300, 3000, 30_000), 1000), (tuple(range(1, 60)), 333), ((10, 1_000_000), 4096)])
+def test_quotas_are_sainte_lague(spark, sizes, blocks):
+    targets = X.source_targets(spark.createDataFrame([(f"0{k:03}", n) for k, n in enumerate(sizes)], "sk string, source_size long")).withColumn("blocks", F.lit(blocks).cast("long"))
+    t, won, dealt = {r["sk"]: r["target"] for r in targets.collect()}, collections.Counter(), collections.Counter()
+    for seat in range(blocks):  # one seat after the other to the highest quotient
+        best = max(t, key=lambda s: (t[s] / (2 * won[s] + 1), -int(s)))
+        won[best] += 1
+        dealt[sum((j + 1) * blocks // 8 <= seat for j in range(8)), best] += 1
+    quotas = X.shard_quotas(targets, 8).collect()
+    assert {(r["shard"], r["sk"]): r["quota"] for r in quotas if r["quota"]} == dict(dealt)
+    assert all(r["upto"] == sum(dealt[j, r["sk"]] for j in range(r["shard"] + 1)) for r in quotas)
 
 
 def test_mix(spark, odd_docs, odd_rows, wide_docs, no_docs):
@@ -209,7 +204,7 @@ def test_mix(spark, odd_docs, odd_rows, wide_docs, no_docs):
     want = collections.Counter()
     for s in order:
         want[round(target[s], 6), sizes[s]] += target[s]
-    assert all(abs(taken[k] - want[k]) <= 2 * total / X.BLOCKS * 3 + 3 for k in want)
+    assert all(abs(taken[k] - want[k]) <= max(2, want[k] / 16) for k in want)
     say = lambda rows: sorted(map(str, rows))
     assert say(rows) == say(X.mix_sources(odd_docs.repartition(5)).collect())
     assert X.mix_sources(no_docs).count() == 0
@@ -225,20 +220,38 @@ def test_mix_matches_sql(spark, odd_rows):
     names = [c[0] for c in found.description]
     got = X.mix_sources(spark.createDataFrame(odd_rows, SCHEMA)).select(*names).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, found.fetchall()))
+    few = pd.DataFrame({"doc_id": range(300), "text": ["w " * (k % 40) for k in range(300)], "source": [None if k % 7 == 0 else f"s{k % 5 ** (k % 3)}" for k in range(300)]})
+    con.register("documents", few)
+    for settings in ({"blocks": 50, "shards": 3}, {"blocks": 7, "shards": 5}, {"blocks": 10_000, "shards": 16}):
+        got = X.mix_sources(spark.createDataFrame(few), **settings).select(*names).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(X.oracle(**settings)).fetchall()))
 
 
 def test_small_sources_reach_their_targets(spark):
     small = [(k, "w " * 3, f"a{k}") for k in range(5)] + [(10, "w " * 30, "b")] + [(100 + k, "w " * 5000, f"c{k % 2}") for k in range(40)]
+    tiny = [(1, "ten words " * 5, "a")] + [(100 + k, "w " * 10_000, "b") for k in range(100)]  # 10 words beside a million
     like = [(k, "w " * 10, f"s{k:05}") for k in range(9000)]
     blank = spark.createDataFrame([(1, " ", "a"), (2, None, None)], "doc_id long, text string, source string")
-    assert [r["taken"] for r in X.mix_sources(blank).collect()] == [0, 0]
-    for rows in (small, like):
+    assert [(r["taken"], r["shard"]) for r in X.mix_sources(blank).collect()] == [(0, None)] * 2
+    for rows in (small, tiny, like):
         taken, target = collections.Counter(), {}
         for r in X.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=("source",)).collect():
+            assert 0 <= r["taken"] <= 3 * r["size"]
             taken[r["_row"]["source"]] += r["taken"]
             target[r["_row"]["source"]] = r["target"]
         assert all(abs(taken[s] - t) <= max(1, t / 16) for s, t in target.items())
         assert abs(sum(taken.values()) - sum(target.values())) <= 0.01 * sum(target.values())
+    assert target and taken
+
+
+def test_runs_are_spread_and_seeded(spark):
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 9), "abc"[k % 10 // 4]) for k in range(3000)], "doc_id long, text string, source string")
+    one, two = ({r["doc_id"]: r["taken"] for r in X.mix_sources(docs, seed=s).collect()} for s in ("mix", "other"))
+    assert one != two
+    cut = [r for r in X.mix_sources(docs).collect() if r["extra"] not in (0, r["size"])]
+    assert 0 < len(cut) <= 2 * 64 * 3
+    shards = collections.Counter(r["shard"] for r in X.mix_sources(docs).collect() if r["shard"] is not None)
+    assert set(shards) == set(range(16))
 
 
 def test_mix_runs_no_python(odd_docs):
