@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .plans import process as P, publish as U
-from .sources import files
+from .sources import deployment, files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--label-size", type=float, default=1.5)
     p.add_argument("--label-padding", type=float, default=1.0)
     p.add_argument("--linear-light", action="store_true")
+    p.add_argument("--format", default=".jpg", help="extension of the output: .jpg, .png or .tiff")
     p.add_argument("images", nargs="+")
     u = commands.add_parser("publish", help="plan a publication from manifests of the cloud's state")
     u.add_argument("--subdomain", default="")
@@ -36,6 +37,14 @@ def parser() -> argparse.ArgumentParser:
     u.add_argument("--region", default="", help="accepted, unused: nothing is called")
     u.add_argument("--zones", help="JSON lines: ordinal, id, name, private")
     u.add_argument("--objects", help="JSON lines: ordinal, key, etag")
+    u.add_argument("--exists", action="store_true", help="the stack exists")
+    u.add_argument("--update-error", help="what the service said to the update")
+    u.add_argument("--polls", help="JSON lines: ordinal (from 1, every 15 s), status of the stack")
+    u.add_argument("--events", help="JSON lines: ordinal, status, reason")
+    u.add_argument("--outputs", help="JSON lines: ordinal, output_key, output_value")
+    u.add_argument("--clears", help="JSON lines: ordinal (from 1, every 5 s), status of the invalidation")
+    u.add_argument("--deadline", type=int, default=U.DEADLINE, help="seconds of the whole publication")
+    u.add_argument("--template", action="store_true", help="print the deployment template and end")
     u.add_argument("--pick", type=int, help="number of the zone, if there are several")
     return top
 
@@ -47,19 +56,25 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if a.command == "process":
             known = {k: v for k, v in vars(a).items() if k not in ("command", "images")}
-            for r in P.process(spark, a.images, P.Settings(**known)).orderBy("ordinal").collect():
+            for r in P.process(spark, a.images, P.Settings(**known)).orderBy("ordinal").toLocalIterator():
                 print(f"{r['path']}: {r['error']}" if r["error"] else f"{r['path']}: {r['in_w']}x{r['in_h']} -> {r['output']} ({r['out_w']}x{r['out_h']})", file=sys.stderr)
             return 0
-        zones = files.manifest(spark, a.zones, "ordinal long, id string, name string, private boolean") if a.zones else None
+        if a.template:
+            print(json.dumps(deployment.template(U.TOOL), indent=2))
+            return 0
+        listed = lambda path, schema: files.manifest(spark, path, schema) if path else None
+        zones = listed(a.zones, "ordinal long, id string, name string, private boolean")
         schema = "ordinal long, key string, etag string"
-        objects = files.manifest(spark, a.objects, schema) if a.objects else spark.createDataFrame([], schema)
-        config = files.load_config()
-        decision = U.decide(config, zones, a.subdomain, a.pick)
-        steps = U.publish_plan(spark, a.build_dir, objects)
+        objects = listed(a.objects, schema) or spark.createDataFrame([], schema)
+        polls, clears = (listed(x, "ordinal long, status string") for x in (a.polls, a.clears))
+        events, outputs = listed(a.events, "ordinal long, status string, reason string"), listed(a.outputs, "ordinal long, output_key string, output_value string")
+        decision = U.decide(files.load_config(), zones, a.subdomain, a.pick)
+        state = U.State(a.exists, a.update_error, polls, events, outputs, clears)
+        stack, steps, cleared = U.publication(spark, decision, state, a.build_dir, objects, a.deadline)
         if decision.changed:
             files.save_config({"subdomain": decision.subdomain, "hosted_zone_id": decision.zone_id, "domain_name": decision.domain})
-        print(json.dumps({"stack": decision.stack, "url": decision.url}))
-        for r in steps.orderBy("action", "key").collect():
+        print(json.dumps({"stack": decision.stack, "url": decision.url, **stack, "invalidation": cleared}))
+        for r in steps.orderBy("action", "key").toLocalIterator() if steps is not None else ():
             print(json.dumps(r.asDict()))
         return 0
     except (ValueError, OSError) as e:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _div(a: Column, b: int) -> Column:
@@ -24,21 +24,29 @@ def frame_px(w: Column, h: Column, percent: Column) -> Column:
     return percent_px(shorter(w, h), percent)
 
 
+def fitted(side: Column, scale: Column) -> Column:
+    """A side at a scale, rounded, at least 1; null where there is no scale."""
+    return F.when(scale.isNotNull(), F.greatest(F.lit(1).cast("bigint"), F.floor(side.cast("double") * scale + F.lit(0.5)).cast("bigint")))
+
+
 def fit(w: Column, h: Column, box_w: Column, box_h: Column) -> tuple[Column, Column, Column]:
     """(scale, width, height) of an image that fills a box on one axis; it may grow. Rounding is to the nearest."""
     scale = F.least(box_w.cast("double") / w.cast("double"), box_h.cast("double") / h.cast("double"))
-    side = lambda x: F.greatest(F.lit(1).cast("bigint"), F.floor(x.cast("double") * scale + F.lit(0.5)).cast("bigint"))
-    return scale, side(w), side(h)
-
-
-def expand(w: Column, h: Column, out_w: Column, out_h: Column, frame: Column) -> Column:
-    """The image centred on a canvas of exactly out_w x out_h, at least a frame from its edges."""
-    box_w, box_h = out_w - 2 * frame, out_h - 2 * frame
-    ok = (box_w > 0) & (box_h > 0)
-    _, rw, rh = fit(w, h, box_w, box_h)
-    x, y = _div(out_w - rw, 2), _div(out_h - rh, 2)
-    cols = {"width": rw, "height": rh, "left": x, "top": y, "right": out_w - rw - x, "bottom": out_h - rh - y, "image_bottom": y + rh, "canvas_width": out_w, "canvas_height": out_h}
-    return F.struct(*[F.when(ok, c.cast("bigint")).alias(n) for n, c in cols.items()], F.when(~ok, F.lit("frame too large for output size")).alias("error"))
+    return scale, fitted(w, scale), fitted(h, scale)
+
+
+def expand(rows: DataFrame, w: str, h: str, out_w: str, out_h: str, frame: str) -> DataFrame:
+    """Adds where an image stands that is centred on a canvas of exactly out_w x out_h, at least a frame from its edges: width, height, left,
+    top, right, bottom, image_bottom, canvas_width, canvas_height, error. Each step is a column, so no expression grows by those before it."""
+    sides = {"width": w, "height": h}
+    box_w, box_h = F.col(out_w) - 2 * F.col(frame), F.col(out_h) - 2 * F.col(frame)
+    rows = rows.withColumn("_ok", (box_w > 0) & (box_h > 0)).withColumn("_scale", F.when(F.col("_ok"), fit(F.col(w), F.col(h), box_w, box_h)[0]))
+    rows = rows.withColumns({n: fitted(F.col(c), F.col("_scale")) for n, c in sides.items()})
+    rows = rows.withColumns({"left": _div(F.col(out_w) - F.col("width"), 2), "top": _div(F.col(out_h) - F.col("height"), 2)})
+    rest = {"right": F.col(out_w) - F.col("width") - F.col("left"), "bottom": F.col(out_h) - F.col("height") - F.col("top"), "image_bottom": F.col("top") + F.col("height")}
+    canvas = {"canvas_width": F.when(F.col("_ok"), F.col(out_w).cast("bigint")), "canvas_height": F.when(F.col("_ok"), F.col(out_h).cast("bigint"))}
+    error = {"error": F.when(~F.col("_ok"), F.lit("frame too large for output size"))}
+    return rows.withColumns(rest | canvas | error).drop("_ok", "_scale")
 
 
 def wrap(w: Column, h: Column, out_w: Column, out_h: Column, frame: Column) -> Column:

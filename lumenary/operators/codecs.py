@@ -195,6 +195,10 @@ def tiff(image: np.ndarray) -> bytes:
     return b"II*\0" + struct.pack("<I", bits_at + len(bits)) + data + bits + body
 
 
+#: Extensions that are written.
+FORMATS = (".jpg", ".jpeg", ".png", ".tif", ".tiff")
+
+
 def encode(image: np.ndarray, extension: str, quality: int = 92) -> bytes:
     """By extension; others than jpg, png and tiff are not written."""
     kind = extension.lower()

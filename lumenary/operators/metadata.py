@@ -1,4 +1,4 @@
-"""Headlines embedded in images: IPTC in JPEG application segments, TIFF tags and PNG profiles."""
+"""Headlines embedded in images: IPTC in JPEG application segments, TIFF tags, PNG profiles and WebP chunks."""
 
 from __future__ import annotations
 
@@ -84,9 +84,23 @@ def _png(data: bytes) -> str | None:
     return None
 
 
+def _webp(data: bytes) -> str | None:
+    """A WebP file is RIFF chunks; IPTC stands in the TIFF structure of its EXIF chunk."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("no WebP file")
+    at, found = 12, None
+    while at + 8 <= len(data):
+        kind, size = struct.unpack("<4sI", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"EXIF":
+            found = _tiff(body.removeprefix(b"Exif\0\0")) or found
+        at += 8 + size + size % 2
+    return found
+
+
 def embedded_headline(data: bytes | None, kind: str | None) -> str:
     """The headline in an image of the kind its extension names; '' if there is none or the data are damaged."""
-    read = {"jpeg": _jpeg, "tiff": _tiff, "png": _png}.get(kind or "")
+    read = {"jpeg": _jpeg, "tiff": _tiff, "png": _png, "webp": _webp}.get(kind or "")
     if not data or read is None:
         return ""
     try:

@@ -29,17 +29,22 @@ def kernel(name: str, x: np.ndarray) -> np.ndarray:
     raise ValueError(f"unknown filter: {name}")
 
 
-def weights(n_in: int, n_out: int, name: str) -> np.ndarray:
-    """The matrix (n_out, n_in) that resamples an axis; edges repeat the last sample."""
+def taps(n_in: int, n_out: int, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each output sample the input samples that count and their weights (n_out, taps); edges repeat the last sample."""
     ratio = n_in / n_out
     stretch = max(1.0, ratio)
     centre = (np.arange(n_out) + 0.5) * ratio - 0.5
     reach = int(np.ceil(RADIUS[name] * stretch)) + 1
-    taps = np.floor(centre)[:, None].astype(int) + np.arange(-reach, reach + 1)
-    w = kernel(name, (taps - centre[:, None]) / stretch)
-    w /= w.sum(1, keepdims=True)
+    at = np.floor(centre)[:, None].astype(int) + np.arange(-reach, reach + 1)
+    w = kernel(name, (at - centre[:, None]) / stretch)
+    return np.clip(at, 0, n_in - 1), w / w.sum(1, keepdims=True)
+
+
+def weights(n_in: int, n_out: int, name: str) -> np.ndarray:
+    """The same as a matrix (n_out, n_in)."""
+    at, w = taps(n_in, n_out, name)
     out = np.zeros((n_out, n_in))
-    np.add.at(out, (np.repeat(np.arange(n_out), taps.shape[1]), np.clip(taps, 0, n_in - 1).ravel()), w.ravel())
+    np.add.at(out, (np.repeat(np.arange(n_out), at.shape[1]), at.ravel()), w.ravel())
     return out
 
 
@@ -48,8 +53,14 @@ def fit_size(w: int, h: int, box_w: int, box_h: int) -> tuple[int, int]:
     return max(1, int(w * scale + 0.5)), max(1, int(h * scale + 0.5))
 
 
-def _apply(w: np.ndarray, image: np.ndarray, axis: int) -> np.ndarray:
-    return np.moveaxis(np.tensordot(w, image, (1, axis)), 0, axis)
+def _apply(image: np.ndarray, n_out: int, name: str) -> np.ndarray:
+    """Resamples the first axis, tap by tap: memory is that of the result, whatever the input's length."""
+    at, w = taps(image.shape[0], n_out, name)
+    out = np.zeros((n_out, *image.shape[1:]))
+    for k in range(at.shape[1]):
+        if w[:, k].any():
+            out += w[:, k, None, None] * image[at[:, k]]
+    return out
 
 
 def resize(image: np.ndarray, width: int, height: int, name: str = "mks2021", linear_light: bool = False) -> np.ndarray:
@@ -57,7 +68,8 @@ def resize(image: np.ndarray, width: int, height: int, name: str = "mks2021", li
     if linear_light:
         x = x / 255
         x = np.where(x <= 0.04045, x / 12.92, ((x + 0.055) / 1.055) ** 2.4)
-    x = _apply(weights(image.shape[1], width, name), _apply(weights(image.shape[0], height, name), x, 0), 1)
+    x = _apply(x, height, name)
+    x = _apply(x.transpose(1, 0, 2), width, name).transpose(1, 0, 2)
     if linear_light:
         x = np.clip(x, 0, 1)
         x = 255 * np.where(x <= 0.0031308, x * 12.92, 1.055 * x ** (1 / 2.4) - 0.055)

@@ -124,12 +124,15 @@ def status_kind(status: Column) -> Column:
     return F.when(status.isin(*fixed.DONE), "done").when(status.isin(*fixed.FAILED), "failed").otherwise("waiting")
 
 
-def wait_result(polls: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Polls (ordinal, status) -> the first state that ends the wait, and what it means (`waiting` if none does)."""
-    ends = status_kind(F.col("status")) != "waiting"
+def wait_result(polls: DataFrame, by: Sequence[str], most: int | None = None) -> DataFrame:
+    """Polls (ordinal, status) -> the first state that ends the wait, and what it means (`waiting` if none does; `timeout` if none of the first
+    `most` polls does and there were so many)."""
+    within = F.lit(True) if most is None else F.col("ordinal") <= most
+    ends = within & (status_kind(F.col("status")) != "waiting")
     first = F.min_by(F.when(ends, F.col("status")), F.when(ends, F.struct("ordinal", "status")))
-    found = polls.groupBy(*by).agg(first.alias("status"))
-    return found.withColumn("result", F.when(F.col("status").isNull(), "waiting").otherwise(status_kind(F.col("status"))))
+    found = polls.groupBy(*by).agg(first.alias("status"), F.max("ordinal").alias("_polls"), F.min(F.when(ends, F.col("ordinal"))).alias("polls"))
+    late = F.lit(False) if most is None else F.col("_polls") >= most
+    return found.withColumn("result", F.when(F.col("status").isNotNull(), status_kind(F.col("status"))).when(late, "timeout").otherwise("waiting")).drop("_polls")
 
 
 def invalidation_plan(counts: DataFrame, distribution: Column) -> DataFrame:

@@ -1,23 +1,29 @@
 """Image batches: inputs -> headline -> scan -> fit -> frame -> caption -> JPEG, as one lazy plan.
 
 Run parameters are checked on the driver and raise; a bad file becomes an error on its own row. Files are spread over
-tasks, pixels run on numpy in Arrow batches, and the only shuffles are the joins on the input path and the one that
-finds, among inputs with one output path, the last.
+tasks, pixels run on numpy in Arrow batches, and the only shuffles are the joins on the input path and the one of rows without
+pictures that finds, among inputs with one output path, the last. Each picture is rendered once: it is written under the name of its input's
+number, and moved or deleted when the last is known.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import columns as C, fixed
 from ..operators import codecs, metadata, pixels, relational as R
 from ..sources import files
+from ..sources.stores import exists, open_store, whole_path
+
+LOG = logging.getLogger("lumenary")
 
 
 @dataclass(frozen=True)
@@ -36,6 +42,7 @@ class Settings:
     label_size: float = 1.5
     label_padding: float = 1.0
     linear_light: bool = False
+    format: str = ".jpg"
 
 
 def parse_size(text: str) -> tuple[int, int]:
@@ -91,10 +98,12 @@ class Job:
 
 
 def check(s: Settings) -> Job:
-    """Raises ValueError for what no file can make good: size, filter, colour, quality."""
+    """Raises ValueError for what no file can make good: size, filter, colour, quality, format."""
     width, height = parse_size(s.size)
     if not 1 <= s.quality <= 100:
         raise ValueError(f"quality out of range: {s.quality}")
+    if s.format.lower() not in codecs.FORMATS:
+        raise ValueError(f"unsupported output format: {s.format}")
     short = min(width, height)
     percent = lambda x: int(float(short) * x / 100.0)
     return Job(width, height, percent(s.frame), parse_filter(s.filter), parse_color(s.color)[:3], max(8, percent(s.label_size)), percent(s.label_padding), s)
@@ -127,11 +136,18 @@ def headlines(spark: SparkSession, inputs: DataFrame, folders: list[str]) -> Dat
     side = files.sidecars(spark, folders).select("path", C.headline(F.col("sidecar")).alias("side"))
     known = inputs.select("path").distinct().join(side, "path", "left")
 
-    @F.udf("string")
-    def embedded(data, kind):
-        return metadata.embedded_headline(data, kind)
+    trace = files.log_level() == "debug"
+
+    @F.pandas_udf("string")
+    def embedded(path: pd.Series, data: pd.Series, kind: pd.Series) -> pd.Series:
+        found = [metadata.embedded_headline(d, k) for d, k in zip(data, kind)]
+        if trace:  # to the task's log
+            logging.basicConfig(level=logging.DEBUG)
+            for p, k, h in zip(path, kind, found):
+                LOG.debug("%s: %s, headline %r", p, k, h)
+        return pd.Series(found, dtype=object)
 
-    lacking = known.filter("side IS NULL").select("path").join(files.binaries(spark, folders), "path").select("path", embedded("content", C.image_format(F.col("path"))).alias("inside"))
+    lacking = known.filter("side IS NULL").select("path").join(files.binaries(spark, folders), "path").select("path", embedded("path", "content", C.image_format(F.col("path"))).alias("inside"))
     return known.join(lacking, "path", "left").select("path", R.first_of(F.col("side"), F.col("inside")).alias("headline"))
 
 
@@ -155,7 +171,7 @@ def render_rows(rows: DataFrame, job: Job) -> DataFrame:
                         bgr = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], n)
                         rgb = bgr[..., 2::-1] if n >= 3 else np.repeat(bgr, 3, axis=2)
                         out = render(np.ascontiguousarray(rgb), job, r["headline"] or "")
-                        data, size = codecs.jpeg(out, job.settings.quality), (out.shape[1], out.shape[0])
+                        data, size = codecs.encode(out, job.settings.format, job.settings.quality), (out.shape[1], out.shape[0])
                     except ValueError as e:
                         error = str(e)
                 known = image is not None and image["height"] > 0
@@ -165,29 +181,40 @@ def render_rows(rows: DataFrame, job: Job) -> DataFrame:
     return rows.select("ordinal", "path", "output", "headline", "error", "image").mapInArrow(run, RESULT)
 
 
+def named(inputs: DataFrame, settings: Settings) -> DataFrame:
+    """(ordinal, path, output, error): where each input's picture goes. A store's name stays in front."""
+    folder = whole_path(settings.outdir) if settings.outdir else ""
+    store, below = F.regexp_extract("path", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)?(.*)\z", 1), F.regexp_extract("path", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)?(.*)\z", 2)
+    if folder:
+        root, own = (folder[: folder.index("/", folder.index("://") + 3)], folder[folder.index("/", folder.index("://") + 3) :]) if "://" in folder else ("", folder)
+        store, own = F.lit(root), F.lit(own)
+    rows = inputs.select("ordinal", "path", store.alias("store"), C.output_path(below, own if folder else None).alias("o"))
+    output = F.concat("store", F.regexp_replace("o.path", r"\.jpg\z", settings.format.lower()))
+    return rows.select("ordinal", "path", output.alias("output"), F.col("o.error").alias("error"))
+
+
 def plan(spark: SparkSession, paths: list[str], settings: Settings) -> DataFrame:
     """RESULT for each input, with the encoded picture; nothing is written."""
     job = check(settings)
-    paths = [os.path.abspath(p) for p in paths]
+    paths = [whole_path(p) for p in paths]
     inputs = files.arguments(spark, paths)
-    folder = F.lit(os.path.abspath(settings.outdir)) if settings.outdir else None
-    named = inputs.select("ordinal", "path", C.output_path(F.col("path"), folder).alias("o")).select("ordinal", "path", F.col("o.path").alias("output"), F.col("o.error").alias("error"))
-    there = [p for p in paths if os.path.exists(p)]
+    rows = named(inputs, settings)
+    there = [p for p in paths if exists(spark, p)]
     if not there:
-        return named.select("ordinal", "path", "output", *[F.lit(None).cast("int").alias(c) for c in ("in_w", "in_h", "out_w", "out_h")], F.coalesce("error", F.concat(F.lit("failed to load: "), "path")).alias("error"), F.lit(None).cast("binary").alias("data"))
+        return rows.select("ordinal", "path", "output", *[F.lit(None).cast("int").alias(c) for c in ("in_w", "in_h", "out_w", "out_h")], F.coalesce("error", F.concat(F.lit("failed to load: "), "path")).alias("error"), F.lit(None).cast("binary").alias("data"))
     captions = headlines(spark, inputs, sorted({os.path.dirname(p) for p in there})) if settings.label else None
-    rows = named.join(captions, "path", "left") if captions is not None else named.withColumn("headline", F.lit(None).cast("string"))
+    rows = rows.join(captions, "path", "left") if captions is not None else rows.withColumn("headline", F.lit(None).cast("string"))
     return render_rows(rows.join(files.images(spark, sorted(set(there))), "path", "left"), job)
 
 
 def process(spark: SparkSession, paths: list[str], settings: Settings) -> DataFrame:
-    """Render and write; of inputs with one output the last wins. Returns a row for each input, without the pictures."""
+    """Render and write; of inputs with one output the last good one wins. Returns a row for each winner and each failure, without the pictures."""
     if settings.outdir:
-        os.makedirs(settings.outdir, mode=0o755, exist_ok=True)
-    rendered = plan(spark, paths, settings)
-    good = R.last_writer(rendered.filter("error IS NULL"))
-    bad = rendered.filter("error IS NOT NULL")
-    done = files.write_files(good.unionByName(bad).withColumn("_to", F.when(F.col("error").isNull(), F.col("output"))), "_to")
-    return done.drop("_to")
-
-
+        store, folder = open_store(whole_path(settings.outdir))
+        store.create_dir(folder, recursive=True)
+    good = F.col("error").isNull()
+    rendered = plan(spark, paths, settings).withColumn("_part", F.when(good, F.concat("output", F.lit("."), F.col("ordinal"), F.lit(".part"))))
+    written = files.write_files(rendered, "_part")
+    last = F.row_number().over(W.partitionBy("output", F.col("_part").isNull()).orderBy(F.desc("ordinal"))) == 1
+    settled = files.settle_files(written.withColumn("_last", good & last).withColumn("_shown", F.col("_last") | ~good), "_part", "output", "_last")
+    return settled.filter("_shown").drop("_shown")

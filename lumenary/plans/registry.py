@@ -187,7 +187,7 @@ SELECT {_KEYS}, {", ".join(f"CASE WHEN ok THEN {e} END::BIGINT AS {n}" for n, e
   CASE WHEN NOT ok THEN 'frame too large for output size' END AS error FROM c""")
 def fit_expand(spark, sf_dir):
     rows = _lines(spark, sf_dir)
-    return rows.select(*_KEYS.split(", "), G.expand(*[F.col(c) for c in ("w", "h", "ow", "oh", "frame")]).alias("e")).select(*_KEYS.split(", "), "e.*")
+    return G.expand(rows, "w", "h", "ow", "oh", "frame").drop("w", "h", "ow", "oh")
 
 
 @_query(f"""WITH a AS ({_LINES}), b AS (SELECT *, {_fit_sql("ow", "oh")} FROM a)
@@ -204,14 +204,14 @@ def frame_px(spark, sf_dir):
 
 
 @_query("""
-WITH a AS (SELECT doc_id, substr(text, 1, 40) AS t, (doc_id % 900 + 100)::BIGINT AS w, (doc_id % 700 + 90)::BIGINT AS h FROM documents),
+WITH a AS (SELECT doc_id, text AS t, (doc_id % 900 + 100)::BIGINT AS w, (doc_id % 700 + 90)::BIGINT AS h FROM documents),
 b AS (SELECT *, greatest(8, trunc(least(w, h)::DOUBLE * 1.5::DOUBLE / 100.0::DOUBLE)::BIGINT) AS font, trunc(least(w, h)::DOUBLE * 1.0::DOUBLE / 100.0::DOUBLE)::BIGINT AS pad_y FROM a),
 c AS (SELECT *, trunc(strlen(t)::DOUBLE * font::DOUBLE * 0.6::DOUBLE)::BIGINT AS tw, trunc(font::DOUBLE * 1.35::DOUBLE)::BIGINT AS th, font // 3 AS pad FROM b),
 d AS (SELECT *, greatest(0, h - doc_id % 40 + pad_y) AS top, greatest(0, doc_id % 30 - pad // 2) AS x, tw + 2 * pad AS bw0, th + pad AS bh0 FROM c),
 e AS (SELECT *, CASE WHEN x + bw0 > w THEN w - x ELSE bw0 END AS bw, CASE WHEN top + bh0 > h THEN h - top ELSE bh0 END AS bh FROM d)
 SELECT doc_id, font, x::BIGINT AS box_left, top::BIGINT AS box_top, bw::BIGINT AS box_width, bh::BIGINT AS box_height, (x + pad // 2)::BIGINT AS text_left, (top + pad // 2)::BIGINT AS text_top, bw > 0 AND bh > 0 AS drawable FROM e""")
 def label_box(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").selectExpr("doc_id", "substr(text, 1, 40) AS t", "doc_id % 900 + 100 AS w", "doc_id % 700 + 90 AS h")
+    rows = _table(spark, sf_dir, "documents").selectExpr("doc_id", "text AS t", "doc_id % 900 + 100 AS w", "doc_id % 700 + 90 AS h")
     rows = rows.withColumn("font", G.font_px(F.col("w"), F.col("h"), F.lit(1.5))).withColumn("pad_y", G.percent_px(G.shorter(F.col("w"), F.col("h")), F.lit(1.0)))
     box = G.label_box(F.col("t"), F.col("font"), F.col("w"), F.col("h"), F.col("doc_id") % 30, F.col("h") - F.col("doc_id") % 40, F.col("pad_y"))
     return rows.select("doc_id", "font", box.alias("b")).select("doc_id", "font", "b.*")
@@ -327,12 +327,29 @@ def failure_reason(spark, sf_dir):
     return R.failure_reason(_events(spark, sf_dir, _EVENTS), ["user_id"])
 
 
-@_query(f"""WITH f AS (SELECT user_id, arg_min(status, ordinal) FILTER (WHERE status IN {(*fixed.DONE, *fixed.FAILED)}) AS status FROM ({_POLLS}) GROUP BY user_id)
-SELECT user_id, status, CASE WHEN status IS NULL THEN 'waiting' WHEN status IN {fixed.DONE} THEN 'done' ELSE 'failed' END AS result FROM f""")
+@_query(f"""WITH f AS (SELECT user_id, arg_min(status, ordinal) FILTER (WHERE status IN {(*fixed.DONE, *fixed.FAILED)}) AS status, min(ordinal) FILTER (WHERE status IN {(*fixed.DONE, *fixed.FAILED)}) AS polls FROM ({_POLLS}) GROUP BY user_id)
+SELECT user_id, status, polls, CASE WHEN status IS NULL THEN 'waiting' WHEN status IN {fixed.DONE} THEN 'done' ELSE 'failed' END AS result FROM f""")
 def stack_wait(spark, sf_dir):
     return R.wait_result(_events(spark, sf_dir, _POLLS), ["user_id"])
 
 
+@_query(f"""WITH p AS (SELECT user_id, status, row_number() OVER (PARTITION BY user_id ORDER BY ordinal) AS ordinal FROM ({_POLLS})),
+f AS (SELECT user_id, arg_min(status, ordinal) FILTER (WHERE ordinal <= 4 AND status IN {(*fixed.DONE, *fixed.FAILED)}) AS status, min(ordinal) FILTER (WHERE ordinal <= 4 AND status IN {(*fixed.DONE, *fixed.FAILED)}) AS polls, max(ordinal) AS most FROM p GROUP BY user_id)
+SELECT user_id, status, polls, CASE WHEN status IN {fixed.DONE} THEN 'done' WHEN status IS NOT NULL THEN 'failed' WHEN most >= 4 THEN 'timeout' ELSE 'waiting' END AS result FROM f""")
+def stack_deadline(spark, sf_dir):
+    """The wait with a deadline of four polls."""
+    from pyspark.sql import Window as W
+
+    polls = _events(spark, sf_dir, _POLLS).withColumn("ordinal", F.row_number().over(W.partitionBy("user_id").orderBy("ordinal")))
+    return R.wait_result(polls, ["user_id"], 4)
+
+
+@_query("SELECT event_id, CASE WHEN CASE WHEN event_type = 'click' THEN 'Completed' WHEN event_type = 'view' THEN 'completed' ELSE 'InProgress' END = 'Completed' THEN 'done' ELSE 'waiting' END AS result FROM events")
+def invalidation_wait(spark, sf_dir):
+    status = F.when(F.col("event_type") == "click", "Completed").when(F.col("event_type") == "view", "completed").otherwise("InProgress")
+    return _table(spark, sf_dir, "events").select("event_id", R.invalidation_kind(status).alias("result"))
+
+
 _ERROR = "CASE o_orderkey % 4 WHEN 0 THEN 'No updates are to be performed.' WHEN 1 THEN 'access denied' ELSE NULL END"
 
 
@@ -395,14 +412,57 @@ for _kernel in pixels.RADIUS:
     _query(_resample_sql(_kernel, 24))(_resample(_kernel))
 
 
-@_query()
-def image_process(spark, sf_dir):
-    """Embeddings as 8 x 8 grey tiles, fitted, framed, captioned with their label and encoded; digests of the files."""
+def _tiles(spark, sf_dir) -> DataFrame:
+    """Embeddings as 8 x 8 grey tiles."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     grey = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round((x + 0.6) * 210).cast("int"))))
-    image = F.struct(F.lit("").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(F.array_join(F.transform(grey, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")).alias("data"))
-    path = F.concat(F.lit("tiles/"), F.col("vec_id"), F.lit(".png"))
-    tiles = rows.select(F.col("vec_id").alias("ordinal"), path.alias("path"), C.output_path(path)["path"].alias("output"), F.concat(F.lit("N"), F.col("label")).alias("headline"), F.lit(None).cast("string").alias("error"), image.alias("image"))
-    job = process.check(process.Settings(size="96,64", frame=5, color="navy", label=True))
-    done = process.render_rows(tiles, job)
-    return done.select(F.col("ordinal").alias("vec_id"), "output", "in_w", "in_h", "out_w", "out_h", "error", F.length("data").alias("n_bytes"), F.md5("data").alias("md5"))
+    image = F.struct(
+        F.lit("").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"),
+        F.unhex(F.array_join(F.transform(grey, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), "")).alias("data"),
+    )
+    path = F.concat(F.lit("tiles/"), F.col("vec_id"), F.when(F.col("vec_id") % 3 == 0, F.lit("_v7.png")).otherwise(F.lit(".png")))
+    headline = F.concat(F.lit("N"), F.col("label"))
+    return rows.select(F.col("vec_id").alias("ordinal"), path.alias("path"), C.output_path(path)["path"].alias("output"), headline.alias("headline"), F.lit(None).cast("string").alias("error"), image.alias("image"))
+
+
+def _image_process(spark, sf_dir) -> DataFrame:
+    """Tiles fitted, framed, captioned with their label and encoded; every fifth has a frame that leaves no room."""
+    jobs = [process.check(process.Settings(size="96,64", frame=f, color="navy", label=True)) for f in (5, 60)]
+    tiles = _tiles(spark, sf_dir)
+    return process.render_rows(tiles.filter("ordinal % 5 <> 0"), jobs[0]).unionByName(process.render_rows(tiles.filter("ordinal % 5 = 0"), jobs[1]))
+
+
+@_query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'tiles/' || vec_id || '_v8.jpg' ELSE 'tiles/' || vec_id || '_v0.jpg' END AS output, 8 AS in_w, 8 AS in_h,
+  CASE WHEN vec_id % 5 <> 0 THEN 96 END AS out_w, CASE WHEN vec_id % 5 <> 0 THEN 64 END AS out_h, CASE WHEN vec_id % 5 = 0 THEN 'frame too large for output size' END AS error,
+  vec_id % 5 <> 0 AS encoded FROM embeddings""")
+def image_process(spark, sf_dir):
+    """What becomes of each tile: its path, sizes and error."""
+    return _image_process(spark, sf_dir).select(F.col("ordinal").alias("vec_id"), "output", "in_w", "in_h", "out_w", "out_h", "error", F.coalesce(F.hex(F.substring("data", 1, 3)) == "FFD8FF", F.lit(False)).alias("encoded"))
+
+
+def _resize_sql(kernel: str, width: int, height: int) -> str:
+    """Both axes by the matrices of the kernel; pixels rounded and held in a byte, summed by place."""
+    matrix = lambda n: "[" + ", ".join("[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in row) + "]" for row in pixels.weights(8, n, kernel)) + "]"
+    return f"""WITH w AS (SELECT {matrix(width)} AS mx, {matrix(height)} AS my),
+g AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, round((x::FLOAT + 0.6::DOUBLE) * 210)::INTEGER))::DOUBLE) AS v FROM embeddings),
+rows AS (SELECT vec_id, list_transform(range(1, {height} + 1), lambda r: list_transform(range(1, 9), lambda c: list_dot_product(my[r], [v[c], v[8 + c], v[16 + c], v[24 + c], v[32 + c], v[40 + c], v[48 + c], v[56 + c]]))) AS q FROM g, w),
+px AS (SELECT vec_id, flatten(list_transform(q, lambda line: list_transform(range(1, {width} + 1), lambda c: greatest(0, least(255, round_even(list_dot_product(mx[c], line), 0)))::BIGINT))) AS p FROM rows, w)
+SELECT vec_id, len(p)::BIGINT AS n, list_sum(p)::BIGINT AS total, list_sum(list_transform(range(1, {width * height} + 1), lambda k: k * p[k]))::BIGINT AS by_place, list_min(p)::BIGINT AS least, list_max(p)::BIGINT AS most FROM px"""
+
+
+@_query(_resize_sql("lanczos", 13, 11))
+def resize_2d(spark, sf_dir):
+    """Tiles resized on both axes by the drawing side, each as sums over its pixels."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for vec_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p = pixels.resize(np.frombuffer(data, np.uint8).reshape(8, 8, 1), 13, 11, "lanczos").astype(np.int64).ravel()
+                out.append((vec_id, len(p), int(p.sum()), int((p * np.arange(1, len(p) + 1)).sum()), int(p.min()), int(p.max())))
+            columns = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["vec_id", "n", "total", "by_place", "least", "most"])
+
+    return _tiles(spark, sf_dir).select("ordinal", "image.data").mapInArrow(run, "vec_id long, n long, total long, by_place long, least long, most long")

@@ -1,4 +1,4 @@
-"""Sources and sinks: images, directories, sidecars, manifests, project configuration, the deployment template."""
+"""Sources and sinks: images, directories, sidecars, manifests, project configuration."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
+from .stores import local_path, open_store, whole_path
 
 CONFIG = ".lumenary.toml"
 LOG_VARIABLE = "LUMENARY_LOG_LEVEL"
@@ -43,9 +44,9 @@ def images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def directory(spark: SparkSession, root: str) -> DataFrame:
     """All files below a root: (key, md5, length), in order of their paths."""
-    root = os.path.abspath(root)
+    root = whole_path(root)
     rows = binaries(spark, root)
-    return rows.select(C.object_key(F.col("path"), root).alias("key"), F.md5("content").alias("md5"), "length").orderBy("key")
+    return rows.select(C.object_key(F.col("path"), local_path(root) or root).alias("key"), F.md5("content").alias("md5"), "length").orderBy("key")
 
 
 def sidecars(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -87,20 +88,20 @@ def apply_log_level(spark: SparkSession) -> None:
 
 
 def write_files(rows: DataFrame, path: str = "output", data: str = "data") -> DataFrame:
-    """Write each row's bytes to its path (whole, under a temporary name, then moved); returns the rows without the bytes."""
+    """Write each row's bytes to its path (whole, under a temporary name, then moved); returns the rows without the bytes. Lazy: a task that
+    runs again writes the same."""
     import pyarrow as pa
 
     keep = [c for c in rows.columns if c != data]
 
     def run(batches):
-        from pyarrow import fs
         from pyspark import TaskContext
 
         for batch in batches:
             at, what = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (path, data))
             for name, content in zip(at, what):
                 if name is not None and content is not None:
-                    store, place = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), os.path.abspath(name))
+                    store, place = open_store(name)
                     store.create_dir(os.path.dirname(place), recursive=True)
                     with store.open_output_stream(part := f"{place}.{TaskContext.get().taskAttemptId()}.part") as out:
                         out.write(content)
@@ -110,24 +111,23 @@ def write_files(rows: DataFrame, path: str = "output", data: str = "data") -> Da
     return rows.mapInArrow(run, rows.select(*keep).schema)
 
 
-def template(tool: str = "site") -> dict:
-    """The deployment as a template document: a private bucket behind a distribution, with certificate and name."""
-    sub = lambda text: {"Fn::Sub": text}
-    ref, attribute = (lambda name: {"Ref": name}), (lambda name, of: {"Fn::GetAtt": [name, of]})
-    host = sub("${Subdomain}.${DomainName}")
-    missing = [{"ErrorCode": code, "ResponseCode": 404, "ResponsePagePath": "/404.html"} for code in (403, 404)]
-    kinds = {
-        "ContentBucket": ("S3::Bucket", {"BucketName": sub(f"{tool}-${{Subdomain}}-${{AWS::AccountId}}"), "PublicAccessBlockConfiguration": dict.fromkeys(("BlockPublicAcls", "BlockPublicPolicy", "IgnorePublicAcls", "RestrictPublicBuckets"), True), "BucketEncryption": {"ServerSideEncryptionConfiguration": [{"ServerSideEncryptionByDefault": {"SSEAlgorithm": "AES256"}}]}}),
-        "OriginAccessControl": ("CloudFront::OriginAccessControl", {"OriginAccessControlConfig": {"Name": sub(f"{tool}-${{Subdomain}}-oac"), "OriginAccessControlOriginType": "s3", "SigningBehavior": "always", "SigningProtocol": "sigv4"}}),
-        "Certificate": ("CertificateManager::Certificate", {"DomainName": host, "ValidationMethod": "DNS", "DomainValidationOptions": [{"DomainName": host, "HostedZoneId": ref("HostedZoneId")}]}),
-        "Distribution": ("CloudFront::Distribution", {"DistributionConfig": {"Enabled": True, "DefaultRootObject": "index.html", "Aliases": [host], "Origins": [{"Id": "S3Origin", "DomainName": attribute("ContentBucket", "RegionalDomainName"), "OriginAccessControlId": ref("OriginAccessControl"), "S3OriginConfig": {"OriginAccessIdentity": ""}}], "DefaultCacheBehavior": {"TargetOriginId": "S3Origin", "ViewerProtocolPolicy": "redirect-to-https", "CachePolicyId": "658327ea-f89d-4fab-a63d-7e88639e58f6", "Compress": True}, "ViewerCertificate": {"AcmCertificateArn": ref("Certificate"), "SslSupportMethod": "sni-only", "MinimumProtocolVersion": "TLSv1.2_2021"}, "CustomErrorResponses": missing}}),
-        "ContentBucketPolicy": ("S3::BucketPolicy", {"Bucket": ref("ContentBucket"), "PolicyDocument": {"Version": "2012-10-17", "Statement": [{"Effect": "Allow", "Principal": {"Service": "cloudfront.amazonaws.com"}, "Action": "s3:GetObject", "Resource": sub("${ContentBucket.Arn}/*"), "Condition": {"StringEquals": {"AWS:SourceArn": sub("arn:aws:cloudfront::${AWS::AccountId}:distribution/${Distribution}")}}}]}}),
-        "DNSRecord": ("Route53::RecordSet", {"HostedZoneId": ref("HostedZoneId"), "Name": host, "Type": "A", "AliasTarget": {"DNSName": attribute("Distribution", "DomainName"), "HostedZoneId": "Z2FDTNDATAQYW2"}}),
-    }
-    outputs = {"BucketName": ref("ContentBucket"), "DistributionId": ref("Distribution"), "DistributionDomain": attribute("Distribution", "DomainName"), "SiteURL": sub("https://${Subdomain}.${DomainName}")}
-    return {
-        "AWSTemplateFormatVersion": "2010-09-09",
-        "Parameters": {name: {"Type": "String"} for name in ("Subdomain", "DomainName", "HostedZoneId")},
-        "Resources": {name: {"Type": f"AWS::{kind}", "Properties": properties} for name, (kind, properties) in kinds.items()},
-        "Outputs": {name: {"Value": value} for name, value in outputs.items()},
-    }
+def settle_files(rows: DataFrame, part: str, path: str, chosen: str) -> DataFrame:
+    """Moves the files `part` of chosen rows to `path` and deletes those of others; returns the rows without part and chosen. A
+    task that runs again finds what it has done."""
+    import pyarrow as pa
+
+    keep = [c for c in rows.columns if c not in (part, chosen)]
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            for name, to, wanted in zip(*(column(c).to_pylist() for c in (part, path, chosen))):
+                if name is not None:
+                    store, place = open_store(name)
+                    if store.get_file_info(place).type == fs.FileType.File:
+                        store.move(place, open_store(to)[1]) if wanted else store.delete_file(place)
+            yield pa.RecordBatch.from_arrays([column(c) for c in keep], names=keep)
+
+    return rows.mapInArrow(run, rows.select(*keep).schema)

@@ -16,12 +16,13 @@ from ..functions import fixed
 from ..operators import relational as R
 from ..plans import process as P
 
+AT_ONCE = 10_000
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def arrivals(spark: SparkSession, folder: str, glob: str = "*.{jpg,jpeg,png}") -> DataFrame:
-    """New files in a folder, as a stream of paths."""
-    return spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", glob).load(folder).select("path", "length")
+    """New files in a folder, as a stream of paths; a micro-batch has AT_ONCE at most."""
+    return spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", AT_ONCE).option("pathGlobFilter", glob).load(folder).select("path", "length")
 
 
 def render_arrivals(spark: SparkSession, folder: str, settings: P.Settings, report: Callable[[DataFrame], None] | None = None):

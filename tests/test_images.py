@@ -83,8 +83,10 @@ def test_fit_stays_in_its_box(w, h, bw, bh):
 def test_placement(spark):
     rows = spark.range(1, 400).selectExpr("id * 37 % 911 + 1 AS w", "id * 53 % 677 + 1 AS h", "id * 7 % 500 + 1 AS ow", "id * 11 % 400 + 1 AS oh", "id % 30 AS f")
     cols = [F.col(c) for c in ("w", "h", "ow", "oh", "f")]
-    for r in rows.select("*", G.expand(*cols).alias("e"), G.wrap(*cols).alias("v")).collect():
-        e, v = r["e"], r["v"]
+    names = ("width", "height", "left", "top", "right", "bottom", "image_bottom", "canvas_width", "canvas_height", "error")
+    placed = G.expand(rows.withColumn("v", G.wrap(*cols)), "w", "h", "ow", "oh", "f")
+    for r in placed.collect():
+        e, v = {n: r[n] for n in names}, r["v"]
         if r["ow"] <= 2 * r["f"] or r["oh"] <= 2 * r["f"]:
             assert e["error"] and e["width"] is None
         else:
@@ -122,6 +124,53 @@ def test_embedded_headlines():
     assert metadata.embedded_headline(tif, "tiff") == "tiff"
 
 
+def test_webp_headlines():
+    block = iim(b"webp")
+    tif = b"II*\0" + struct.pack("<I", 8) + struct.pack("<HHHII", 1, 33723, 1, len(block), 26) + struct.pack("<I", 0) + block
+    chunk = lambda kind, body: kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+    for exif in (tif, b"Exif\0\0" + tif):
+        body = b"WEBP" + chunk(b"VP8X", bytes(10)) + chunk(b"EXIF", exif) + chunk(b"XMP ", b"x")
+        data = b"RIFF" + struct.pack("<I", len(body)) + body
+        assert metadata.embedded_headline(data, "webp") == "webp"
+    assert metadata.embedded_headline(b"RIFF", "webp") == "" and metadata.embedded_headline(b"RIFF\0\0\0\0WEBPEXIF\x05\0\0\0II*", "webp") == ""
+
+
+def test_taps_are_the_matrix():
+    x = picture(31, 43)
+    for name in pixels.RADIUS:
+        for h, w in ((7, 9), (64, 80), (31, 43), (1, 1)):
+            whole = np.einsum("hi,wj,ijc->hwc", pixels.weights(31, h, name), pixels.weights(43, w, name), x.astype(float))
+            assert np.abs(pixels.resize(x, w, h, name).astype(float) - np.clip(whole, 0, 255)).max() <= 0.5 + 1e-9
+
+
+def test_pictures_are_rendered_once(spark, tmp_path, monkeypatch):
+    for n in ("a.png", "a.tiff.png", "b.png"):
+        (tmp_path / n).write_bytes(codecs.png(picture()))
+    paths = [str(tmp_path / n) for n in ("a.png", "b.png", "a.png", "gone.png")]
+    done = P.process(spark, paths, P.Settings("40x30", outdir=f"file://{tmp_path}/out", format=".png"))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # drawn, written, settled
+    rows = sorted((r["ordinal"], r["error"] is None) for r in done.collect())
+    assert rows == [(1, True), (2, True), (3, False)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a_v0.png", "b_v0.png"]
+    assert array(decoded(spark, tmp_path / "out")["b_v0.png"]).shape == (30, 40, 3)
+    with pytest.raises(ValueError, match="format"):
+        P.plan(spark, paths, P.Settings("1x1", format=".gif"))
+
+
+def test_paths_of_any_store(spark, monkeypatch):
+    from lumenary.sources import stores
+
+    inputs = files.arguments(spark, ["s3a://bucket/in/x_v3.png", "/in/y.png", "hdfs://host:1/z.jpg"])
+    own = [r["output"] for r in P.named(inputs, P.Settings("1x1")).orderBy("ordinal").collect()]
+    assert own == ["s3a://bucket/in/x_v4.jpg", "/in/y_v0.jpg", "hdfs://host:1/z_v0.jpg"]
+    there = [r["output"] for r in P.named(inputs, P.Settings("1x1", outdir="s3a://other/out", format=".tiff")).orderBy("ordinal").collect()]
+    assert there == ["s3a://other/out/x_v4.tiff", "s3a://other/out/y_v0.tiff", "s3a://other/out/z_v0.tiff"]
+    assert stores.whole_path("s3a://b/x") == "s3a://b/x" and stores.local_path("file:///a/b") == "/a/b" and stores.local_path("s3a://b/x") is None
+    monkeypatch.setattr(stores, "fs", type("Arrow", (), {"FileSystem": type("Any", (), {"from_uri": staticmethod(lambda uri: uri)})}))
+    assert [stores.open_store(x) for x in ("s3a://b/x", "s3n://b/x", "hdfs://h:1/x", "gcs://b/x")] == ["s3://b/x", "s3://b/x", "hdfs://h:1/x", "gs://b/x"]
+
+
 def test_process_end_to_end(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(codecs.png(picture()))
     (tmp_path / "a.jpg").write_bytes(with_headline(codecs.jpeg(picture(30, 30)), b"Inside"))

@@ -1,14 +1,16 @@
 """Deployment relations, small cases; the registry's queries against their SQL; streams."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lumenary.functions import fixed
 from lumenary.operators import relational as R
 from lumenary.plans import publish as U, registry
-from lumenary.sources import files
+from lumenary.sources import deployment, files
 from lumenary.streaming import ingest
 
 
@@ -73,8 +75,41 @@ def test_config_and_template(tmp_path):
     (tmp_path / files.CONFIG).write_text("[publish")
     with pytest.raises(ValueError):
         files.load_config(str(tmp_path))
-    made = files.template("t")
-    assert len(made["Parameters"]) == 3 and len(made["Resources"]) == 6 and len(made["Outputs"]) == 4
+    made = deployment.template("t")
+    assert set(made["Outputs"]) == set(fixed.OUTPUTS) and json.loads(json.dumps(made)) == made
+
+    def named(x):
+        if isinstance(x, dict):
+            yield from [x["Ref"]] if "Ref" in x else [x["Fn::GetAtt"][0]] if "Fn::GetAtt" in x else (y for v in x.values() for y in named(v))
+        elif isinstance(x, list):
+            yield from (y for v in x for y in named(v))
+
+    used = {n for n in named(made) if not n.startswith("AWS::")}
+    assert used <= set(made["Parameters"]) | set(made["Resources"]) and set(made["Parameters"]) <= used
+
+
+def test_publication_follows_the_stack(spark, tmp_path):
+    (tmp_path / "index.html").write_text("a")
+    objects = spark.createDataFrame([], "ordinal long, key string, etag string")
+    decision = U.decide({"subdomain": "x", "hosted_zone_id": "Z", "domain_name": "d.org"}, None)
+    rows = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    polls = lambda *s: rows("ordinal long, status string", *enumerate(s, 1))
+    outputs = rows("ordinal long, output_key string, output_value string", (1, "DistributionId", "E1"), (2, "SiteURL", "u"))
+    run = lambda deadline=1800, **state: U.publication(spark, decision, U.State(**state), str(tmp_path), objects, deadline)
+    stack, steps, cleared = run(polls=polls("CREATE_IN_PROGRESS", "CREATE_COMPLETE"), outputs=outputs)
+    assert (stack["action"], stack["result"], stack["DistributionId"], cleared) == ("create", "done", "E1", "waiting")
+    assert {(r["action"], r["key"], r["distribution_id"]) for r in steps.collect()} == {("upload", "index.html", None), ("invalidate", "/*", "E1")}
+    assert (run()[0]["result"], run()[2]) == ("planned", "waiting") and run(polls=polls("CREATE_IN_PROGRESS"))[1:] == (None, "none")
+    assert run(exists=True, update_error="No updates are to be performed.")[0]["result"] == "done"
+    assert run(exists=True, update_error="No updates are to be performed.", clears=polls("InProgress", "Completed"))[2] == "done"
+    for message, state in (
+        ("first", {"polls": polls("ROLLBACK_COMPLETE"), "events": rows("ordinal long, status string, reason string", (1, "CREATE_FAILED", "first"), (2, "CREATE_FAILED", "second"))}),
+        ("unknown reason", {"polls": polls("CREATE_FAILED")}), ("denied", {"exists": True, "update_error": "denied"}),
+        ("took more", {"polls": polls(*["CREATE_IN_PROGRESS"] * 3, "CREATE_COMPLETE"), "deadline": 45}),
+        ("invalidation took more", {"polls": polls("CREATE_COMPLETE"), "clears": polls(*["InProgress"] * 7), "deadline": 45}),
+    ):
+        with pytest.raises(ValueError, match=message):
+            run(**state)
 
 
 def test_broadcast_only_if_small(spark):
