@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What the contracts call a word, as a regular expression for the JVM.
@@ -24,25 +23,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-#: Names of stores in Spark's paths that Arrow's file systems call otherwise.
-SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
-
-
-def local_path(uri: str) -> str | None:
-    """The path of a file that this machine can open as it is (a local or mounted folder), else None."""
-    if uri.startswith("file:"):
-        return "/" + uri.removeprefix("file:").lstrip("/")
-    return uri if "://" not in uri else None
-
-
-def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path of Spark's, and the path in it."""
-    if path := local_path(uri):
-        return fs.LocalFileSystem(), path
-    scheme, rest = uri.split("://", 1)
-    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a new local folder if all
     run on this machine, else an error."""

@@ -75,14 +75,30 @@ class EliasFano:
         place = word * 64 + _nth_bit(~self.high[word], h - 1 - self.zeros[word]).astype(np.int64)
         return np.where(h > 0, place - h + 1, 0)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The first place whose value is x or more (n if there is none)."""
-        x = np.asarray(x, np.int64)
+    def _run(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values with high bits h begin and end. Most runs end within the 64 bits that follow their zero."""
+        start = self._run_start(h)
+        at = (start + h).astype(np.uint64)  # the place in the bit vector
+        word, shift = (at >> SIX).astype(np.int64), at & np.uint64(63)
+        bits = self.high[word] >> shift
+        over = np.flatnonzero((shift > 0) & (word + 1 < len(self.high)))
+        bits[over] |= self.high[word[over] + 1] << (np.uint64(64) - shift[over])
+        length = np.bitwise_count(bits ^ (bits + ONE)).astype(np.int64) - 1
+        end = start + length
+        far = np.flatnonzero(length >= 63 - shift.astype(np.int64) * (word + 1 >= len(self.high)))
+        if len(far):
+            end[far] = self._run_start(h[far] + 1)
+        return start, np.minimum(end, self.n)
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each x: the first place of its run of equal high bits whose low bits are x's or more, the run's end, x's low bits, and
+        whether x is beyond all runs."""
         h = x >> self.bits
         last = (len(self.high) * 64 - self.n) - 1  # zeros that the vector has, less one
         out = h >= last
         h = np.where(out, 0, h)
-        lo, hi = self._run_start(h), np.minimum(self._run_start(h + 1), self.n)
+        lo, end = self._run(h)
+        hi = end.copy()
         want = (x & ((1 << self.bits) - 1)).astype(np.uint64)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):  # halving within the run, whose low bits ascend
@@ -90,15 +106,21 @@ class EliasFano:
             less = self._low(mid) < want[open_]
             lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
             open_ = open_[lo[open_] < hi[open_]]
+        return lo, end, want, out
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The first place whose value is x or more (n if there is none)."""
+        lo, _, _, out = self._search(np.asarray(x, np.int64))
         return np.where(out, self.n, lo)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The first place of value x, or -1."""
-        at = self.successor(x)
-        there = at < self.n
-        ok = np.zeros(len(at), bool)
-        ok[there] = self.access(at[there]) == np.asarray(x, np.int64)[there]
-        return np.where(ok, at, -1)
+        lo, end, want, out = self._search(np.asarray(x, np.int64))
+        there = np.flatnonzero((lo < end) & ~out)
+        ok = np.full(len(lo), -1, np.int64)
+        there = there[self._low(lo[there]) == want[there]]
+        ok[there] = lo[there]
+        return ok
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {"meta": np.array([self.n, self.bits], np.int64), "low": self.low, "high": self.high, "ones": self.ones}

@@ -4,9 +4,9 @@ Tokens are lower-case words and one end; the model is a trigram over all trainin
 discounting, interpolated down to unigrams (c + 1) / (N + V + 1). Every word has its own id, bigrams and
 trigrams, and every count is over all training documents.
 
-Ids are 64 bits: a number for each listed word, XXH64 with the top bit set for others. The list holds the
-VOCABULARY most frequent words, all words of over `spread` training tokens, and of words with one hash all
-(so ids never clash). It makes n-grams short and says which words are hot; no result depends on it.
+Ids are a number for each listed word, and for others bytes of XXH64, as many as the number of distinct words needs.
+The list holds the VOCABULARY most frequent words, all words of over `spread` training tokens, and of words with one hash
+all (so ids never clash). It makes n-grams short and says which words are hot; no result depends on it.
 
 A trie holds the n-grams of the middle words that a shard owns. Levels: middle words; their successors;
 contexts (the word before); and trigrams, each stored as the rank of its last word among the middle word's
@@ -48,7 +48,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import local_path, materialize, open_store, shared_path, words
+from ..sources.stores import local_path, open_store
+from .common import materialize, shared_path, words
 from .elias_fano import EliasFano
 
 VOCABULARY, DISCOUNT, STEP, SHARD_TOKENS, SPREAD, BLOCK_TOKENS, BLOCK_DOCS = 65_533, 0.75, 1024, 1_000_000, 250_000, 800_000, 30_000
@@ -69,8 +70,27 @@ def code(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-np.log10(p) * STEP), 65535).astype(np.uint16)
 
 
-def hash_id(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42) | 1 << 63
+def hash_bytes(n_distinct: int) -> int:
+    """So many bytes of a hash that about a thousand of n words, or fewer, share theirs with another."""
+    return min(7, max(4, -(-(2 * max(1, n_distinct).bit_length() - 10) // 8)))
+
+
+def _numbers(columns: list[np.ndarray], listed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct ids of columns, ascending, and each column as numbers of them."""
+    there = np.zeros(listed, bool)
+    rare = [c >= RARE for c in columns]
+    for c, r in zip(columns, rare):
+        there[c[~r].astype(np.int64)] = True
+    strange, number = np.unique(np.concatenate([c[r] for c, r in zip(columns, rare)]), return_inverse=True)
+    place, known, out, at = np.cumsum(there, dtype=np.int32) - 1, np.flatnonzero(there), [], 0
+    for c, r in zip(columns, rare):
+        own = np.empty(len(c), np.int32)
+        own[~r] = place[c[~r].astype(np.int64)]
+        many = int(r.sum())
+        own[r] = len(known) + number[at : at + many]
+        at += many
+        out.append(own)
+    return np.concatenate([known.astype(np.uint64), strange]), out
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -100,9 +120,9 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 def _at(starts: np.ndarray, n: int) -> np.ndarray:
     """The run of each of n rows."""
-    marks = np.zeros(n, np.int64)
+    marks = np.zeros(n, np.int8)
     marks[starts[1:]] = 1
-    return np.cumsum(marks)
+    return np.cumsum(marks, dtype=np.int64)
 
 
 class Trie:
@@ -235,6 +255,7 @@ class Vocabulary:
         self.words = [w for w, _ in top]
         self.counts = np.array([n_docs, n_docs, *(c for _, c in top)], np.int64)  # of the start as a middle word, the end, words
         self.tokens, self.distinct = n_words + n_docs, n_distinct + (n_docs > 0)
+        self.bytes = hash_bytes(n_distinct)
         self.classes = np.maximum(1, -(-self.counts // spread))
         self.classes[END] = 1
         number = {w: k for k, w in enumerate(self.words, FIRST)} | {b"": START}
@@ -248,11 +269,15 @@ class Vocabulary:
         self.pairs, self.pair_classes = np.array([k for k, _ in found], np.uint64), np.array([c for _, c in found], np.uint64)
         self.pairs_of = np.bincount((self.pairs >> np.uint64(32)).astype(np.int64), minlength=len(self.counts))
 
+    def id_of(self, word: bytes) -> int:
+        """Of a word that isn't listed."""
+        return xxhash.xxh64_intdigest(word, 42) & ((1 << 8 * self.bytes) - 1) | 1 << 63
+
     @classmethod
     def of(cls, counts: DataFrame, size: int, spread: int, sample: int = SAMPLE) -> Vocabulary:
         """A histogram of the counts (at most about a thousand rows) says from which on a word can be among the `size` most
         frequent, so that hardly more rows than those reach the driver."""
-        space = F.instr(F.decode("word", "ISO-8859-1"), " ") > 0
+        space = F.position(F.lit(b" "), F.col("word")) > 0
         found = counts.filter("word IS NOT NULL").withColumn("pair", space)
         words_ = found.filter("not pair")
         n_docs = counts.filter("word IS NULL").agg(F.sum("c")).first()[0] or 0
@@ -268,8 +293,9 @@ class Vocabulary:
         top = found_.filter(F.col("level") >= lowest).orderBy(F.desc("c"), "word").limit(size).collect()
         listed = {bytes(r["word"]): r["c"] for r in top}
         more = words_.filter(F.col("c") > spread) if len(top) == size and size and top[-1]["c"] > spread else None
-        twin = words_.groupBy(F.xxhash64("word").bitwiseOR(F.lit(-(2**63)).cast("long")).alias("id")).agg(F.count("*").alias("n")).filter("n > 1")
-        twins = words_.join(twin.select("id"), F.xxhash64("word").bitwiseOR(F.lit(-(2**63)).cast("long")) == F.col("id"), "left_semi")
+        own = F.xxhash64("word").bitwiseAND(F.lit((1 << 8 * hash_bytes(n_distinct)) - 1).cast("long"))
+        twin = words_.groupBy(own.alias("id")).agg(F.count("*").alias("n"), F.collect_list(F.struct("word", "c")).alias("twins")).filter("n > 1")
+        twins = twin.select(F.inline("twins"))
         for r in [*(more.collect() if more is not None else []), *twins.collect()]:
             listed[bytes(r["word"])] = r["c"]
         pairs = [(bytes(r["word"]), r["c"] * sample) for r in found.filter(F.col("pair") & (F.col("c") * sample > spread)).select("word", "c").collect()] if n_words > spread else []
@@ -328,18 +354,22 @@ def _unplanes(raw: bytes, kind, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T).view(kind).reshape(-1)
 
 
+def _bytes(ids: np.ndarray, many: int) -> np.ndarray:
+    return np.ascontiguousarray(ids).view(np.uint8).reshape(-1, 8)[:, :many]
+
+
 def _short(ids: np.ndarray) -> np.ndarray:
     return np.where(ids >= RARE, np.uint64(ESCAPE), ids)
 
 
-def encode(u: np.ndarray, v: np.ndarray, w: np.ndarray, extra: np.ndarray) -> bytes:
-    """N-grams sorted by v, then u, and a number for each. Listed ids are short; the others follow in order."""
+def encode(u: np.ndarray, v: np.ndarray, w: np.ndarray, extra: np.ndarray, many: int) -> bytes:
+    """N-grams sorted by v, then u, and a number for each. Listed ids are short; the others follow in order, with `many` bytes."""
     context = _short(v) << np.uint64(32) | _short(u)
-    rare_v = v[v >= RARE]
-    return _squeeze(_planes(np.diff(context, prepend=np.uint64(0))), _planes(_short(w).astype(np.uint32)), _planes(extra), _planes(np.diff(rare_v, prepend=np.uint64(0))), u[u >= RARE], w[w >= RARE])
+    steps = np.diff(v[v >= RARE] ^ RARE, prepend=np.uint64(0))
+    return _squeeze(_planes(np.diff(context, prepend=np.uint64(0))), _planes(_short(w).astype(np.uint32)), _planes(extra), _bytes(steps, many).T, *(_bytes(x[x >= RARE], many) for x in (u, w)))
 
 
-def decode(data: bytes, n: int, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def decode(data: bytes, n: int, kind, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """u, v, w and the numbers."""
     raw, size = _expand(data), np.dtype(kind).itemsize
     context = np.cumsum(_unplanes(raw, np.uint64, n, 0), dtype=np.uint64)
@@ -348,8 +378,11 @@ def decode(data: bytes, n: int, kind) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for k, x in enumerate((v, u, w)):
         rare = x == ESCAPE
         m = int(rare.sum())
-        x[rare] = np.frombuffer(raw, np.uint64, m, at) if k else np.cumsum(_unplanes(raw, np.uint64, m, at), dtype=np.uint64)
-        at += 8 * m
+        ids, held = np.zeros((m, 8), np.uint8), np.frombuffer(raw, np.uint8, many * m, at)
+        ids[:, :many] = held.reshape(m, many) if k else held.reshape(many, m).T
+        ids = ids.view(np.uint64).reshape(-1)
+        x[rare] = (ids if k else np.cumsum(ids, dtype=np.uint64)) | RARE
+        at += many * m
     return u, v, w, extra
 
 
@@ -371,7 +404,7 @@ def block_rows(block: int, ids: list, held: list[bool], sequences: list[np.ndarr
     counts, log_count = vocabulary.counts, np.log10(vocabulary.counts + 1.0)
     sizes = np.array([len(x) for x in sequences])  # with two starts each
     flow = np.concatenate(sequences)
-    listed, number = np.unique(flow, return_inverse=True)
+    listed, (number,) = _numbers([flow], len(vocabulary.counts))
     real = np.ones(len(flow), bool)
     begin = np.cumsum(sizes) - sizes
     real[begin] = real[begin + 1] = False
@@ -403,7 +436,7 @@ def block_rows(block: int, ids: list, held: list[bool], sequences: list[np.ndarr
     trained = np.bincount(np.repeat(np.arange(len(often)), times[often]), ~out[d[spots]], len(often)).astype(np.uint32)
     used, cut = np.unique(to[often], return_index=True)
     for s, part, n_train in zip(used.tolist(), np.split(often, cut[1:]), np.split(trained, cut[1:])):
-        rows.append((s, HEAVIES, block, len(part), 0, encode(u[part], v[part], w[part], n_train)))
+        rows.append((s, HEAVIES, block, len(part), 0, encode(u[part], v[part], w[part], n_train, vocabulary.bytes)))
     id_null = np.array([i is None for i in ids], np.uint8)
     id_value = np.array([0 if i is None else i for i in ids], np.int64)
     rows.append((-1 - block, DOCS, block, len(ids), len(where), _squeeze(id_value, base, (sizes - 2).astype(np.int64), n_known, where, copies.astype(np.int64), id_null, out.astype(np.uint8))))
@@ -415,13 +448,13 @@ def block_rows(block: int, ids: list, held: list[bool], sequences: list[np.ndarr
     gram, mark = gram[by], mark[by]
     used, cut = np.unique(to[gram], return_index=True)
     for s, part, m in zip(used.tolist(), np.split(gram, cut[1:]), np.split(mark, cut[1:])):
-        rows.append((s, GRAMS, block, len(part), 0, encode(u[part], v[part], w[part], m)))
+        rows.append((s, GRAMS, block, len(part), 0, encode(u[part], v[part], w[part], m, vocabulary.bytes)))
     return rows
 
 
 def route(docs: DataFrame, vocabulary: Vocabulary, shards: int, heavy: int = HEAVY) -> DataFrame:
     """Blocks of n-grams for the shards; and each block's documents, under a shard of their own."""
-    listed = vocabulary.words
+    listed, id_of = vocabulary.words, vocabulary.id_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -442,7 +475,7 @@ def route(docs: DataFrame, vocabulary: Vocabulary, shards: int, heavy: int = HEA
                 flow[:2], flow[-1] = START, END
                 flow[2:-1] = np.fromiter(map(known.get, found, repeat(0)), np.uint64, len(found))
                 strange = np.flatnonzero(flow[2:-1] == 0)
-                flow[strange + 2] = np.fromiter(map(hash_id, map(found.__getitem__, strange.tolist())), np.uint64, len(strange))
+                flow[strange + 2] = np.fromiter(map(id_of, map(found.__getitem__, strange.tolist())), np.uint64, len(strange))
                 ids.append(doc_id)
                 held.append(held_out(doc_id))
                 sequences.append(flow)
@@ -464,22 +497,23 @@ class Grams:
     trained ones the levels of a trie with what this shard knows of their totals."""
 
     def __init__(self, rows: list[tuple], vocabulary: Vocabulary):
-        parts = [decode(r[4], r[2], np.uint16 if r[0] == GRAMS else np.uint32) for r in rows]
+        parts = [decode(r[4], r[2], np.uint16 if r[0] == GRAMS else np.uint32, vocabulary.bytes) for r in rows]
         u, v, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
         light = np.concatenate([np.full(len(p[0]), r[0] == GRAMS) for r, p in zip(rows, parts)])
         self.mark = np.concatenate([p[3].astype(np.uint32) for p in parts])
         self.sizes = [len(p[0]) for p in parts]
         del parts
-        self.ids, number = np.unique(np.concatenate([u, v, w]), return_inverse=True)
+        self.ids, (u, v, w) = _numbers([u, v, w], len(vocabulary.counts))
         n = len(u)
-        del u, v, w
-        key = pack3(number[n : 2 * n], number[:n], number[2 * n :], len(self.ids))
+        key = pack3(v, u, w, len(self.ids))
         order = np.argsort(key)
         first = _runs(key[order])
+        del key
         at = order[first]
-        self.of = np.empty(n, np.int64)
+        self.of = np.empty(n, np.int32)
         self.of[order] = _at(first, n)
-        self.u, self.v, self.w = (number[k * n : (k + 1) * n][at].astype(np.int64) for k in range(3))
+        del order
+        self.u, self.v, self.w = (x[at].astype(np.int64) for x in (u, v, w))
         trained = np.bincount(self.of, np.where(light, self.mark < 32768, self.mark), len(at)).astype(np.int64)
         self.rare = np.flatnonzero(self.ids >= RARE)
         counts = np.bincount(self.w, trained, len(self.ids)).astype(np.int64)
@@ -590,10 +624,14 @@ def sum_up(table: pa.Table) -> pa.Table:
     return _questions(out)
 
 
+#: Sums of codes, log counts, known flags.
+SUMS = (np.int64, np.float64, np.int64)
+
+
 def _sums(doc: np.ndarray, *values: np.ndarray) -> bytes:
     """Sums by document, of those that occur."""
     own = np.flatnonzero(np.bincount(doc))
-    return len(own).to_bytes(4, "little") + _squeeze(own.astype(np.uint16), *(np.bincount(doc, v)[own].astype(float) for v in values))
+    return len(own).to_bytes(4, "little") + _squeeze(own.astype(np.uint16), *(_planes(np.bincount(doc, v)[own].astype(kind)) for v, kind in zip(values, SUMS)))
 
 
 def score_shard(table: pa.Table, answers: pa.Table, vocabulary: Vocabulary, shards: int, folder: str, keep: bool) -> pa.Table:
@@ -663,7 +701,7 @@ def finish_block(table: pa.Table, vocabulary: Vocabulary) -> pa.Table:
             heavy.append(np.frombuffer(_expand(data), np.float64).reshape(3, k))
             continue
         k, raw = int.from_bytes(data[:4], "little"), _expand(data[4:])
-        add(np.frombuffer(raw, np.uint16, k).astype(np.int64), *(np.frombuffer(raw, np.float64, k, 2 * k + 8 * k * j) for j in range(3)))
+        add(np.frombuffer(raw, np.uint16, k).astype(np.int64), *(_unplanes(raw, kind, k, 2 * k + 8 * k * j) for j, kind in enumerate(SUMS)))
     if heavy:
         found, doc = np.concatenate(heavy, 1)[:, (where >> np.uint64(16)).astype(np.int64)], (where & np.uint64(65535)).astype(np.int64)
         add(np.arange(n), *(np.bincount(doc, x * copies, n) for x in found))
