@@ -6,7 +6,12 @@ of a window are packed in decreasing length, each into the row with the least ro
 segment tree over the room values (how many open rows have that room) finds the least sufficient room in
 log(length) steps. A packed row is a fixed-length vector of ids, padded at its end; `cu_seqlens` holds
 where its segments end (with 0 first) and `resets` the places where positions start again from 0.
-`unpack` gives the documents' ids back; `write_matrices` writes the id matrices as raw little-endian files.
+Each segment names its document by a number of the row it came from (`doc_rows`: the task's number and the row's within it), since
+ids may repeat or be null; `unpack` gives every row's ids back. `write_matrices` writes, for each task, the id matrix, the cumulative
+segment lengths and the position resets as raw little-endian files, under names that no other attempt has, and each row says where it
+stands; `read_matrices` reads them.
+
+The vocabulary is read on the driver and goes with the tasks (about a megabyte), so executors need no copy of its folder.
 
 Windows: a task packs what it streams in windows of `window` tokens or MOST_DOCS documents, so memory is bounded and nothing is
 shuffled; only a window's last rows are not full.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import os
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,21 +32,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.stores import open_store
+from .common import shared_path
+
 FOLDER, VOCABULARY, LENGTH, WINDOW, MOST_DOCS, END = "/opt/tokenizers", "byte_bpe_50k.tiktoken", 2048, 8_000_000, 200_000, 50256
 #: The vocabulary's own splitting rule.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SCHEMA = "row_id string, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, resets array<int>, n_tokens int, ids binary"
+SCHEMA = "row_id string, doc_rows array<long>, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, resets array<int>, n_tokens int, ids binary"
+
+
+def vocabulary_file(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> bytes:
+    store, path = open_store(os.path.join(folder, vocabulary))
+    with store.open_input_file(path) as f:
+        return f.read()
 
 
 class Encoder:
     """Texts to ids. Pieces never reach over the space before a word, so what follows each space is encoded once
     and kept; texts with two spaces in a row are encoded whole."""
 
-    def __init__(self, folder: str = FOLDER, vocabulary: str = VOCABULARY, keep: int = 400_000):
+    def __init__(self, data: bytes | None = None, keep: int = 400_000):
         import tiktoken
 
-        with open(os.path.join(folder, vocabulary), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        lines = (vocabulary_file() if data is None else data).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.whole = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.keep, self.known = keep, {}
 
@@ -56,6 +71,9 @@ class Encoder:
         return np.frombuffer(np.array(self.whole(first), np.uint16).tobytes() + b"".join(map(known.__getitem__, rest)), np.uint16)
 
 
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
 class RoomTree:
     """A segment tree over room 0 .. length: counts of open rows, with search for the least room that suffices."""
 
@@ -101,30 +119,31 @@ def fit_decreasing(sizes: list[int], length: int) -> list[int]:
     return rows
 
 
-def pack_ids(docs: list[tuple[int | None, np.ndarray]], length: int = LENGTH, pad: int = END) -> list[tuple]:
-    """From (doc_id, ids): rows (doc_ids, doc_starts, cu_seqlens, resets, n_tokens, ids as bytes); doc_starts
+def pack_ids(docs: list[tuple[int, int | None, np.ndarray]], length: int = LENGTH, pad: int = END) -> list[tuple]:
+    """From (row number, doc_id, ids): rows (doc_rows, doc_ids, doc_starts, cu_seqlens, resets, n_tokens, ids as bytes); doc_starts
     says where in its document each segment begins."""
-    cut = [(doc_id, s, ids[s : s + length]) for doc_id, ids in docs for s in range(0, len(ids), length)]
+    cut = [(row, doc_id, s, ids[s : s + length]) for row, doc_id, ids in docs for s in range(0, len(ids), length)]
     held = defaultdict(list)
-    for piece, row in zip(cut, fit_decreasing([len(x[2]) for x in cut], length)):
+    for piece, row in zip(cut, fit_decreasing([len(x[3]) for x in cut], length)):
         held[row].append(piece)
     out = []
     for _, own in sorted(held.items()):
-        ends = np.cumsum([0, *(len(x[2]) for x in own)])
+        ends = np.cumsum([0, *(len(x[3]) for x in own)])
         ids = np.full(length, pad, np.uint16)
-        ids[: ends[-1]] = np.concatenate([x[2] for x in own])
-        out.append(([x[0] for x in own], [x[1] for x in own], ends.tolist(), ends[:-1].tolist(), int(ends[-1]), ids.tobytes()))
+        ids[: ends[-1]] = np.concatenate([x[3] for x in own])
+        out.append(([x[0] for x in own], [x[1] for x in own], [x[2] for x in own], ends.tolist(), ends[:-1].tolist(), int(ends[-1]), ids.tobytes()))
     return out
 
 
 def unpack(rows) -> dict:
-    """doc_id -> ids, from packed rows (doc_ids, doc_starts, cu_seqlens, resets, n_tokens, ids)."""
-    found = defaultdict(list)
-    for doc_ids, starts, ends, _, _, data in rows:
+    """row number -> (doc_id, ids), from packed rows (doc_rows, doc_ids, doc_starts, cu_seqlens, resets, n_tokens, ids)."""
+    found, names = defaultdict(list), {}
+    for doc_rows, doc_ids, starts, ends, _, _, data in rows:
         ids = np.frombuffer(data, np.uint16)
-        for doc_id, s, a, b in zip(doc_ids, starts, ends, ends[1:]):
-            found[doc_id].append((s, ids[a:b]))
-    return {d: np.concatenate([x for _, x in sorted(own, key=lambda x: x[0])]) for d, own in found.items()}
+        for row, doc_id, s, a, b in zip(doc_rows, doc_ids, starts, ends, ends[1:]):
+            found[row].append((s, ids[a:b]))
+            names[row] = doc_id
+    return {r: (names[r], np.concatenate([x for _, x in sorted(own, key=lambda x: x[0])])) for r, own in found.items()}
 
 
 def positions(cu_seqlens: list[int], length: int) -> np.ndarray:
@@ -137,18 +156,21 @@ def positions(cu_seqlens: list[int], length: int) -> np.ndarray:
 def pack_tokens(docs: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY, length: int = LENGTH, window: int = WINDOW, end: int = END) -> DataFrame:
     """Rows with doc_id and text -> packed rows (SCHEMA); ids are little-endian uint16."""
 
+    data = vocabulary_file(folder, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, nth, held, total = TaskContext.get().partitionId(), Encoder(folder, vocabulary), 0, [], 0
+        part, encoder, nth, held, total, seen = TaskContext.get().partitionId(), Encoder(data), 0, [], 0, 0
         last = np.array([end], np.uint16)
 
         def packed():
             rows = pack_ids(held, length, end)
             for at in range(0, len(rows), 1000):
                 cols = [[f"{part}-{nth}-{at + k}" for k in range(len(rows[at : at + 1000]))], *zip(*rows[at : at + 1000])]
-                types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["row_id", "doc_ids", "doc_starts", "cu_seqlens", "resets", "n_tokens", "ids"])
+                longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+                types = [pa.string(), longs, longs, longs, ints, ints, pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=NAMES)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -156,38 +178,55 @@ def pack_tokens(docs: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABUL
                 if held and (total + len(ids) > window or len(held) >= MOST_DOCS):
                     yield from packed()
                     held, total, nth = [], 0, nth + 1
-                held.append((doc_id, ids))
-                total += len(ids)
+                held.append((part << 40 | seen, doc_id, ids))
+                total, seen = total + len(ids), seen + 1
         if held:
             yield from packed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
-def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
-    """Write each partition's id matrix (rows x length, uint16, raw) to the folder; returns file, rows, bytes."""
-    from .media_shards import _uri
+#: The files of a task: ids (rows x length), cumulative lengths and resets of all rows one after the other, and where each row's lengths begin.
+FILES = {"ids": "u2", "cu_seqlens": "i4", "resets": "i4", "rows": "i8"}
+
 
-    folder = _uri(folder)
+def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
+    """Adds file (the stem of a task's files in the folder) and file_row to packed rows, as they are written; lazy, each attempt writes files of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = open_store(folder)
         store.create_dir(path, recursive=True)
-        name, rows, size = f"ids-{TaskContext.get().partitionId():06d}.u16", 0, 0
-        task = TaskContext.get().taskAttemptId()
-        with store.open_output_stream(f"{path}/.{name}-{task}") as out:
-            for batch in batches:
-                for ids in batch.column(0).to_pylist():
-                    out.write(ids)
-                    rows, size = rows + 1, size + len(ids)
-        store.move(f"{path}/.{name}-{task}", f"{path}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64()), pa.array([size], pa.int64())], names=["file", "rows", "bytes"])
-
-    return packed.select("ids").mapInArrow(run, "file string, rows long, bytes long")
+        stem = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        out, n, at = {k: store.open_output_stream(f"{path}/{stem}.{k}") for k in FILES}, 0, 0
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            for ids, ends, resets in zip(column("ids").to_pylist(), column("cu_seqlens").to_pylist(), column("resets").to_pylist()):
+                for k, x in (("ids", ids), ("cu_seqlens", np.array(ends, "<i4").tobytes()), ("resets", np.array(resets, "<i4").tobytes()), ("rows", np.array([at], "<i8").tobytes())):
+                    out[k].write(x)
+                at += len(ends)
+            place = [pa.array([f"{folder}/{stem}"] * len(batch)), pa.array(range(n, n + len(batch)), pa.int64())]
+            n += len(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *place], names=[*batch.schema.names, "file", "file_row"])
+        for f in out.values():
+            f.close()
+
+    return packed.mapInArrow(run, f"{SCHEMA}, file string, file_row long")
+
+
+def read_matrices(stem: str, length: int = LENGTH) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The id matrix of a task's files, and each row's cumulative lengths and resets."""
+    found = {}
+    for kind, dtype in FILES.items():
+        store, path = open_store(f"{stem}.{kind}")
+        with store.open_input_file(path) as f:
+            found[kind] = np.frombuffer(f.read(), f"<{dtype}")
+    starts = found["rows"]
+    own = lambda x, cuts: np.split(x, cuts[1:]) if len(cuts) else []
+    return found["ids"].reshape(-1, length), own(found["cu_seqlens"], starts), own(found["resets"], starts - np.arange(len(starts)))
 
 
 def op2_token_pack(spark, sf_dir: str) -> DataFrame:
-    return pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    packed = pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return write_matrices(packed, shared_path(spark, "packed-ids"))

@@ -45,19 +45,27 @@ def test_encoder_equals_the_library():
         assert e.encode(text).tolist() == e.whole(text), text
 
 
-def test_pieces_come_back(odd_docs, odd_rows, no_docs, wide_docs, spark, tmp_path):
-    docs = spark.createDataFrame([(k, r[1]) for k, r in enumerate(odd_rows)], "doc_id long, text string")
-    rows = T.pack_tokens(docs, length=256, window=4000).collect()
-    found, e = T.unpack([tuple(r)[1:] for r in rows]), T.Encoder()
-    assert {k: v.tolist() for k, v in found.items()} == {k: [*e.whole(r[1] or ""), T.END] for k, r in enumerate(odd_rows)}
+def test_pieces_come_back(odd_docs, odd_rows, no_docs, wide_docs, tmp_path):
+    """Every row of the table, with its repeated and null ids."""
+    e, folder = T.Encoder(), f"file://{tmp_path}/ids"
+    rows = T.write_matrices(T.pack_tokens(odd_docs.repartition(3), length=256, window=4000), folder).collect()
+    names = T.NAMES[1:]
+    found = T.unpack([[r[n] for n in names] for r in rows])
+    say = lambda pairs: sorted((str(i), ids) for i, ids in pairs)
+    assert say((i, v.tolist()) for i, v in found.values()) == say((r[0], [*e.whole(r[1] or ""), T.END]) for r in odd_rows)
+    assert len(found) == len(odd_rows) and len({r["row_id"] for r in rows}) == len(rows)
     for r in rows:
         assert len(r["ids"]) == 512 and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] <= 256 and r["resets"] == r["cu_seqlens"][:-1]
         at = T.positions(r["cu_seqlens"], 256)
         assert all(at[k] == 0 for k in r["resets"]) and (np.diff(at) <= 1).all()
-    assert len({r["row_id"] for r in rows}) == len(rows)
-    assert T.pack_tokens(no_docs).count() == 0 and T.pack_tokens(wide_docs).count() > 0
-    files = T.write_matrices(T.pack_tokens(docs, length=256), str(tmp_path / "ids")).collect()
-    assert sum(r["rows"] for r in files) * 512 == sum((tmp_path / "ids" / r["file"]).stat().st_size for r in files)
+    # the files say the same
+    held = {stem: T.read_matrices(stem, 256) for stem in {r["file"] for r in rows}}
+    for r in rows:
+        ids, cu_seqlens, resets = held[r["file"]]
+        k = r["file_row"]
+        assert ids[k].astype("<u2").tobytes() == r["ids"] and cu_seqlens[k].tolist() == r["cu_seqlens"] and resets[k].tolist() == r["resets"]
+    assert sum(len(ids) for ids, _, _ in held.values()) == len(rows)
+    assert T.write_matrices(T.pack_tokens(no_docs), folder).count() == 0 and T.pack_tokens(wide_docs).count() > 0
 
 
 def test_few_rows_are_wasted(spark, sf_dir):
@@ -106,6 +114,30 @@ def test_without_conflicts_it_is_best_fit(sizes):
     assert sorted(32 - v for v in fill.values()) == tightest([(n, k, k) for k, n in enumerate(sorted(sizes, reverse=True))], 32, 2)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 32), st.integers(0, 2), st.integers(0, 5)), min_size=1, max_size=50), st.integers(1, 3))
+def test_with_conflicts_it_is_the_tightest_compatible_bin(items, slots):
+    """Each piece, in decreasing order: of all bins that can take it, one with the least room, or a new bin if none can."""
+    rows = C.pack_window([(k, *x) for k, x in enumerate(items)], 32, slots)
+    room, sources, clusters = {}, collections.Counter(), set()
+    for _, _, _, _, units, source, cluster, b, _ in rows:
+        fit = [room[x] for x in room if room[x] >= units and sources[x, source] < slots and (x, cluster) not in clusters]
+        assert (b in room) == bool(fit) and (not fit or room[b] == min(fit))
+        room[b] = room.get(b, 32) - units
+        sources[b, source] += 1
+        clusters.add((b, cluster))
+    assert [r[4] for r in rows] == sorted((x[0] for x in items), reverse=True)
+
+
+def test_hot_clusters_are_packed_like_others():
+    """With groups of copies large enough for the dense bitmap, next to small ones."""
+    rng = random.Random(6)
+    items = [(rng.randint(1, 20), rng.choice("ab"), rng.choice(["hot", "warm", *map(str, range(40))])) for _ in range(400)]
+    rows = C.pack_window([(k, *x) for k, x in enumerate(items)], 32, 2)
+    cut = sorted(((u, s, c) for u, s, c in items), key=lambda x: -x[0])
+    assert len({r[7] for r in rows}) <= len(tightest(cut, 32, 2)) * 1.03
+
+
 def test_pack_odd_rows(odd_docs, odd_rows, no_docs, wide_docs):
     rows = C.pack(odd_docs, capacity=256).collect()
     assert sum(r["units"] for r in rows) == sum(len((r[1] or "").encode().split()) + 1 for r in odd_rows)
