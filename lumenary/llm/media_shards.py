@@ -5,9 +5,10 @@ appends the pictures it makes to tar shards in the shared folder, once for each
 rows. Metadata columns are filled by range reads of the picture's first 33 bytes (signature and IHDR)
 alone; `read_back` reads whole members for digests and features.
 
-Shards are written by tasks through Arrow's file systems (local, object stores, HDFS) under a temporary
-name and moved when complete, so a task that runs again leaves one whole shard. Payloads are not shuffled:
-equal payloads of different tasks are stored once per task, under one digest.
+Shards are written by tasks through Arrow's file systems (local, object stores, HDFS) under names that no other attempt has, and the
+index says which: a task that runs again writes shards of its own, and those of the lost attempt are not referred to. Nothing is
+moved. Payloads are not shuffled: equal payloads of different tasks are stored once per task, under one digest; a task holds the
+places of what it stored (some 200 bytes for each different payload).
 
 Nulls: a null payload is empty (media_columns leaves its pointers null). Empty table: no shard, empty
 result. Repeated rows point at one member. A payload of any length goes in whole. Extra columns are
@@ -25,9 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.stores import open_store
 from .common import materialize, shared_path
 
 WIDTH, LEVEL, SHARD_BYTES, SHARD_ROWS = 192, 5, 256 << 20, 200_000
@@ -81,21 +82,22 @@ class ShardWriter:
     """Appends members to tar shards in a folder; a member is stored once. Offsets are of the member's bytes."""
 
     def __init__(self, folder: str, name: str, limit: int = SHARD_BYTES):
-        self.store, self.folder = fs.FileSystem.from_uri(folder)
-        self.uri, self.name, self.limit, self.known, self.nth, self.out = folder, name, limit, {}, 0, None
+        self.store, self.path = open_store(folder)
+        self.uri, self.name, self.limit, self.known, self.nth, self.out = folder.rstrip("/"), f"{name}-{uuid.uuid4().hex}", limit, {}, 0, None
 
     def add(self, digest: str, data: bytes) -> tuple[str, int, int]:
-        if digest in self.known:
-            return self.known[digest]
+        key = bytes.fromhex(digest)
+        if key in self.known:
+            nth, offset = self.known[key]
+            return f"{self.uri}/{self.name}-{nth:05d}.tar", offset, len(data)
         if self.out is None:
-            self.temporary = f"{self.folder}/.{self.name}-{uuid.uuid4().hex}"
-            self.out, self.at = self.store.open_output_stream(self.temporary), 0
-            self.shard = f"{self.name}-{self.nth:05d}.tar"
+            self.out, self.at = self.store.open_output_stream(f"{self.path}/{self.name}-{self.nth:05d}.tar"), 0
         head = tarfile.TarInfo(digest)
         head.size = len(data)
         head = head.tobuf(tarfile.GNU_FORMAT)
         self.out.write(head + data + b"\0" * (-len(data) % 512))
-        place = self.known[digest] = (f"{self.uri}/{self.shard}", self.at + len(head), len(data))
+        self.known[key] = self.nth, self.at + len(head)
+        place = f"{self.uri}/{self.name}-{self.nth:05d}.tar", self.at + len(head), len(data)
         self.at += len(head) + len(data) + -len(data) % 512
         if self.at >= self.limit:
             self.close()
@@ -105,7 +107,6 @@ class ShardWriter:
         if self.out is not None:
             self.out.write(b"\0" * 1024)
             self.out.close()
-            self.store.move(self.temporary, f"{self.folder}/{self.shard}")
             self.out, self.nth = None, self.nth + 1
 
 
@@ -118,7 +119,7 @@ class ShardReader:
     def read(self, uri: str, offset: int, length: int) -> bytes:
         if uri != self.uri:
             self.close()
-            store, path = fs.FileSystem.from_uri(uri)
+            store, path = open_store(uri)
             self.uri, self.file = uri, store.open_input_file(path)
         return self.file.read_at(length, offset)
 
@@ -127,18 +128,12 @@ class ShardReader:
             self.file.close()
 
 
-def _uri(folder: str) -> str:
-    return "file:///" + folder.removeprefix("file:").lstrip("/") if folder.startswith(("file:", "/")) else folder
-
-
 def store_payloads(docs: DataFrame, folder: str, limit: int = SHARD_BYTES) -> DataFrame:
     """Rows with doc_id and binary `payload` -> doc_id, n_bytes and the index columns; lazy, each run writes its shards."""
-    folder = _uri(folder)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = open_store(folder)
         store.create_dir(path, recursive=True)
         writer, rows = ShardWriter(folder, f"part-{TaskContext.get().partitionId():06d}", limit), []
 
@@ -149,8 +144,6 @@ def store_payloads(docs: DataFrame, folder: str, limit: int = SHARD_BYTES) -> Da
                 cols = list(zip(*rows[at : at + 10_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
             rows.clear()
-            if len(writer.known) > 1_000_000:
-                writer.known.clear()
 
         for batch in batches:
             for doc_id, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
