@@ -1,12 +1,12 @@
 """Operator 3: quality rules and line sequence labelling by a linear-chain conditional random field.
 
 Each line with a word is described by buckets of its length, marks, capitals, table rules, repeats, digits,
-end, place, and by being a copy of an earlier line or a notice. A two-label chain (content, boilerplate)
+end, place, by being a copy of an earlier line, and the share of words of notices. A two-label chain (content, boilerplate)
 over these is decoded by Viterbi; the share of words in content lines decides retention, beside the two
 base rules (fewer than 50 words, or over half of the words in repeated 3-word windows).
 
-Training: at most SAMPLE rated documents (a documented bound, by hash of the id) reach the driver as line
-features. Ratings are of documents, not of lines, so a first fit without transitions takes each line's
+Training: at most SAMPLE rated documents of at most SAMPLE_LINES lines (a documented bound, by hash of the id) reach the driver as line
+features; sequences are whole, in batches of like length. Ratings are of documents, not of lines, so a first fit without transitions takes each line's
 label from its document; then lines of poor documents that this fit still takes for content, and lines of
 good ones that it takes for boilerplate with confidence, are labelled anew, and the chain is fitted to
 those sequences by gradient ascent on the conditional likelihood (forward-backward).
@@ -18,7 +18,6 @@ any length are read whole. Extra columns are ignored (`kept_documents` keeps the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from operator import eq
 
@@ -28,14 +27,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import pick, words
 
-SAMPLE, MIN_WORDS, MAX_REPEAT, MIN_CONTENT, CHUNK = 6_000, 50, 50, 0.5, 16
+SAMPLE, SAMPLE_LINES, MIN_WORDS, MAX_REPEAT, MIN_CONTENT = 6_000, 2_000, 50, 50, 0.5
 SYMBOLS = b"#*$%&|<>"
 SPACE_OR_TAIL = b" \t\n\r\x0b\x0c" + bytes(range(0x80, 0xC0))  # white space, and bytes that begin no code point
 CAPITALS, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 LETTERS = CAPITALS + CAPITALS.lower()
-NOTICE = re.compile(rb"licen[cs]e|copyright|rights reserved|cookie|subscribe|newsletter|sign in|log in|privacy|terms of|click here|share this|read more", re.I)
+#: What notices say, in lower case.
+NOTICES = (b"licens", b"licenc", b"copyright", b"rights reserved", b"cookie", b"subscribe", b"newsletter", b"sign in", b"log in", b"privacy", b"terms of", b"click here", b"share this", b"read more")
 BUCKETS = 10
-FEATURES = 11
+FEATURES = 12
 
 
 def _share(part: int, whole: int) -> int:
@@ -94,7 +94,8 @@ def line_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
             _share(size - len(line.translate(None, DIGITS)), size),
             _share(sum(map(eq, own, own[1:])), n),
             _share(n - len(set(own)), n),
-            2 * (line in seen) + (NOTICE.search(line) is not None if size < 300 else 0),
+            int(line in seen),
+            _share(sum(map(line.lower().count, NOTICES)), n),
             1 if last in b".?" else 2 if last == b"!" else 3 if last in SYMBOLS else 0,
             0 if k == 0 else 1 if k == len(lines) - 1 else 2,
         ))
@@ -136,23 +137,20 @@ class LineChain:
         return np.array(out[::-1], np.int64)
 
     def fit(self, sequences: list[np.ndarray], labels: list[np.ndarray], chain: bool, steps: int = 60, rate: float = 0.5, l2: float = 1e-4) -> LineChain:
-        """Full-batch AdaGrad ascent of the mean conditional log-likelihood; sequences are cut into chunks to be padded."""
-        size = CHUNK if chain else 1
-        cut = [(x[k : k + size], y[k : k + size]) for x, y in zip(sequences, labels) for k in range(0, len(x), size)] if chain else None
+        """Full-batch AdaGrad ascent of the mean conditional log-likelihood. With chain, sequences are whole, padded to the power of two above."""
         rows, marks = np.concatenate(sequences), np.concatenate(labels)
         kinds, kind = np.unique(rows, axis=0, return_inverse=True)  # few lines differ in all their buckets
-        cols, kind = self.columns(kinds), kind.reshape(-1)
-        if chain:
-            lengths = np.array([len(x) for x, _ in cut])
-            real = np.arange(lengths.max()) < lengths[:, None]
-        else:
-            real = np.ones((len(rows), 1), bool)
-        (n, t), total, at = real.shape, len(rows), np.zeros(real.shape, np.int64)
-        gold = np.zeros(real.shape, np.int64)
-        at[real], gold[real] = kind, marks
-        pairs = real[:, 1:]
-        gold_move = np.zeros((2, 2))
-        np.add.at(gold_move, (gold[:, :-1][pairs], gold[:, 1:][pairs]), 1)
+        cols, kind, total = self.columns(kinds), kind.reshape(-1), len(rows)
+        sizes = np.array([len(x) for x in sequences]) if chain else np.ones(total, np.int64)
+        starts = np.cumsum(sizes) - sizes
+        batches, gold_move = [], np.zeros((2, 2))
+        for width in sorted({1 << int(n - 1).bit_length() for n in sizes.tolist()}):
+            own = np.flatnonzero((sizes <= width) & (2 * sizes > width))
+            real = np.arange(width) < sizes[own, None]
+            at = np.where(real, starts[own, None] + np.arange(width), 0)
+            gold, pairs = marks[at], real[:, 1:]
+            np.add.at(gold_move, (gold[:, :-1][pairs], gold[:, 1:][pairs]), 1)
+            batches.append((real, kind[at], pairs))
 
         def spread(by_kind: np.ndarray) -> np.ndarray:
             return np.stack([np.bincount(cols.ravel(), np.repeat(by_kind[:, lab], FEATURES), len(self.emit)) for lab in (0, 1)], 1)
@@ -160,29 +158,37 @@ class LineChain:
         gold_emit = spread(np.stack([np.bincount(kind[marks == lab], minlength=len(kinds)) for lab in (0, 1)], 1))
         e2, m2 = np.full_like(self.emit, 1e-6), np.full_like(self.move, 1e-6)
         for _ in range(steps):
-            s = self.emit[cols].sum(1)[at] * real[..., None]
-            forward, backward = np.zeros((n, t, 2)), np.zeros((n, t, 2))
-            forward[:, 0] = s[:, 0]
-            for k in range(1, t):
-                step = np.logaddexp(forward[:, k - 1, 0, None] + self.move[0], forward[:, k - 1, 1, None] + self.move[1]) + s[:, k]
-                forward[:, k] = np.where(real[:, k, None], step, forward[:, k - 1])
-            for k in range(t - 2, -1, -1):
-                on = s[:, k + 1] + backward[:, k + 1]
-                step = np.logaddexp(self.move[:, 0] + on[:, 0, None], self.move[:, 1] + on[:, 1, None])
-                backward[:, k] = np.where(real[:, k + 1, None], step, 0)
-            z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-            p = np.exp(forward + backward - z[:, None, None])[real]
-            want = spread(np.stack([np.bincount(kind, p[:, lab], len(kinds)) for lab in (0, 1)], 1))
-            g = (gold_emit - want) / total - l2 * self.emit
+            scores, hoped, moved = self.emit[cols].sum(1), np.zeros((len(kinds), 2)), np.zeros((2, 2))
+            for real, at, pairs in batches:
+                p, both = self._expected(scores[at] * real[..., None], real)
+                for lab in (0, 1):
+                    hoped[:, lab] += np.bincount(at[real], p[real][:, lab], len(kinds))
+                moved += both[pairs].sum(0)
+            g = (gold_emit - spread(hoped)) / total - l2 * self.emit
             e2 += g**2
             self.emit += rate * g / np.sqrt(e2)
-            if chain and t > 1:
-                both = np.exp(forward[:, :-1, :, None] + self.move + (s + backward)[:, 1:, None, :] - z[:, None, None, None])
-                g = (gold_move - both[pairs].sum(0)) / total - l2 * self.move
+            if chain:
+                g = (gold_move - moved) / total - l2 * self.move
                 m2 += g**2
                 self.move += rate * g / np.sqrt(m2)
         return self
 
+    def _expected(self, s: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward over a batch of padded sequences: probabilities of labels (n, t, 2) and of pairs (n, t - 1, 2, 2)."""
+        n, t, _ = s.shape
+        forward, backward = np.zeros((n, t, 2)), np.zeros((n, t, 2))
+        forward[:, 0] = s[:, 0]
+        for k in range(1, t):
+            step = np.logaddexp(forward[:, k - 1, 0, None] + self.move[0], forward[:, k - 1, 1, None] + self.move[1]) + s[:, k]
+            forward[:, k] = np.where(real[:, k, None], step, forward[:, k - 1])
+        for k in range(t - 2, -1, -1):
+            on = s[:, k + 1] + backward[:, k + 1]
+            step = np.logaddexp(self.move[:, 0] + on[:, 0, None], self.move[:, 1] + on[:, 1, None])
+            backward[:, k] = np.where(real[:, k + 1, None], step, 0)
+        z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
+        both = np.exp(forward[:, :-1, :, None] + self.move + (s + backward)[:, 1:, None, :] - z[:, None, None, None])
+        return np.exp(forward + backward - z[:, None, None]), both
+
 
 def train(sequences: list[np.ndarray], good: list[bool]) -> LineChain:
     """From documents' line features and whether each document is good; see the module's note."""
@@ -200,7 +206,7 @@ def train(sequences: list[np.ndarray], good: list[bool]) -> LineChain:
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineChain:
-    """Fit on at most `sample` rated documents, taken by hash of the id."""
+    """Fit on at most `sample` rated documents of at most SAMPLE_LINES lines, taken by hash of the id."""
     rated = labels.select("doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -208,8 +214,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineC
     def rows(texts: pd.Series) -> pd.Series:
         return pd.Series([line_features(t)[1].astype(np.uint8).tobytes() for t in texts])
 
-    got = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", rows(F.col("text").cast("binary")).alias("rows")).limit(sample).toPandas()
-    got = got.sort_values(["doc_id", "rows"])
+    found = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
+    found = found.select("doc_id", "quality", F.xxhash64("doc_id").alias("h"), rows(F.col("text").cast("binary")).alias("rows")).filter(F.length("rows") <= SAMPLE_LINES * FEATURES)
+    got = found.orderBy("h", "doc_id", "rows").limit(sample).toPandas()
     return train([np.frombuffer(x, np.uint8).reshape(-1, FEATURES).astype(np.int64) for x in got["rows"]], [bool(q >= 1) for q in got["quality"]])
 
 
