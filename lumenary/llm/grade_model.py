@@ -5,8 +5,8 @@ grades, and ordered thresholds. The ratings come from `labels`: 0 toxic, 1 poor,
 expected grade and its tail probability P(grade >= 2) follow; the tail decides what is kept.
 
 Features: the set of lower-case words stripped of marks and of their first BEGIN bytes, hashed into WORDS, and the buckets of the shares of
-symbols, capitals, table rules, repeats of the word before, and words said before, and of the length. The fit takes at most SAMPLE labelled documents (a documented bound, chosen by hash of the
-id) to the driver, as feature ids; AdaGrad steps with an L1 shrinkage leave words that carry no signal at 0, so
+symbols, capitals, table rules, repeats of the word before, and words said before, and of the length. The fit takes at most SAMPLE labelled documents of at most SAMPLE_FEATURES features
+(a documented bound, chosen by hash of the id) to the driver, as feature ids; AdaGrad steps with an L1 shrinkage leave words that carry no signal at 0, so
 long texts gather no noise. Scoring covers every document.
 
 Nulls: a null or empty text is scored by its one feature (no words); null ratings are skipped; a document
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import pick, words
 
-WORDS, SAMPLE, GRADES, KEEP = 1 << 18, 12_000, 3, 0.4
+WORDS, SAMPLE, SAMPLE_FEATURES, GRADES, KEEP = 1 << 18, 12_000, 10_000, 3, 0.4
 SIZE, STAT_VALUE, BEGIN = WORDS + 128, 4.0, 4
 #: Bytes that are stripped off words; symbols; letters.
 MARKS = b".,;:!?\"'()[]{}#*$%&|<>-_"
@@ -164,7 +164,7 @@ def rated(labels: DataFrame) -> DataFrame:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GradeModel:
-    """Fit on at most `sample` rated documents, taken by hash of the id."""
+    """Fit on at most `sample` rated documents of at most SAMPLE_FEATURES features, taken by hash of the id."""
     chosen = rated(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     @F.pandas_udf("binary")
@@ -172,7 +172,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grade
         return pd.Series([features(t).tobytes() for t in texts])
 
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    got = rows.select("doc_id", "grade", ids(F.col("text").cast("binary")).alias("ids")).limit(sample).toPandas().sort_values(["doc_id", "ids"])
+    found = rows.select("doc_id", "grade", F.xxhash64("doc_id").alias("h"), ids(F.col("text").cast("binary")).alias("ids")).filter(F.length("ids") <= 4 * SAMPLE_FEATURES)
+    got = found.orderBy("h", "doc_id", "ids").limit(sample).toPandas().sort_values(["doc_id", "ids"])
     return GradeModel.fit([np.frombuffer(x, np.int32) for x in got["ids"]], got["grade"].tolist())
 
 
