@@ -9,8 +9,8 @@ Nulls: a null text has size 1 and CRC 0; a null doc_id is numbered as the smalle
 result. Repeated rows (equal id and text) get numbers next to each other, and are interchangeable. Extra
 columns are ignored.
 
-Scale: row numbers come from counts of ranges, not from one sorted partition. Range bounds are quantiles
-of doc_id; an id so frequent that it fills a range is split further by text hash. Only the bounds and the
+Scale: row numbers come from counts of ranges, not from one sorted partition. There are RANGES, or one for every RANGE_ROWS rows, up to
+10,000. Range bounds are quantiles of doc_id; an id so frequent that it fills a range is split further by text hash. Only the bounds and the
 ranges' counts (a few thousand numbers, whatever the input) reach the driver.
 """
 
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .common import materialize
 
 SHARDS, SEED, ROUNDS, RANGES = 16, "shards", 6, 256
+#: Rows of a range, from which on there are more ranges.
+RANGE_ROWS = 500_000
 
 
 class Feistel:
@@ -66,13 +68,19 @@ class Feistel:
         return self._walk(place, True)
 
 
-def number_rows(rows: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, int]:
+def number_rows(rows: DataFrame, ranges: int | None = None) -> tuple[DataFrame, int]:
     """Rows with doc_id and a text hash `key` get `row`, their place in (doc_id, key) order; and their number."""
+    ranges = ranges or min(10_000, max(RANGES, rows.count() // RANGE_ROWS))
     rows = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")))
     found = rows.agg(F.percentile_approx("_id", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10_000))).first()[0] or []
-    bounds = F.lit(found).cast("array<long>") if found else F.array().cast("array<long>")
     often = F.lit([a for a, b in zip(found, found[1:]) if a == b]).cast("array<long>")
-    rows = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col("_id"))))
+    cuts = np.array(found, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy()).astype(np.int32))
+
+    rows = rows.withColumn("_range", range_of("_id"))
     rows = rows.withColumn("_part", F.when(F.array_contains(often, F.col("_id")), F.substring("key", 1, 2)).otherwise(""))
     counts = sorted((r["_range"], r["_part"], r["count"]) for r in rows.groupBy("_range", "_part").count().collect())
     starts, total = {}, 0
@@ -81,9 +89,10 @@ def number_rows(rows: DataFrame, ranges: int = RANGES) -> tuple[DataFrame, int]:
         total += count
     if not total:
         return rows.withColumn("row", F.lit(0).cast("long")).drop("_id", "_range", "_part"), 0
-    start = F.element_at(F.lit([v for v in starts.values()]).cast("array<long>"), F.array_position(F.lit([f"{a}|{b}" for a, b in starts]), F.concat_ws("|", "_range", "_part")).cast("int"))
+    known = rows.sparkSession.createDataFrame([(a, b, v) for (a, b), v in starts.items()], "_range int, _part string, _start long")
+    rows = rows.join(F.broadcast(known), ["_range", "_part"])  # a row for each range, or 256 of a frequent id's
     order = W.partitionBy("_range", "_part").orderBy("_id", "key")
-    return rows.withColumn("row", start + F.row_number().over(order) - 1).drop("_id", "_range", "_part"), total
+    return rows.withColumn("row", F.col("_start") + F.row_number().over(order) - 1).drop("_id", "_range", "_part", "_start"), total
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
