@@ -5,15 +5,16 @@ shares at least 4. Postings of single bytes would be quadratic, so the index is
 a covering design of 20 triples has one inside every set of 4 positions, so every link meets in a posting.
 Inside a posting the shared bytes of each pair are tallied, pairs under the guaranteed minimum are
 dropped, and the rest verified by their differing bits. Equal fingerprints are one entry. A posting
-returns a spanning star for each of its connected parts, never all its pairs: long postings are searched
-by growing a part from a seed against what is still unvisited, after splitting those of over `long`
-entries by a fourth shared byte, which a link must have.
+returns a spanning star for each of its connected parts, never all its pairs: a part is grown from a seed against what is still
+unvisited. Postings of over `long` entries are split by every further byte that a link may share, again and again; links that share none
+of the bytes left are looked up by their few possible differences. So no search is quadratic in a posting.
 
 `near_unique` keeps one document of each group of similar texts (Jaccard similarity 0.8 of the sets of five-word shingles). At
 that similarity 15% of the bits differ, more than shared bytes can be guaranteed for, so it takes 256 bits and candidates meet
 in postings of shingles: sets that similar share a shingle among the first fifth of each in any one order (prefix filter; hash
 order, with shingles frequent in a sample last). There their bits are compared with a cut far above those expected. The
-components of candidates are then split by the exact similarity of their sets; a component is held by one task.
+components of candidates are then split by the exact similarity of their sets. A component of over BLOCK_SETS sets is cut into blocks, each pair of
+blocks is one task's, and what their links join are the parts; so a task holds two blocks at most, and no pair goes uncompared.
 
 Components of the links are found by alternating large-star and small-star steps over distributed edges.
 
@@ -41,6 +42,8 @@ SHINGLE, BITS, LONG = 4, 4, 4096
 STAGE_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 4
 #: Standard deviations by which the bits of candidates may exceed those expected at the similarity.
 CANDIDATE = 4.5
+#: Sets of a component that one task holds; larger ones are compared block by block.
+BLOCK_SETS = 4096
 #: Documents sampled for frequent shingles, the count from which they are, the longest list: they order postings, no result depends on them.
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 20, 100_000
 
@@ -118,19 +121,50 @@ def _linked(x: np.ndarray, bits: int) -> np.ndarray:
     return near
 
 
-def posting_links(fps: np.ndarray, bits: int = BITS, long: int = LONG, split: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links among distinct fingerprints of one posting, as (member, root) arrays."""
-    if split and len(fps) > long:
+def _masks(free: tuple[int, ...], bits: int) -> list[int]:
+    """Differences of up to `bits` bits with one at least in every one of the free bytes."""
+    if not free:
+        return [0]
+    own = [(v.bit_count(), v << 8 * free[0]) for v in range(1, 256)]
+    return [v | rest for n, v in own if n <= bits - len(free) + 1 for rest in _masks(free[1:], bits - n)]
+
+
+def _by_masks(fps: np.ndarray, free: tuple[int, ...], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links among fingerprints that differ in each of the free bytes: the partner of each difference is looked up, so work is in proportion
+    to their number. Links within what is joined already are mostly left out."""
+    fps, out = np.sort(fps), []
+    part, size = np.arange(len(fps)), min(26, (64 * len(fps)).bit_length())
+    slot = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size)
+    there = np.zeros(1 << size, bool)  # rules out nearly all differences before the search
+    there[slot(fps)] = True
+    for mask in _masks(free, bits):
+        other = fps ^ np.uint64(mask)
+        some = np.flatnonzero(there[slot(other)] & (fps < other))
+        at = np.minimum(np.searchsorted(fps, other[some]), len(fps) - 1)
+        good = (fps[at] == other[some]) & (part[some] != part[at])
+        some, at = some[good], at[good]
+        if len(some):
+            out.append((fps[at], fps[some]))
+            part[at] = part[some] = np.minimum(part[some], part[at])
+    return out
+
+
+def posting_links(fps: np.ndarray, bits: int = BITS, long: int = LONG) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links among distinct fingerprints of one posting, as (member, root) arrays, that join all its links join. Long ones are split by each
+    byte in which they differ: a link shares one of these, and is met in that part, or differs in all, and is looked up by its difference."""
+    free = tuple(k for k in range(8) if len(fps) and (((fps ^ fps[0]) >> np.uint64(8 * k)) & np.uint64(255)).any())
+    if len(fps) > long and free:
         out = []
-        for k in range(8):
+        for k in free:
             byte = (fps >> np.uint64(8 * k)) & np.uint64(255)
-            if (byte == byte[0]).all():
-                continue  # a byte of the posting itself
             order = np.argsort(byte, kind="stable")
             for part in np.split(fps[order], np.flatnonzero(np.diff(byte[order])) + 1):
-                out += posting_links(part, bits, long, split=False) if len(part) > 1 else []
-        alike = sum(int((((fps ^ fps[0]) >> np.uint64(8 * k)) & np.uint64(255) == 0).all()) for k in range(8))
-        return out if alike < 8 - bits else out + posting_links(fps, bits, long, split=False)
+                out += posting_links(part, bits, long) if len(part) > 1 else []
+        return out + (_by_masks(fps, free, bits) if len(free) <= bits else [])
+    if len(fps) <= 512:  # few links are taken as they are
+        a, b = np.nonzero(np.triu(_linked(fps[:, None] ^ fps[None, :], bits), 1))
+        if len(a) <= 2 * len(fps):
+            return [(fps[b], fps[a])] if len(a) else []
     out, rest = [], fps
     while len(rest) > 1:
         seed, rest, front = rest[0], rest[1:], rest[:1]
@@ -347,55 +381,129 @@ def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
     return postings.repartition(many, "posting").sortWithinPartitions("posting").select("posting", *names).mapInArrow(meet, "a long, b long").distinct()
 
 
-def _similar_parts(prints: np.ndarray, sets: list[np.ndarray], bits: int, similarity: float) -> np.ndarray:
-    """For each of the sets of a component of candidates: the first set of its part over links of the given similarity."""
-    part, rest = np.arange(len(sets)), np.arange(len(sets))
-    while len(rest) > 1:
-        seed, front, rest = rest[0], [rest[0]], rest[1:]
-        while front and len(rest):
-            one = front.pop()
-            linked = []
-            for other in rest[_near(prints[rest] ^ prints[one], bits)]:
-                a, b = sets[one], sets[other]
-                if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9:
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if both >= similarity * (len(a) + len(b) - both) - 1e-9:
-                        linked.append(other)
-            if linked:
-                part[linked] = seed
-                front += linked
-                rest = rest[~np.isin(rest, linked)]
+class _Sets:
+    """Sets of shingle hashes as numbers of one vocabulary, to count what one set shares with all others in one pass over them."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        vocabulary, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flat = self.flat.astype(np.int32)
+        self.start = np.cumsum(self.size) - self.size
+        self.flags, self.similarity = np.zeros(len(vocabulary), bool), similarity
+
+    def own(self, k: int) -> np.ndarray:
+        return self.flat[self.start[k] : self.start[k] + self.size[k]]
+
+    def part(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members (ascending) with their shingles side by side, to be searched."""
+        sizes = self.size[members]
+        there = np.zeros(len(self.size), bool)
+        there[members] = True
+        return members, self.flat[np.repeat(there, self.size)], np.cumsum(sizes) - sizes
+
+    def linked(self, k: int, part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which members of a part are as similar to set k as asked."""
+        members, flat, start = part
+        own = self.own(k)
+        if not len(own):
+            return self.size[members] == 0
+        self.flags[own] = True
+        hits = np.zeros(len(flat) + 1, np.int32)
+        np.cumsum(self.flags[flat], out=hits[1:], dtype=np.int32)
+        both = hits[start + self.size[members]] - hits[start]
+        self.flags[own] = False
+        return both >= self.similarity * (len(own) + self.size[members] - both) - 1e-9
+
+
+def _similar_parts(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set: the first set of its part over links of the given similarity."""
+    all_, part = _Sets(sets, similarity), np.arange(len(sets))
+    rest = np.ones(len(sets), bool)
+    held = all_.part(np.arange(len(sets)))
+    for seed in range(len(sets)):
+        if not rest[seed]:
+            continue
+        rest[seed], front = False, [seed]
+        while front:
+            if 2 * int(rest.sum()) < len(held[0]):
+                held = all_.part(np.flatnonzero(rest))
+            if not len(held[0]):
+                break
+            found = held[0][all_.linked(front.pop(), held)]
+            found = found[rest[found]]
+            rest[found] = False
+            part[found] = seed
+            front += found.tolist()
     return part
 
 
-def exact_parts(rows: DataFrame, n: int, similarity: float, bits: int) -> DataFrame:
-    """(sid, part) from rows with root, sid, text, w0, w1, ..., one for each distinct set of the components of candidates."""
+def _similar_pairs(sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between the first sets and the others, but for those that join what is joined already."""
+    all_, root, out = _Sets(sets, similarity), list(range(len(sets))), []
+    others = all_.part(np.arange(first, len(sets)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for one in range(first):
+        for other in others[0][all_.linked(one, others)].tolist():
+            a, b = top(one), top(other)
+            if a != b:
+                root[b] = a
+                out.append((one, other))
+    return out
+
+
+def exact_links(rows: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(a, b): links of the given similarity, enough to join all that they join, from rows with root, lo, hi, block, sid and text: the
+    blocks lo and hi (or the one block lo = hi) of a component of candidates, one row for each distinct set. A block is joined to itself by a star."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sids, prints, sets = None, [], [], []
+        now, held = None, []
 
         def whole():
-            part = _similar_parts(np.array(prints, np.int64).view(np.uint64), sets, bits, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array([sids[k] for k in part], pa.int64())], names=["sid", "part"])
+            lo, hi = now[1:]
+            held.sort(key=lambda x: x[:2])
+            sids, sets = [x[1] for x in held], [x[2] for x in held]
+            if lo == hi:
+                pairs = list(enumerate(_similar_parts(sets, similarity).tolist()))
+            else:
+                first = sum(x[0] == lo for x in held)
+                pairs = _similar_pairs(sets, first, similarity) if 0 < first < len(sets) else []
+            return pa.RecordBatch.from_arrays([pa.array([sids[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for root, sid, text, *words_ in zip(*[c.to_pylist() for c in batch.columns]):
-                if root != now and sids:
+            for root, lo, hi, block, sid, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if (root, lo, hi) != now and held:
                     yield whole()
-                    sids, prints, sets = [], [], []
-                now = root
-                sids.append(sid)
-                prints.append(words_)
-                sets.append(np.unique(_shingle_hashes(text, n)))
-        if sids:
+                    held.clear()
+                now = root, lo, hi
+                held.append((block, sid, np.unique(_shingle_hashes(text, n))))
+        if held:
             yield whole()
 
     many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.select("root", "sid", "text", *(f"w{k}" for k in range(WIDE)))
-    return rows.repartition(many, "root").sortWithinPartitions("root", "sid").mapInArrow(split, "sid long, part long")
+    rows = rows.select("root", "lo", "hi", "block", "sid", "text")
+    return rows.repartition(many, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(split, "a long, b long")
+
+
+def exact_parts(docs: DataFrame, several: DataFrame, n: int, similarity: float, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """(sid, part) of the sets of candidates (key, sid, root, sets: how many the component has)."""
+    texts = docs.select(F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("key"), F.col("text").cast("binary").alias("text")).join(several, "key").dropDuplicates(["sid"])
+    blocks = F.expr(f"cast((sets + {block_sets - 1}) div {block_sets} as int)")
+    rows = texts.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "block").alias("lo"), F.greatest(j, "block").alias("hi")))
+    links = materialize(exact_links(rows.withColumn("pair", F.explode(pairs)).select("root", "pair.*", "block", "sid", "text"), n, similarity), "links")
+    if several.filter(F.col("sets") > block_sets).isEmpty():
+        return links.select(F.col("a").alias("sid"), F.col("b").alias("part"))
+    joined = components(links)
+    alone = links.select(F.col("a").alias("sid")).distinct().join(joined.select(F.col("node").alias("sid"), F.col("root").alias("part")), "sid", "left")
+    return alone.withColumn("part", F.coalesce("part", "sid"))
 
 
-def near_unique(docs: DataFrame, n: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_unique(docs: DataFrame, n: int = STAGE_SHINGLE, similarity: float = SIMILARITY, block_sets: int = BLOCK_SETS) -> DataFrame:
     """One document of each group of similar ones, with all its columns: of those with the group's smallest
     doc_id, the first by text hash. Texts without words are one group."""
     names, bits, frequent = [f"w{k}" for k in range(WIDE)], most_bits(similarity, CANDIDATE), frequent_shingles(docs, n)
@@ -414,17 +522,18 @@ def near_unique(docs: DataFrame, n: int = STAGE_SHINGLE, similarity: float = SIM
     sets = prints.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first(F.struct("id", *names, "prefix")).alias("p"))
     distinct = materialize(sets.select("sid", "least", "key", "p.*"), "fingerprints")
     roots = components(wide_links(distinct, bits)).withColumnRenamed("node", "id")
-    named = distinct.select("sid", "least", "key", "id", *names).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    several = materialize(named.join(named.groupBy("root").count().filter("count > 1").select("root"), "root").select("key", "sid", "root", *names), "candidates")
-    texts = docs.select(key.alias("key"), F.col("text").cast("binary").alias("text")).join(several, "key").dropDuplicates(["sid"])
-    parts = materialize(exact_parts(texts, n, similarity, bits), "parts")
+    named = distinct.select("sid", "key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = materialize(named.join(named.groupBy("root").agg(F.count("*").alias("sets")).filter("sets > 1"), "root").select("key", "sid", "root", "sets"), "candidates")
+    parts = exact_parts(docs, several, n, similarity, block_sets)
     named = distinct.select("sid", "least").join(parts, "sid", "left").withColumn("root", F.coalesce("part", "sid"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = named.join(least, "root").filter(F.col("least").eqNullSafe(F.col("component_id"))).select("sid", "root", "component_id")
     chosen = prints.select("doc_id", "key", "sid").join(groups, "sid").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.withColumn("_nth", F.row_number().over(W.partitionBy("root").orderBy("key"))).filter("_nth = 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    rows = docs.select("doc_id", F.struct("*").alias("_row"), key.alias("key")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
-    return rows.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "key").orderBy(F.lit(1)))).filter("_nth = 1").select("_row.*")
+    # what is kept is known by a hash of id and text, before whole rows move; they move once, spread by this hash
+    row_key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.col("key"))).alias("_key")
+    chosen = chosen.groupBy("root").agg(F.min(F.struct("key", "doc_id")).alias("c")).select("c.*").select(row_key)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", key.alias("key")).select("_row", row_key).join(chosen, "_key", "left_semi")
+    return rows.withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy(F.lit(1)))).filter("_nth = 1").select("_row.*")
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,53 @@
 import collections
+import zlib
+
+import numpy as np
 
 import corpus_pipeline
-from lumenary.llm import grade_model, line_crf, queries, simhash_dedup
+from lumenary.llm import grade_model, line_crf, queries
 from lumenary.llm.conflict_pack import CAPACITY, SLOTS
 
-from .test_near_and_shards import roots, wide
+from .test_near_and_shards import similar_roots
+from .test_quality_and_mix import base
+
+
+def tail_of(text, model):
+    """The chance of the best grade, by code of its own: words without marks, their beginnings, and buckets of six shares."""
+    raw, marks = text.encode(), b".,;:!?\"'()[]{}#*$%&|<>-_"
+    found, hashed = raw.split(), set()
+    for w in found:
+        if w := w.strip(marks).lower():
+            hashed.add(zlib.crc32(w) % 2**18)
+            if len(w) > 4:
+                hashed.add(zlib.crc32(b"\0" + w[:4]) % 2**18)
+    step = lambda x: 0 if x <= 0 else 1 + sum(x > y for y in (0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6))
+    letters = sum(chr(c).isalpha() for c in raw if c < 128)
+    n = len(found)
+    shares = [0] * 6
+    if n:
+        shares = [
+            step(sum(c in b"#*$%&|<>!" for c in raw) / len(raw)), step(sum(65 <= c <= 90 for c in raw) / max(1, letters)), step(raw.count(b" | ") / n),
+            step(sum(a == b for a, b in zip(found, found[1:])) / n), int(8 * (1 - len(set(found)) / n)), min(12, n.bit_length()),
+        ]
+    z = sum(model.weights[k] for k in hashed) + 4 * sum(model.weights[2**18 + 16 * k + v] for k, v in enumerate(shares))
+    return 1 / (1 + np.exp(model.thresholds[-1] - z))
+
+
+def line_verdict(text, chain):
+    """Base rules from the counts of the other test, and the share of words in content lines by the best path of all, found forwards with all paths' scores kept."""
+    n_words, _, _, _, repeats = base(text)
+    counts, rows = line_crf.line_features(text.encode())
+    if n_words < 50 or 100 * repeats > 50 * n_words:
+        return False
+    paths = {(y,): chain.scores(rows[:1])[0, y] for y in (1, 0)}
+    for k in range(1, len(rows)):
+        s, best = chain.scores(rows[k : k + 1])[0], {}
+        for y in (1, 0):
+            value, path = max(((v + chain.move[p[-1], y] + s[y], p) for p, v in paths.items()), key=lambda x: x[0])
+            best[*path, y] = value
+        paths = best
+    label = np.array(max(paths, key=paths.get))
+    return counts[label == 1].sum() >= 0.5 * counts.sum()
 
 
 def test_stages_on_odd_rows(spark, wide_docs, odd_docs, no_docs, tmp_path, labels, sf_dir):
@@ -26,9 +69,9 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model, chain = grade_model.fit_model(docs, labels), line_crf.fit_chain(docs, labels)
     rows = sorted((r["doc_id"], r["text"], r["source"]) for r in docs.collect())
-    good = [r for r in rows if model.tails([model.latent(r[1].encode())])[0, -1] >= grade_model.KEEP]
-    clean = [r for r in good if line_crf.judge(r[1].encode(), chain)[-1]]
-    root = roots([wide(r[1]) for r in clean], simhash_dedup.most_bits(0.8))
+    good = [r for r in rows if tail_of(r[1], model) >= 0.4]
+    clean = [r for r in good if line_verdict(r[1], chain)]
+    root = similar_roots([r[1] for r in clean])
     single = [r for k, r in enumerate(clean) if root[k] == k]
     assert 0 < len(single) < len(clean) < len(good) < len(rows)
 

@@ -45,6 +45,34 @@ def test_grades_are_learned_in_order():
     assert np.allclose(z, [value(Q.features(t.encode())) for t, _ in rows[600:]])
 
 
+def test_fit_is_as_good_as_a_plain_one():
+    """Against cumulative-link regression on whole words, fitted by full-batch gradient descent."""
+    rows = graded(600, 5)
+    names = {w: k for k, w in enumerate(sorted({w for t, _ in rows for w in t.split()}))}
+    x = np.zeros((len(rows), len(names)))
+    for k, (t, _) in enumerate(rows):
+        x[k, [names[w] for w in set(t.split())]] = 1
+    y, train = np.array([g for _, g in rows]), np.arange(len(rows)) < 400
+    w, cuts = np.zeros(len(names)), np.array([-0.7, 0.7])
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for _ in range(600):
+        z = x[train] @ w
+        upper, lower = sigmoid(np.append(cuts, 35)[y[train]] - z), sigmoid(np.insert(cuts, 0, -35)[y[train]] - z)
+        g = -(upper * (1 - upper) - lower * (1 - lower)) / np.maximum(upper - lower, 1e-9)  # of the log-likelihood by z
+        w += 0.02 * (x[train].T @ g - 0.05 * w)
+    plain = ((x[~train] @ w >= cuts[1]) == (y[~train] == 2)).mean()
+    model = Q.GradeModel.fit([Q.features(t.encode()) for t, _ in rows[:400]], [g for _, g in rows[:400]])
+    own = ((model.tails([model.latent(t.encode()) for t, _ in rows[400:]])[:, -1] >= 0.5) == (y[~train] == 2)).mean()
+    assert own >= plain - 0.02 and own > 0.9
+
+
+def test_long_documents_are_not_sampled_but_scored(spark, odd_docs, odd_rows, labels, monkeypatch):
+    monkeypatch.setattr(Q, "SAMPLE_FEATURES", 60)
+    monkeypatch.setattr(L, "SAMPLE_LINES", 2)
+    assert Q.grade_documents(odd_docs, Q.fit_model(odd_docs, labels)).count() == len(odd_rows)
+    assert L.judge_documents(odd_docs, L.fit_chain(odd_docs, labels)).count() == len(odd_rows)
+
+
 def test_gradient_is_the_likelihoods(monkeypatch):
     """The first step from zero weights lowers the loss of each rating's own features."""
     model = Q.GradeModel.fit([np.array([1]), np.array([2]), np.array([3])] * 50, [0, 1, 2] * 50, l1=0.0)
@@ -121,6 +149,41 @@ def test_chain_fit_raises_the_likelihood():
     assert right > alone and chain.move[0, 0] + chain.move[1, 1] > chain.move[0, 1] + chain.move[1, 0]
 
 
+def test_forward_backward_of_whole_sequences():
+    """Probabilities of labels and of pairs against all paths, for sequences of several lengths in one batch; none is cut."""
+    rng = np.random.default_rng(5)
+    chain = L.LineChain(rng.normal(size=(L.FEATURES * L.BUCKETS, 2)), rng.normal(size=(2, 2)))
+    sizes = (5, 7, 8)
+    rows = [rng.integers(0, L.BUCKETS, (n, L.FEATURES)) for n in sizes]
+    real = np.arange(8) < np.array(sizes)[:, None]
+    scores = np.zeros((3, 8, 2))
+    for k, x in enumerate(rows):
+        scores[k, : len(x)] = chain.scores(x)
+    p, both = chain._expected(scores, real)
+    for k, n in enumerate(sizes):
+        paths = [[m >> j & 1 for j in range(n)] for m in range(1 << n)]
+        weight = np.array([np.exp(sum(scores[k, j, y] for j, y in enumerate(path)) + sum(chain.move[a, b] for a, b in zip(path, path[1:]))) for path in paths])
+        weight /= weight.sum()
+        for j in range(n):
+            assert abs(p[k, j, 1] - sum(w for w, path in zip(weight, paths) if path[j])) < 1e-9
+            if j:
+                assert abs(both[k, j - 1, 1, 0] - sum(w for w, path in zip(weight, paths) if path[j - 1] and not path[j])) < 1e-9
+
+
+def test_long_sequences_teach_rare_moves():
+    """A move that comes once in forty lines is seen wherever it falls."""
+    y = np.repeat([1, 0, 1], [25, 40, 25])
+    x = np.zeros((len(y), L.FEATURES), np.int64)
+    x[:, 0] = y
+    chain = L.LineChain().fit([x] * 8, [y] * 8, chain=True)
+    assert chain.move[0, 0] + chain.move[1, 1] > chain.move[0, 1] + chain.move[1, 0] and (chain.decode(x) == y).all()
+
+
+def test_notices_in_long_lines_count():
+    text = ("word " * 200 + "copyright subscribe").encode()
+    assert L.line_features(text)[1][0, 9] > 0 and L.line_features(b"word " * 200)[1][0, 9] == 0
+
+
 def test_boilerplate_share_decides(spark):
     rng, rows, marks = random.Random(4), [], []
     for k in range(240):
