@@ -9,8 +9,8 @@ apportionments at its ends. Each of these needs only the seats near its last one
 number of blocks does not matter.
 
 Each source's documents stand in a seeded order, end to end, and are cut into blocks. A quota is whole passes over
-these, and seeded blocks beyond: the stream is parted into up to RUNS equal segments, and each gives its share of the blocks as
-one run from a seeded place. A shard has the blocks of a source from its first seat to its last, in this order. So
+these, and seeded blocks beyond: the stream is parted into up to RUNS equal segments (one for every RUN_DOCS documents), and each
+gives its share of the blocks as one run from a seeded place. A shard has the blocks of a source from its first seat to its last, in this order. So
 at most two documents a run are cut by its edges.
 
 Nulls: a null text has size 0, a null source is a source of its own, a null doc_id is kept. Empty table:
@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import materialize, word_count
 
 BLOCKS, SHARDS, SEED, EPOCHS, WEIGHTS = 8192, 16, "mix", 3, (1, 2, 3)
-#: Blocks of the smallest target, and runs of a source.
-FINEST, RUNS = 16, 64
+#: Blocks of the smallest target, runs of a source at most, and documents of a source for each run at least.
+FINEST, RUNS, RUN_DOCS = 16, 64, 64
 #: The step of seeded places from run to run.
 STEP = 40_503
 
@@ -64,7 +64,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
     before, behind = F.sum("cap").over(by_ratio) - F.col("cap"), F.sum("weight").over(all_) - F.sum("weight").over(by_ratio) + F.col("weight")
     rows = rows.withColumn("level_here", (F.col("total") - before).cast("double") / behind.cast("double")).withColumn("level", F.max("level_here").over(all_))
     share = F.col("weight").cast("double") * F.col("level")
-    return rows.withColumn("target", F.least(F.col("cap").cast("double"), share)).select("sk", "source_size", "weight", "total", "sources", "target")
+    return rows.withColumn("target", F.least(F.col("cap").cast("double"), share)).drop("nth", "cap", "level_here", "level")
 
 
 def block_words(targets: DataFrame, blocks: int = BLOCKS, finest: int = FINEST) -> DataFrame:
@@ -93,7 +93,7 @@ def _plan(targets: DataFrame, epochs: int, shards: int, seed: str) -> DataFrame:
     plan = targets.join(ends, "sk", "left").withColumn("stream", F.expr("(source_size + block - 1) div block"))
     plan = plan.withColumn("seats", F.least(F.coalesce("seats", _long(0)), F.col("stream") * epochs))
     plan = plan.withColumn("passes", F.expr("if(stream = 0, 0L, seats div stream)")).withColumn("more", F.col("seats") - F.col("passes") * F.col("stream"))
-    plan = plan.withColumn("runs", F.least(_long(RUNS), "more", F.col("stream") - F.col("more")))
+    plan = plan.withColumn("runs", F.least(_long(RUNS), F.greatest(_long(1), F.expr(f"docs div {RUN_DOCS}")), "more", F.col("stream") - F.col("more")))
     return plan.withColumn("seeded", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("sk"))), 1, 7), 16, 10).cast("long"))
 
 
@@ -112,10 +112,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, blocks:
     with a word of it; null if none is taken), and the carried columns as struct _row."""
     slim = materialize(_keyed(docs, seed, ()), "mix-sizes")
     keyed = _keyed(docs, seed, carry) if carry else slim
-    parts = slim.groupBy("sk", "part").agg(F.sum("size").alias("part_size"))
+    parts = slim.groupBy("sk", "part").agg(F.sum("size").alias("part_size"), F.count("*").alias("docs"))
     parts = parts.withColumn("part_start", F.sum("part_size").over(W.partitionBy("sk").orderBy("part")) - F.col("part_size"))
-    targets = block_words(source_targets(parts.groupBy("sk").agg(F.sum("part_size").alias("source_size")), weights, epochs), blocks)
-    places = parts.join(_plan(targets, epochs, shards, seed), "sk").drop("part_size", "weight", "total", "sources", "blocks")
+    sources = parts.groupBy("sk").agg(F.sum("part_size").alias("source_size"), F.sum("docs").alias("docs"))
+    targets = block_words(source_targets(sources, weights, epochs), blocks)
+    places = parts.drop("part_size", "docs").join(_plan(targets, epochs, shards, seed), "sk").drop("docs", "weight", "total", "sources", "blocks")
     placed = keyed.join(places, ["sk", "part"])
     upto = F.col("part_start") + F.sum("size").over(W.partitionBy("sk", "part").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
     placed = placed.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("size"))
@@ -145,8 +146,8 @@ WITH keyed AS (
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          md5('{seed}|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(text, '')) AS key
   FROM documents),
-sized AS (SELECT sk, sum(size)::BIGINT AS source_size FROM keyed GROUP BY sk),
-weighed AS (SELECT sk, source_size, source_size * {epochs} AS cap, ((row_number() OVER (ORDER BY sk) - 1) % 3 + 1)::BIGINT AS weight,
+sized AS (SELECT sk, sum(size)::BIGINT AS source_size, count(*) AS docs FROM keyed GROUP BY sk),
+weighed AS (SELECT sk, source_size, docs, source_size * {epochs} AS cap, ((row_number() OVER (ORDER BY sk) - 1) % 3 + 1)::BIGINT AS weight,
   (sum(source_size) OVER ())::BIGINT AS total FROM sized),
 levels AS (SELECT *, (total - ((sum(cap) OVER r)::BIGINT - cap))::DOUBLE / ((sum(weight) OVER ())::BIGINT - (sum(weight) OVER r)::BIGINT + weight)::DOUBLE AS level_here
   FROM weighed WINDOW r AS (ORDER BY cap / weight, sk)),
@@ -159,7 +160,7 @@ dealt AS (SELECT sk, nth, (SELECT count(*) FROM range({shards}) s(j) WHERE (s.j
 plan AS (SELECT c.*, (source_size + block - 1) // block AS stream, least(coalesce(w.seats, 0), (source_size + block - 1) // block * {epochs})::BIGINT AS seats,
   ('0x' || substr(md5('{seed}|' || c.sk), 1, 7))::BIGINT AS seeded FROM cut c LEFT JOIN (SELECT sk, count(*) AS seats FROM won GROUP BY sk) w USING (sk)),
 passed AS (SELECT *, CASE WHEN stream = 0 THEN 0 ELSE seats // stream END AS passes, CASE WHEN stream = 0 THEN 0 ELSE seats % stream END AS more FROM plan),
-parted AS (SELECT *, least({RUNS}, more, stream - more) AS runs FROM passed),
+parted AS (SELECT *, least({RUNS}, greatest(1, docs // {RUN_DOCS}), more, stream - more) AS runs FROM passed),
 segments AS (SELECT *, j * stream // runs AS first, (j + 1) * stream // runs - j * stream // runs AS room, (j + 1) * more // runs - j * more // runs AS own
   FROM (SELECT *, unnest(range(0, runs)) AS j FROM parted WHERE runs > 0)),
 picked AS (SELECT sk, block, source_size, first + (seeded + j * {STEP}) % (room - own + 1) + o AS b FROM (SELECT *, unnest(range(0, own)) AS o FROM segments)),
