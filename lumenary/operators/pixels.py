@@ -6,6 +6,8 @@ are normalised. Resampling is separable and in gamma space, with an option for l
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 RADIUS = {"lanczos": 3.0, "catmull-rom": 2.0, "bilinear": 1.0, "mks2021": 4.5}
@@ -94,7 +96,8 @@ def fill(image: np.ndarray, left: int, top: int, width: int, height: int, colour
     return image
 
 
-# A 5 x 7 dot font, a row of bits for each line, top first. Other characters show as a box.
+# A 5 x 7 dot font, a row of bits for each line, top first. Small letters show as capitals, letters with accents
+# without them, other characters as a box.
 _FONT = """
 A 01110 10001 10001 11111 10001 10001 10001
 B 11110 10001 10001 11110 10001 10001 11110
@@ -138,6 +141,20 @@ Z 11111 00001 00010 00100 01000 10000 11111
 : 00000 01100 01100 00000 01100 01100 00000
 ! 00100 00100 00100 00100 00100 00000 00100
 ? 01110 10001 00001 00010 00100 00000 00100
+; 00000 01100 01100 00000 01100 00100 01000
+' 00100 00100 01000 00000 00000 00000 00000
+" 01010 01010 01010 00000 00000 00000 00000
+( 00010 00100 01000 01000 01000 00100 00010
+) 01000 00100 00010 00010 00010 00100 01000
+/ 00000 00001 00010 00100 01000 10000 00000
++ 00000 00100 00100 11111 00100 00100 00000
+= 00000 00000 11111 00000 11111 00000 00000
+& 01100 10010 10100 01000 10101 10010 01101
+# 01010 01010 11111 01010 11111 01010 01010
+% 11000 11001 00010 00100 01000 10011 00011
+_ 00000 00000 00000 00000 00000 00000 11111
+@ 01110 10001 00001 01101 10101 10101 01110
+* 00000 00100 10101 01110 10101 00100 00000
 """
 GLYPHS = {line[0]: np.array([[int(b) for b in row] for row in line.split()[1:]], bool) for line in _FONT.strip().splitlines()}
 BOX = np.pad(np.zeros((5, 3), bool), 1, constant_values=True)
@@ -148,7 +165,8 @@ def draw_text(image: np.ndarray, text: str, left: int, top: int, font: int, righ
     dot = max(1, font // 9)
     right = image.shape[1] if right is None else min(right, image.shape[1])
     for ch in text:
-        glyph = np.zeros((7, 5), bool) if ch.isspace() else GLYPHS.get(ch.upper(), BOX)
+        base = unicodedata.normalize("NFD", ch)[0].upper()
+        glyph = np.zeros((7, 5), bool) if ch.isspace() else GLYPHS.get(base, BOX)
         big = np.kron(glyph, np.ones((dot, dot), bool))[: max(0, image.shape[0] - top), : max(0, right - left)]
         if left >= right:
             break

@@ -124,6 +124,12 @@ def test_embedded_headlines():
     assert metadata.embedded_headline(tif, "tiff") == "tiff"
 
 
+def test_letters_with_accents_are_drawn_without():
+    draw = lambda text: pixels.draw_text(np.full((20, 60, 3), 255, np.uint8), text, 2, 2, 18)
+    assert (draw("é") == draw("E")).all() and (draw("a") == draw("A")).all() and (draw("(") != draw(")")).any() and (draw("語") == draw("→")).all()
+    assert all(g.shape == (7, 5) and g.any() for g in pixels.GLYPHS.values())
+
+
 def test_webp_headlines():
     block = iim(b"webp")
     tif = b"II*\0" + struct.pack("<I", 8) + struct.pack("<HHHII", 1, 33723, 1, len(block), 26) + struct.pack("<I", 0) + block
