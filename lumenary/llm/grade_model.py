@@ -6,7 +6,7 @@ expected grade and its tail probability P(grade >= 2) follow; the tail decides w
 
 Features: the set of lower-case words stripped of marks and of their first BEGIN bytes, hashed into WORDS, and the buckets of the shares of
 symbols, capitals, table rules, repeats of the word before, and words said before, and of the length. The fit takes at most SAMPLE labelled documents of at most SAMPLE_FEATURES features
-(a documented bound, chosen by hash of the id) to the driver, as feature ids; AdaGrad steps with an L1 shrinkage leave words that carry no signal at 0, so
+(a documented bound, chosen by hash of the id; one row of each) to the driver, as feature ids; AdaGrad steps with an L1 shrinkage leave words that carry no signal at 0, so
 long texts gather no noise. Scoring covers every document.
 
 Nulls: a null or empty text is scored by its one feature (no words); null ratings are skipped; a document
@@ -169,11 +169,12 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grade
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t).tobytes() for t in texts])
+        found = map(features, texts)
+        return pd.Series([x.tobytes() if len(x) <= SAMPLE_FEATURES else None for x in found], dtype=object)
 
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    found = rows.select("doc_id", "grade", F.xxhash64("doc_id").alias("h"), ids(F.col("text").cast("binary")).alias("ids")).filter(F.length("ids") <= 4 * SAMPLE_FEATURES)
-    got = found.orderBy("h", "doc_id", "ids").limit(sample).toPandas().sort_values(["doc_id", "ids"])
+    one = rows.select("doc_id", "grade", ids(F.col("text").cast("binary")).alias("ids")).groupBy("doc_id", "grade").agg(F.min("ids").alias("ids"))
+    got = one.filter("ids IS NOT NULL").toPandas().sort_values("doc_id")
     return GradeModel.fit([np.frombuffer(x, np.int32) for x in got["ids"]], got["grade"].tolist())
 
 

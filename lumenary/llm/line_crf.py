@@ -5,7 +5,7 @@ end, place, by being a copy of an earlier line, and the share of words of notice
 over these is decoded by Viterbi; the share of words in content lines decides retention, beside the two
 base rules (fewer than 50 words, or over half of the words in repeated 3-word windows).
 
-Training: at most SAMPLE rated documents of at most SAMPLE_LINES lines (a documented bound, by hash of the id) reach the driver as line
+Training: at most SAMPLE rated documents of at most SAMPLE_LINES lines (a documented bound, by hash of the id; one row of each) reach the driver as line
 features; sequences are whole, in batches of like length. Ratings are of documents, not of lines, so a first fit without transitions takes each line's
 label from its document; then lines of poor documents that this fit still takes for content, and lines of
 good ones that it takes for boilerplate with confidence, are labelled anew, and the chain is fitted to
@@ -212,11 +212,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineC
 
     @F.pandas_udf("binary")
     def rows(texts: pd.Series) -> pd.Series:
-        return pd.Series([line_features(t)[1].astype(np.uint8).tobytes() for t in texts])
+        found = (line_features(t)[1] for t in texts)
+        return pd.Series([x.astype(np.uint8).tobytes() if len(x) <= SAMPLE_LINES else None for x in found], dtype=object)
 
     found = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
-    found = found.select("doc_id", "quality", F.xxhash64("doc_id").alias("h"), rows(F.col("text").cast("binary")).alias("rows")).filter(F.length("rows") <= SAMPLE_LINES * FEATURES)
-    got = found.orderBy("h", "doc_id", "rows").limit(sample).toPandas()
+    one = found.select("doc_id", "quality", rows(F.col("text").cast("binary")).alias("rows")).groupBy("doc_id", "quality").agg(F.min("rows").alias("rows"))
+    got = one.filter("rows IS NOT NULL").toPandas().sort_values("doc_id")
     return train([np.frombuffer(x, np.uint8).reshape(-1, FEATURES).astype(np.int64) for x in got["rows"]], [bool(q >= 1) for q in got["quality"]])
 
 
