@@ -41,11 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder; Spark deletes it when the application ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(target)
+    return store.makeQualified(target).toString()  # with its scheme, so that tasks need not know the default one
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:

@@ -26,8 +26,8 @@ gets the totals back. A shard builds its trie and scores its tokens; sums go bac
 corpus-sized table reaches the driver. Results do not depend on the number of shards, save for the order of
 sums of doubles.
 
-Tries are written to a folder that is given and stay there; else each task maps its trie in the shared folder
-(or reads it, where that is a store without files to map) and deletes it.
+Tries are written to a folder that is given and stay there; else each task maps its trie in the shared folder and
+deletes it, or holds it in memory, where that folder is a store without files to map.
 
 Nulls: a null or empty text is the end alone; a null doc_id is hashed as an empty string for the hold-out.
 Empty table: empty result; no training documents: counts are 0. Repeated rows are counted and scored each. Texts of any
@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -52,7 +53,7 @@ from ..sources.stores import local_path, open_store
 from .common import materialize, shared_path, words
 from .elias_fano import EliasFano
 
-VOCABULARY, DISCOUNT, STEP, SHARD_TOKENS, SPREAD, BLOCK_TOKENS, BLOCK_DOCS = 65_533, 0.75, 1024, 1_000_000, 250_000, 800_000, 30_000
+VOCABULARY, DISCOUNT, STEP, SHARD_TOKENS, SPREAD, BLOCK_TOKENS, BLOCK_DOCS = 65_533, 0.75, 1024, 600_000, 250_000, 800_000, 30_000
 START, END, FIRST = 0, 1, 2
 #: Ids of words outside the list have the top bit; an id of the list that stands for "not listed"; marks of questions.
 RARE, ESCAPE, HOT_PAIR, WORD, MIDDLE = np.uint64(1 << 63), 0xFFFFFFFF, np.uint64(1 << 62), np.uint64((1 << 62) - 1), np.uint64((1 << 62) - 2)
@@ -158,28 +159,29 @@ class Trie:
             "p2": code(prob2), "b2": code(back2), "p3": code(prob3), "b3": code(back3), "p1": code(p1), "ids": grams.ids,
         })
 
-    def save(self, uri: str) -> None:
-        """One file: a line that says where each array is, and the arrays."""
+    def save(self, out) -> None:
+        """Writes one file: a line that says where each array is, and the arrays."""
         arrays = {f"{n}.{k}": a for n in self.SEQUENCES for k, a in getattr(self, n).arrays().items()} | {n: getattr(self, n) for n in self.CODES}
         at, where = 0, {}
         for name, a in arrays.items():
             where[name] = (at, str(a.dtype), len(a))
             at += -(-a.nbytes // 64) * 64
-        store, path = open_store(uri)
-        with store.open_output_stream(path) as f:
-            f.write(json.dumps(where).encode() + b"\n")
-            for a in arrays.values():
-                f.write(a.tobytes() + b"\0" * (-a.nbytes % 64))
+        out.write(json.dumps(where).encode() + b"\n")
+        for a in arrays.values():
+            out.write(a.tobytes() + b"\0" * (-a.nbytes % 64))
 
     @classmethod
     def load(cls, uri: str) -> Trie:
         """Maps the file, so that only pages that queries touch are read; of a store without files to map the bytes are read."""
         if path := local_path(uri):
-            held = np.memmap(path, np.uint8, "r")
-        else:
-            store, path = open_store(uri)
-            with store.open_input_file(path) as f:
-                held = np.frombuffer(f.read(), np.uint8)
+            return cls.of(np.memmap(path, np.uint8, "r"))
+        store, path = open_store(uri)
+        with store.open_input_file(path) as f:
+            return cls.of(np.frombuffer(f.read(), np.uint8))
+
+    @classmethod
+    def of(cls, held: np.ndarray) -> Trie:
+        """From the bytes of a file."""
         line = held[:4096].tobytes()  # the line is far shorter
         start = line.index(b"\n") + 1
         where = json.loads(line[:start])
@@ -655,16 +657,17 @@ def score_shard(table: pa.Table, answers: pa.Table, vocabulary: Vocabulary, shar
     listed = g.ids < RARE
     count[listed] = vocabulary.counts[g.ids[listed].astype(np.int64)]
     count[g.rare] = g.count_rare
-    uri = f"{folder}/trie-{shard:08d}"
-    if not keep:
-        from pyspark import TaskContext
-
-        uri += f"-{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
-    Trie.build(g, (count + 1) / (vocabulary.tokens + vocabulary.distinct + 1)).save(uri)
-    codes = Trie.load(uri).query(g.u, g.v, g.w)[g.of]
-    if not keep:
+    trie = Trie.build(g, (count + 1) / (vocabulary.tokens + vocabulary.distinct + 1))
+    if keep or local_path(folder):
+        uri = f"{folder}/trie-{shard:08d}" + ("" if keep else f"-{uuid.uuid4().hex}")
         store, path = open_store(uri)
-        store.delete_file(path)
+        with store.open_output_stream(path) as f:
+            trie.save(f)
+        trie = Trie.load(uri)
+        if not keep and store.type_name == "local":
+            store.delete_file(path)  # what is mapped stays until it is closed
+    codes = trie.query(g.u, g.v, g.w)[g.of]
+    del trie
     rare = ~listed
     logs, known = np.where(rare, np.log10(count + 1), 0.0)[g.w][g.of], (rare & (count > 0))[g.w][g.of]
     out, at = [], 0
@@ -716,8 +719,9 @@ def score_texts(docs: DataFrame, vocabulary_size: int = VOCABULARY, shard_tokens
     spark = docs.sparkSession
     vocabulary = Vocabulary.of(materialize(count_words(docs, sample), "word-counts"), vocabulary_size, spread, sample)
     shards, keep, at = 1 + vocabulary.tokens // shard_tokens, folder is not None, folder or shared_path(spark, "tries")
-    store, path = open_store(at)
-    store.create_dir(path, recursive=True)
+    if keep or local_path(at):
+        store, path = open_store(at)
+        store.create_dir(path, recursive=True)
     blocks = route(docs, vocabulary, shards, heavy)
     questions = blocks.groupBy("shard").applyInArrow(lambda t: ask(t, vocabulary, shards), QUESTION)
     answers = questions.groupBy("shard").applyInArrow(sum_up, QUESTION)

@@ -148,3 +148,9 @@ def test_empty_and_no_training(spark, no_docs, wide_docs, odd_rows):
     row = G.score_texts(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (True, 3, 0, 0, 0.0)
     assert G.score_texts(wide_docs).count() == len(odd_rows)
+
+
+def test_tries_are_held_where_no_file_can_be_mapped(odd_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(G, "local_path", lambda uri: None)
+    monkeypatch.setattr(G, "open_store", lambda uri: pytest.fail("no store is needed"))
+    assert say(map(tuple, G.score_texts(odd_docs, 40, 3_000, 500).collect())) == say(brute([r[:2] for r in odd_rows]))
