@@ -7,7 +7,7 @@ segment tree over the room values (how many open rows have that room) finds the
 log(length) steps. A packed row is a fixed-length vector of ids, padded at its end; `cu_seqlens` holds
 where its segments end (with 0 first) and `resets` the places where positions start again from 0.
 Each segment names its document by a number of the row it came from (`doc_rows`: the task's number and the row's within it), since
-ids may repeat or be null; `unpack` gives every row's ids back. `write_matrices` writes, for each task, the id matrix, the cumulative
+ids may repeat or be null; `unpack` gives every row's ids back. Each task writes its id matrix, the cumulative
 segment lengths and the position resets as raw little-endian files, under names that no other attempt has, and each row says where it
 stands; `read_matrices` reads them.
 
@@ -153,24 +153,55 @@ def positions(cu_seqlens: list[int], length: int) -> np.ndarray:
     return at - starts[np.searchsorted(starts, at, side="right") - 1]
 
 
-def pack_tokens(docs: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY, length: int = LENGTH, window: int = WINDOW, end: int = END) -> DataFrame:
-    """Rows with doc_id and text -> packed rows (SCHEMA); ids are little-endian uint16."""
+#: The files of a task: ids (rows x length), cumulative lengths and resets of all rows one after the other, and where each row's lengths begin.
+FILES = {"ids": "u2", "cu_seqlens": "i4", "resets": "i4", "rows": "i8"}
+
+
+class MatrixWriter:
+    """Appends packed rows to a task's files, whose names no other attempt has."""
+
+    def __init__(self, folder: str, part: int):
+        store, path = open_store(folder)
+        store.create_dir(path, recursive=True)
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
+        self.stem, self.rows, self.at = f"{folder}/{name}", 0, 0
+        self.out = {k: store.open_output_stream(f"{path}/{name}.{k}") for k in FILES}
+
+    def add(self, rows: list[tuple]) -> tuple[list[str], list[int]]:
+        """Where each row stands: (stem, number)."""
+        for *_, ends, resets, _, ids in rows:
+            for k, x in (("ids", ids), ("cu_seqlens", np.array(ends, "<i4").tobytes()), ("resets", np.array(resets, "<i4").tobytes()), ("rows", np.array([self.at], "<i8").tobytes())):
+                self.out[k].write(x)
+            self.at += len(ends)
+        self.rows += len(rows)
+        return [self.stem] * len(rows), list(range(self.rows - len(rows), self.rows))
+
+    def close(self) -> None:
+        for f in self.out.values():
+            f.close()
+
 
+def pack_tokens(docs: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABULARY, length: int = LENGTH, window: int = WINDOW, end: int = END, matrices: str | None = None) -> DataFrame:
+    """Rows with doc_id and text -> packed rows (SCHEMA); ids are little-endian uint16. With a folder for matrices also file (the stem of
+    the task's files) and file_row; lazy, each attempt writes files of its own."""
     data = vocabulary_file(folder, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, encoder, nth, held, total, seen = TaskContext.get().partitionId(), Encoder(data), 0, [], 0, 0
-        last = np.array([end], np.uint16)
+        last, writer = np.array([end], np.uint16), MatrixWriter(matrices, part) if matrices else None
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        types, names = [pa.string(), longs, longs, longs, ints, ints, pa.int32(), pa.binary()], list(NAMES)
+        if writer:
+            types, names = [*types, pa.string(), pa.int64()], [*names, "file", "file_row"]
 
         def packed():
             rows = pack_ids(held, length, end)
             for at in range(0, len(rows), 1000):
-                cols = [[f"{part}-{nth}-{at + k}" for k in range(len(rows[at : at + 1000]))], *zip(*rows[at : at + 1000])]
-                longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-                types = [pa.string(), longs, longs, longs, ints, ints, pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=NAMES)
+                some = rows[at : at + 1000]
+                cols = [[f"{part}-{nth}-{at + k}" for k in range(len(some))], *zip(*some), *(writer.add(some) if writer else ())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -182,37 +213,10 @@ def pack_tokens(docs: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABUL
                 total, seen = total + len(ids), seen + 1
         if held:
             yield from packed()
+        if writer:
+            writer.close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
-
-
-#: The files of a task: ids (rows x length), cumulative lengths and resets of all rows one after the other, and where each row's lengths begin.
-FILES = {"ids": "u2", "cu_seqlens": "i4", "resets": "i4", "rows": "i8"}
-
-
-def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
-    """Adds file (the stem of a task's files in the folder) and file_row to packed rows, as they are written; lazy, each attempt writes files of its own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        store, path = open_store(folder)
-        store.create_dir(path, recursive=True)
-        stem = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        out, n, at = {k: store.open_output_stream(f"{path}/{stem}.{k}") for k in FILES}, 0, 0
-        for batch in batches:
-            column = lambda c: batch.column(batch.schema.get_field_index(c))
-            for ids, ends, resets in zip(column("ids").to_pylist(), column("cu_seqlens").to_pylist(), column("resets").to_pylist()):
-                for k, x in (("ids", ids), ("cu_seqlens", np.array(ends, "<i4").tobytes()), ("resets", np.array(resets, "<i4").tobytes()), ("rows", np.array([at], "<i8").tobytes())):
-                    out[k].write(x)
-                at += len(ends)
-            place = [pa.array([f"{folder}/{stem}"] * len(batch)), pa.array(range(n, n + len(batch)), pa.int64())]
-            n += len(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *place], names=[*batch.schema.names, "file", "file_row"])
-        for f in out.values():
-            f.close()
-
-    return packed.mapInArrow(run, f"{SCHEMA}, file string, file_row long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA + (", file string, file_row long" if matrices else ""))
 
 
 def read_matrices(stem: str, length: int = LENGTH) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -228,5 +232,4 @@ def read_matrices(stem: str, length: int = LENGTH) -> tuple[np.ndarray, list[np.
 
 
 def op2_token_pack(spark, sf_dir: str) -> DataFrame:
-    packed = pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return write_matrices(packed, shared_path(spark, "packed-ids"))
+    return pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), matrices=shared_path(spark, "packed-ids"))

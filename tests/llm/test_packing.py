@@ -48,7 +48,7 @@ def test_encoder_equals_the_library():
 def test_pieces_come_back(odd_docs, odd_rows, no_docs, wide_docs, tmp_path):
     """Every row of the table, with its repeated and null ids."""
     e, folder = T.Encoder(), f"file://{tmp_path}/ids"
-    rows = T.write_matrices(T.pack_tokens(odd_docs.repartition(3), length=256, window=4000), folder).collect()
+    rows = T.pack_tokens(odd_docs.repartition(3), length=256, window=4000, matrices=folder).collect()
     names = T.NAMES[1:]
     found = T.unpack([[r[n] for n in names] for r in rows])
     say = lambda pairs: sorted((str(i), ids) for i, ids in pairs)
@@ -65,7 +65,7 @@ def test_pieces_come_back(odd_docs, odd_rows, no_docs, wide_docs, tmp_path):
         k = r["file_row"]
         assert ids[k].astype("<u2").tobytes() == r["ids"] and cu_seqlens[k].tolist() == r["cu_seqlens"] and resets[k].tolist() == r["resets"]
     assert sum(len(ids) for ids, _, _ in held.values()) == len(rows)
-    assert T.write_matrices(T.pack_tokens(no_docs), folder).count() == 0 and T.pack_tokens(wide_docs).count() > 0
+    assert T.pack_tokens(no_docs, matrices=folder).count() == 0 and T.pack_tokens(wide_docs).count() > 0
 
 
 def test_few_rows_are_wasted(spark, sf_dir):
