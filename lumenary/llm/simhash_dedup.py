@@ -10,10 +10,13 @@ unvisited. Postings of over `long` entries are split by every further byte that
 of the bytes left are looked up by their few possible differences. So no search is quadratic in a posting.
 
 `near_unique` keeps one document of each group of similar texts (Jaccard similarity 0.8 of the sets of five-word shingles). At
-that similarity 15% of the bits differ, more than shared bytes can be guaranteed for, so it takes 256 bits and candidates meet
-in postings of shingles: sets that similar share a shingle among the first fifth of each in any one order (prefix filter; hash
-order, with shingles frequent in a sample last). There their bits are compared with a cut far above those expected. The
-components of candidates are then split by the exact similarity of their sets. A component of over BLOCK_SETS sets is cut into blocks, each pair of
+that similarity 15% of the bits differ, more than shared bytes can be guaranteed for, so it takes 256 bits, and works in three steps.
+The byte-position index above, with its tally, joins all whose first 64 bits differ in `bits` = 4 at most: these near copies are one
+entry of what follows. For the rest, which no count of shared bytes can promise, entries meet in postings of shingles: sets that
+similar share a shingle among the first fifth of each in any one order (prefix filter; hash order, with shingles frequent in a sample
+last); an entry is posted once under each of its members' shingles, and there the bits of members are compared with a cut far above
+those expected. Postings move as blocks of numbers, dealt by shingle. The components of both steps' candidates are then split by the
+exact similarity of their sets. A component of over BLOCK_SETS sets is cut into blocks, each pair of
 blocks is one task's, and what their links join are the parts; so a task holds two blocks at most, and no pair goes uncompared.
 
 Components of the links are found by alternating large-star and small-star steps over distributed edges.
@@ -46,6 +49,8 @@ CANDIDATE = 4.5
 BLOCK_SETS = 4096
 #: Documents sampled for frequent shingles, the count from which they are, the longest list: they order postings, no result depends on them.
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 20, 100_000
+#: Texts that are hashed at once; sets and postings in a block of postings; sets of an entry. They bound memory, no result depends on them.
+TEXTS, BLOCK_ROWS, BLOCK_POSTINGS, ENTRY = 512, 4096, 1 << 19, 1024
 
 
 def _shingle_hashes(text: bytes | None, n: int) -> np.ndarray:
@@ -304,16 +309,41 @@ def _prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray) -> np.n
     return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
+def _dealt(keys: np.ndarray, many: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its keys, in the order of keys) of the buckets that have some."""
+    to = (keys % np.uint64(many)).astype(np.uint16 if many < 65536 else np.int64)  # two bytes are sorted by radix
+    by = np.argsort(to, kind="stable")
+    used, cut = np.unique(to[by], return_index=True)
+    return zip(used.tolist(), np.split(by, cut[1:])) if len(by) else iter(())
+
+
+def _partitions(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """Sorted hashes of the shingles in FREQUENT or more of about SAMPLE texts."""
+    many = _partitions(docs)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _texts(batches):
+            found = np.concatenate([np.unique(_shingle_hashes(t.as_py(), n)) for t in batch.column(0)])
+            rows = [(k, found[at].tobytes()) for k, at in _dealt(found, many)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
 
-    @F.pandas_udf("array<long>")
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(_shingle_hashes(t, n)).view(np.int64) for t in texts], dtype=object)
+    def count(table: pa.Table) -> pa.Table:
+        s, c = np.unique(np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint64), return_counts=True)
+        return pa.table([pa.array(s[c >= FREQUENT].view(np.int64)), pa.array(c[c >= FREQUENT].astype(np.int64))], names=["s", "count"])
 
     share = min(1.0, SAMPLE / max(1, docs.count()))
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.col("text").cast("binary").alias("text"))
-    counts = some.select(F.explode(sets("text")).alias("s")).groupBy("s").count().filter(F.col("count") >= FREQUENT)
+    counts = some.mapInArrow(deal, "bucket long, data binary").groupBy("bucket").applyInArrow(count, "s long, count long")
     found = counts.orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).collect()
     return np.sort(np.array([r["s"] for r in found], np.int64).view(np.uint64))
 
@@ -323,11 +353,12 @@ def _near(x: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count(x).sum(-1, dtype=np.int64) <= bits
 
 
-def _wide_run(prints: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links of one long posting: a part grows from a seed against what is left."""
-    out, rest = [], prints
+def _wide_run(prints: np.ndarray, bits: int, entry: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of the links of one long posting: a part grows from a seed against what is left. What is of one entry is joined already."""
+    out, rest, label = [], prints, np.arange(len(prints)) if entry is None else entry
     while len(rest) > 1:
-        seed, front, rest, joined = rest[:1], rest[:1], rest[1:], []
+        own = label == label[0]
+        seed, front, rest, label, joined = rest[:1], rest[own], rest[~own], label[~own], []
         while len(front) and len(rest):
             near, step = np.zeros(len(rest), bool), max(1, 300_000 // len(rest))
             for at in range(0, len(front), step):
@@ -335,50 +366,110 @@ def _wide_run(prints: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarra
                 if not len(left):
                     break
                 near[left] = _near(front[at : at + step, None] ^ rest[None, left], bits).any(0)
-            front, rest = rest[near], rest[~near]
+            near |= np.isin(label, label[near])
+            front, rest, label = rest[near], rest[~near], label[~near]
             joined.append(front)
         if joined and len(found := np.concatenate(joined)):
             out.append((found, np.repeat(seed, len(found), 0)))
     return out
 
 
+def _print_ids(prints: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), 42) for r in prints], np.uint64).view(np.int64)
+
+
+def posting_block(near: np.ndarray, prints: np.ndarray, sizes: np.ndarray, postings: np.ndarray, many: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Sets side by side by `near`, with `sizes` postings each -> (bucket, postings, entries, data): each entry once under each posting, and the prints of its members."""
+    new = np.ones(len(near), bool)
+    new[1:] = near[1:] != near[:-1]
+    new[::ENTRY] = True
+    start = np.flatnonzero(new)
+    members = np.diff(np.append(start, len(near)))
+    entry = np.repeat(np.cumsum(new) - 1, sizes)
+    order = np.argsort(postings, kind="stable")
+    p, e = postings[order], entry[order]
+    once = np.ones(len(p), bool)
+    once[1:] = (p[1:] != p[:-1]) | (e[1:] != e[:-1])
+    p, e = p[once], e[once]
+    for bucket, at in _dealt(p, many):
+        used, local = np.unique(e[at], return_inverse=True)
+        own = members[used]
+        rows = np.repeat(start[used] - np.cumsum(own) + own, own) + np.arange(own.sum())
+        yield bucket, len(at), len(used), b"".join(x.tobytes() for x in (p[at], local.astype(np.uint16), own.astype(np.uint16), prints[rows]))
+
+
+def bucket_links(blocks: list[tuple[int, int, bytes]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): ids of prints that meet in a posting of these blocks (postings, entries, data) and differ in few bits."""
+    posting, of, size, prints, entries = [], [], [], [], 0
+    for n, k, data in blocks:
+        posting.append(np.frombuffer(data, np.uint64, n))
+        of.append(np.frombuffer(data, np.uint16, n, 8 * n).astype(np.int32) + entries)
+        size.append(np.frombuffer(data, np.uint16, k, 10 * n).astype(np.int32))
+        prints.append(np.frombuffer(data, np.uint64, -1, 10 * n + 2 * k).reshape(-1, WIDE))
+        entries += k
+    posting, of, size, prints = (np.concatenate(x) for x in (posting, of, size, prints))
+    order = np.argsort(posting, kind="stable")
+    posting, of = posting[order], of[order]
+    shared = np.zeros(len(posting) + 1, bool)  # what is alone in its posting meets nothing
+    shared[1:-1] = posting[1:] == posting[:-1]
+    kept = shared[1:] | shared[:-1]
+    posting, of = posting[kept], of[kept]
+    first, own = np.cumsum(size) - size, size[of]
+    row = np.repeat(first[of] - np.cumsum(own) + own, own) + np.arange(own.sum())
+    posting, of = np.repeat(posting, own), np.repeat(of, own)
+    if not len(posting):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(posting)) + 1])
+    sizes = np.diff(np.append(starts, len(posting)))
+    at, found, d = np.flatnonzero(np.repeat(sizes <= 32, sizes)), [np.empty(0, np.uint64)], 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(posting)]
+        at = at[posting[at] == posting[at + d]]
+        pair = np.stack([row[at], row[at + d]])[:, of[at] != of[at + d]]
+        pair = np.unique(pair.min(0).astype(np.uint64) << np.uint64(32) | pair.max(0).astype(np.uint64))
+        a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        found.append(pair[_near(prints[a] ^ prints[b], bits)])
+    pair = np.unique(np.concatenate(found))
+    out = [(prints[(pair >> np.uint64(32)).astype(np.int64)], prints[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)])]
+    for s, n in zip(starts[sizes > 32], sizes[sizes > 32]):
+        out += _wide_run(prints[row[s : s + n]], bits, of[s : s + n])
+    pair = np.unique(np.concatenate([np.concatenate(x) for x in zip(*out)], 1), axis=0)
+    return tuple(_print_ids(np.ascontiguousarray(pair[:, k : k + WIDE])) for k in (0, WIDE))
+
+
 def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
-    """(a, b): edges between the ids of wide fingerprints (w0, w1, ..., prefix) that meet in a posting and differ in few bits."""
-    names = [f"w{k}" for k in range(WIDE)]
-    postings = distinct.select(*names, F.explode("prefix").alias("posting"))
-
-    def ids(prints: np.ndarray) -> np.ndarray:
-        return np.array([xxhash.xxh64_intdigest(r.tobytes(), 42) for r in prints], np.uint64).view(np.int64)
-
-    def work(p: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1])
-        sizes = np.diff(np.concatenate([starts, [len(p)]]))
-        short, found = sizes <= 32, []
-        of = np.repeat(np.where(short, np.arange(len(sizes)), -1 - np.arange(len(sizes))), sizes)
-        for d in range(1, int(sizes[short].max(initial=1))):
-            at = np.flatnonzero((of[:-d] == of[d:]) & (of[:-d] >= 0))
-            at = at[_near(f[at] ^ f[at + d], bits)]
-            found.append((f[at], f[at + d]))
-        for s, n in zip(starts[~short], sizes[~short]):
-            found += _wide_run(f[s : s + n], bits)
-        if any(len(a) for a, _ in found):
-            a, b = (np.concatenate(x) for x in zip(*found))
-            pair = np.unique(np.concatenate([a, b], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids(np.ascontiguousarray(pair[:, k : k + WIDE]))) for k in (0, WIDE)], names=["a", "b"])
+    """(a, b): edges between the ids of wide fingerprints (near, id, w0, w1, ..., prefix) of different entries that meet in a posting and differ
+    in few bits. Sets of one `near` are dealt side by side, in ranges, so that many of them are more than one task's."""
+    names, many = [f"w{k}" for k in range(WIDE)], _partitions(distinct)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, postings = [], 0, 0
+
+        def send():
+            near, *words_, sizes, prefix = (np.concatenate(x) for x in zip(*held))
+            found = list(zip(*posting_block(near, np.stack(words_, 1), sizes, prefix, many)))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found or [[]] * 4, types)], names=["bucket", "n", "entries", "data"])
+
+        for batch in _texts(batches):
+            prefix = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(WIDE + 1)]
+            sizes = np.array([len(x) for x in prefix], np.int64)
+            held.append((batch.column(0).to_numpy(), *(batch.column(k + 1).to_numpy().view(np.uint64) for k in range(WIDE)), sizes, np.concatenate(prefix)))
+            rows, postings = rows + len(sizes), postings + int(sizes.sum())
+            if rows + TEXTS > BLOCK_ROWS or postings > BLOCK_POSTINGS:
+                yield send()
+                held, rows, postings = [], 0, 0
+        if held:
+            yield send()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, f = np.empty(0, np.int64), np.empty((0, WIDE), np.uint64)
-        for batch in batches:
-            p = np.concatenate([p, batch.column(0).to_numpy()])
-            f = np.concatenate([f, np.stack([batch.column(k + 1).to_numpy().view(np.uint64) for k in range(WIDE)], 1)])
-            if len(p) and (last := int(np.searchsorted(p, p[-1]))):  # the last posting may go on in the next batch
-                yield from work(p[:last], f[:last])
-                p, f = p[last:], f[last:]
-        if len(p):
-            yield from work(p, f)
+    def meet(table: pa.Table) -> pa.Table:
+        a, b = bucket_links(list(zip(*(table.column(c).to_pylist() for c in ("n", "entries", "data")))), bits)
+        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    many = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return postings.repartition(many, "posting").sortWithinPartitions("posting").select("posting", *names).mapInArrow(meet, "a long, b long").distinct()
+    side = distinct.select("near", "id", *names, "prefix").repartitionByRange(many, "near", "id").sortWithinPartitions("near", "id").select("near", *names, "prefix")
+    blocks = side.mapInArrow(pack, "bucket long, n int, entries int, data binary")
+    return blocks.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 class _Sets:
@@ -508,20 +599,27 @@ def near_unique(docs: DataFrame, n: int = STAGE_SHINGLE, similarity: float = SIM
     doc_id, the first by text hash. Texts without words are one group."""
     names, bits, frequent = [f"w{k}" for k in range(WIDE)], most_bits(similarity, CANDIDATE), frequent_shingles(docs, n)
 
-    @F.pandas_udf(", ".join(["id long", "sid long", *(f"{w} long" for w in names), "prefix array<long>"]))
-    def prints_of(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(_shingle_hashes(t, n)) for t in texts]
-        found = [_wide_majority(x) for x in sets]
-        words_ = np.frombuffer(b"".join(found), np.int64).reshape(-1, WIDE)
-        ids, sids = (np.array([xxhash.xxh64_intdigest(x, 42) for x in xs], np.uint64).view(np.int64) for xs in (found, map(np.ndarray.tobytes, sets)))
-        prefixes = pd.Series([_prefix(x, similarity, frequent).view(np.int64) for x in sets], dtype=object)
-        return pd.DataFrame({"id": ids, "sid": sids, **{w: words_[:, k] for k, w in enumerate(names)}, "prefix": prefixes})
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _texts(batches):
+            sets = [np.unique(_shingle_hashes(t.as_py(), n)) for t in batch.column(2)]
+            found = [_wide_majority(x) for x in sets]
+            words_ = np.frombuffer(b"".join(found), np.int64).reshape(-1, WIDE)
+            ids, sids = (np.array([xxhash.xxh64_intdigest(x, 42) for x in xs], np.uint64).view(np.int64) for xs in (found, map(np.ndarray.tobytes, sets)))
+            prefixes = pa.array([_prefix(x, similarity, frequent).tobytes() for x in sets], pa.binary())
+            columns = [batch.column(0), batch.column(1), pa.array(ids), pa.array(sids), *(pa.array(words_[:, k]) for k in range(WIDE)), prefixes]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "id", "sid", *names, "prefix"])
 
     key = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    prints = materialize(docs.select("doc_id", key.alias("key"), prints_of(F.col("text").cast("binary")).alias("p")).select("doc_id", "key", "p.*"), "prints")
+    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", "key string, id long, sid long", *(f"{w} long" for w in names), "prefix binary"])
+    prints = materialize(docs.select("doc_id", key.alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(prints_of, schema), "prints")
     sets = prints.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first(F.struct("id", *names, "prefix")).alias("p"))
     distinct = materialize(sets.select("sid", "least", "key", "p.*"), "fingerprints")
-    roots = components(wide_links(distinct, bits)).withColumnRenamed("node", "id")
+    # near copies by the byte-position index; then the links that shared bytes can't promise, between these groups
+    groups = near_groups(distinct.select(F.col("least").alias("doc_id"), F.col("w0").alias("fp"))).select(F.col("fp").alias("w0"), F.col("root").alias("near"))
+    grouped = distinct.join(materialize(groups, "near"), "w0")
+    heads = grouped.groupBy("near").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    near = grouped.select("near", F.col("id").alias("a")).join(heads, "near").select("a", "b")
+    roots = components(wide_links(grouped, bits).union(near)).withColumnRenamed("node", "id")
     named = distinct.select("sid", "key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = materialize(named.join(named.groupBy("root").agg(F.count("*").alias("sets")).filter("sets > 1"), "root").select("key", "sid", "root", "sets"), "candidates")
     parts = exact_parts(docs, several, n, similarity, block_sets)

@@ -364,3 +364,60 @@ def test_header_reads_touch_only_the_header(spark, tmp_path, monkeypatch):
     read = reader.read
     monkeypatch.setattr(reader, "read", lambda s, o, n: seen.append(n) or read(s, o, n))
     assert M.png_header(reader.read(index["shard"], index["offset"], M.HEADER)) == (192, 1, 8) and seen == [33]
+
+
+def test_near_copies_are_found_by_shared_bytes_and_posted_once(spark, monkeypatch):
+    """The pipeline's stage asks the byte-position index for near copies, and what it joins is one entry of each posting of shingles."""
+    rng = random.Random(21)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = [(k, " ".join([*text[:k], f"new{k}", *text[k + 1 :]])) for k in range(1, 200, 10)] + [(1000 + k, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))) for k in range(20)]
+    joined, packed, index, pack = [], [], D.links, D.wide_links
+    monkeypatch.setattr(D, "links", lambda distinct, *more: joined.append(index(distinct, *more)) or joined[-1])
+    monkeypatch.setattr(D, "wide_links", lambda distinct, *more: packed.append(distinct) or pack(distinct, *more))
+    kept = D.near_unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, *range(1000, 1020)]
+    assert len(joined) == 1 and joined[0].count() > 0
+    near = collections.Counter(r["near"] for r in packed[0].select("near").collect())
+    assert max(near.values()) > 15 and sorted(near.values())[:-1].count(1) >= 20
+
+
+@pytest.mark.parametrize("many", [1, 5])
+def test_blocks_of_postings_against_every_pair(many):
+    """Entries of several sets, repeated prints, postings of one to hundreds: what the blocks' links join is what all pairs in a posting do."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 2**63, (60, D.WIDE)).astype(np.uint64)
+    prints = np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, (6, D.WIDE)).astype(np.uint64)) * rng.integers(0, 2, (6, 1)).astype(np.uint64) for c in centres])
+    near = np.sort(rng.integers(0, 3, (60, 6)) + 3 * np.arange(60)[:, None]).reshape(-1)
+    own = [np.unique(np.concatenate([rng.integers(0, 400, rng.integers(0, 9)), np.full(int(k % 3 == 0), 7)])).astype(np.uint64) for k in range(len(prints))]
+    blocks, cuts = collections.defaultdict(list), (0, 100, 101, len(prints))
+    for a, b in zip(cuts, cuts[1:]):
+        for bucket, *block in D.posting_block(near[a:b], prints[a:b], np.array([len(x) for x in own[a:b]]), np.concatenate(own[a:b]), many):
+            blocks[bucket].append(block)
+    ids = D._print_ids(prints).tolist()
+
+    def parts(pairs):
+        root = {x: x for x in ids}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in [*pairs, *((x, y) for (x, p), (y, q) in combinations(zip(ids, near.tolist()), 2) if p == q)]:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return [find(x) for x in ids]
+
+    found = [(a, b) for x in blocks.values() for a, b in zip(*map(np.ndarray.tolist, D.bucket_links(x, 8)))]
+    labels = [*zip(near.tolist(), np.searchsorted(cuts, np.arange(len(near)), "right").tolist())]
+    held = collections.defaultdict(set)  # an entry is posted under all its members' shingles
+    for label, x in zip(labels, own):
+        held[label] |= set(x.tolist())
+    want = [(ids[i], ids[j]) for i, j in combinations(range(len(ids)), 2) if held[labels[i]] & held[labels[j]] and D._near(prints[i] ^ prints[j], 8)]
+    assert len(blocks) == many and parts(found) == parts(want) and 60 < len(set(parts(want))) < len(set(near.tolist()))
+
+
+def test_frequent_shingles_are_counted_whole(spark):
+    rows = [(k, f"a b c d e f own{k} x{k} y{k} z{k} v{k}") for k in range(30)]
+    found = D.frequent_shingles(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    assert found.tolist() == sorted(D._shingle_hashes(b"a b c d e f", 5).tolist())
