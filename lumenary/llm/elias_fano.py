@@ -9,18 +9,20 @@ from __future__ import annotations
 import numpy as np
 
 ONE, SIX = np.uint64(1), np.uint64(6)
+#: The same byte in all eight; the place of the n-th set bit of a byte b, at 8 * b + n.
+EACH, EVEN, TWOS, FOURS, TOPS = (np.uint64(x * 0x0101010101010101) for x in (1, 0x55, 0x33, 0x0F, 0x80))
+SELECT = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.uint64).reshape(-1)
 
 
 def _nth_bit(words: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The place of the n-th set bit (from 0) of each word, by halving."""
-    at = np.zeros(len(words), np.uint64)
+    """The place of the n-th set bit (from 0) of each word: its byte by sums of the bytes' bits, its place there by a table."""
     n = n.astype(np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(words >> at & np.uint64((1 << width) - 1)).astype(np.uint64)
-        right = n >= low
-        n = np.where(right, n - low, n)
-        at = np.where(right, at + np.uint64(width), at)
-    return at
+    sums = words - (words >> ONE & EVEN)
+    sums = (sums & TWOS) + (sums >> np.uint64(2) & TWOS)
+    sums = ((sums + (sums >> np.uint64(4))) & FOURS) * EACH  # in each byte: bits up to its end
+    skip = np.bitwise_count(((n * EACH) | TOPS) - sums & TOPS).astype(np.uint64) << np.uint64(3)
+    n -= (sums << np.uint64(8)) >> skip & np.uint64(255)
+    return skip + SELECT[((words >> skip & np.uint64(255)) << np.uint64(3) | n & np.uint64(7)).astype(np.int64)]
 
 
 class EliasFano:
@@ -29,6 +31,7 @@ class EliasFano:
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
         self.zeros = np.arange(len(high), dtype=np.int64) * 64 - ones  # zeros before each word
+        self.from_byte = np.ndarray(8 * len(low) - 7, np.uint64, low, strides=1) if bits <= 57 else None  # the eight bytes from each one
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -55,6 +58,9 @@ class EliasFano:
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), np.uint64)
+        if self.from_byte is not None:
+            at = i * self.bits
+            return self.from_byte[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64((1 << self.bits) - 1)
         at = i.astype(np.uint64) * np.uint64(self.bits)
         word, shift = (at >> SIX).astype(np.int64), at & np.uint64(63)
         out = self.low[word] >> shift
@@ -90,37 +96,36 @@ class EliasFano:
             end[far] = self._run_start(h[far] + 1)
         return start, np.minimum(end, self.n)
 
-    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each x: the first place of its run of equal high bits whose low bits are x's or more, the run's end, x's low bits, and
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each x: the first place of its run of equal high bits whose low bits are x's or more, the first place of x or -1, and
         whether x is beyond all runs."""
         h = x >> self.bits
         last = (len(self.high) * 64 - self.n) - 1  # zeros that the vector has, less one
         out = h >= last
-        h = np.where(out, 0, h)
-        lo, end = self._run(h)
-        hi = end.copy()
+        lo, hi = self._run(np.where(out, 0, h))
+        hi[out] = lo[out]
         want = (x & ((1 << self.bits) - 1)).astype(np.uint64)
+        found = np.full(len(x), -1, np.int64)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):  # halving within the run, whose low bits ascend
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self._low(mid) < want[open_]
-            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
-        return lo, end, want, out
+            first, end = lo[open_], hi[open_]
+            mid = (first + end) >> 1
+            low, own = self._low(mid), want[open_]
+            less, same = low < own, np.flatnonzero(low == own)
+            found[open_[same]] = mid[same]
+            first, end = np.where(less, mid + 1, first), np.where(less, end, mid)
+            lo[open_], hi[open_] = first, end
+            open_ = open_[first < end]
+        return lo, found, out
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The first place whose value is x or more (n if there is none)."""
-        lo, _, _, out = self._search(np.asarray(x, np.int64))
+        lo, _, out = self._search(np.asarray(x, np.int64))
         return np.where(out, self.n, lo)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The first place of value x, or -1."""
-        lo, end, want, out = self._search(np.asarray(x, np.int64))
-        there = np.flatnonzero((lo < end) & ~out)
-        ok = np.full(len(lo), -1, np.int64)
-        there = there[self._low(lo[there]) == want[there]]
-        ok[there] = lo[there]
-        return ok
+        return self._search(np.asarray(x, np.int64))[1]
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {"meta": np.array([self.n, self.bits], np.int64), "low": self.low, "high": self.high, "ones": self.ones}

@@ -154,3 +154,22 @@ def test_tries_are_held_where_no_file_can_be_mapped(odd_docs, odd_rows, monkeypa
     monkeypatch.setattr(G, "local_path", lambda uri: None)
     monkeypatch.setattr(G, "open_store", lambda uri: pytest.fail("no store is needed"))
     assert say(map(tuple, G.score_texts(odd_docs, 40, 3_000, 500).collect())) == say(brute([r[:2] for r in odd_rows]))
+
+
+@pytest.mark.parametrize(("universe", "many"), [(10, 5), (3, 4000), (1000, 3), (10**6, 5000), (2**40, 20_000), (2**62, 50), (2**61, 1), (1, 0)])
+def test_sequences_against_a_sorted_array(universe, many):
+    """Any width of low bits (over 57 they span nine bytes), repeated values, none at all."""
+    rng = np.random.default_rng(universe % 1000 + many)
+    values = np.sort(rng.integers(0, universe, many))
+    asked = np.concatenate([values, rng.integers(0, universe, 2000), [0, universe - 1, universe]])
+    held, place = EliasFano.build(values, universe), np.searchsorted(values, asked)
+    assert (held.access(np.arange(many)) == values).all() and (held.successor(asked) == place).all()
+    assert (held.find(asked) == np.where(np.isin(asked, values), place, -1)).all()
+
+
+def test_a_search_reads_low_bits_once_where_runs_are_single(monkeypatch):
+    values = np.arange(1000) * 64 + 5
+    held, reads, low = EliasFano.build(values, 64_000), [], EliasFano._low
+    assert held.bits >= 5
+    monkeypatch.setattr(EliasFano, "_low", lambda self, i: reads.append(len(i)) or low(self, i))
+    assert (held.find(values) == np.arange(1000)).all() and sum(reads) == 1000
