@@ -49,8 +49,8 @@ CANDIDATE = 4.5
 BLOCK_SETS = 4096
 #: Documents sampled for frequent shingles, the count from which they are, the longest list: they order postings, no result depends on them.
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 20, 100_000
-#: Texts that are hashed at once; sets and postings in a block of postings; sets of an entry. They bound memory, no result depends on them.
-TEXTS, BLOCK_ROWS, BLOCK_POSTINGS, ENTRY = 512, 4096, 1 << 19, 1024
+#: Texts that are hashed at once; sets and postings in a block of postings; sets of an entry. They bound memory and work, no result depends on them.
+TEXTS, BLOCK_ROWS, BLOCK_POSTINGS, ENTRY = 512, 4096, 1 << 19, 8
 
 
 def _shingle_hashes(text: bytes | None, n: int) -> np.ndarray:
