@@ -15,7 +15,8 @@ The byte-position index above, with its tally, joins all whose first 64 bits dif
 entry of what follows. For the rest, which no count of shared bytes can promise, entries meet in postings of shingles: sets that
 similar share a shingle among the first fifth of each in any one order (prefix filter; hash order, with shingles frequent in a sample
 last); an entry is posted once under each of its members' shingles, and there the bits of members are compared with a cut far above
-those expected. Postings move as blocks of numbers, dealt by shingle. The components of both steps' candidates are then split by the
+those expected; two entries meet where they begin to share postings, not under each that they share, and the links of a bucket are a forest,
+so they are fewer than its entries. Postings move as blocks of numbers, dealt by shingle. The components of both steps' candidates are then split by the
 exact similarity of their sets. A component of over BLOCK_SETS sets is cut into blocks, each pair of
 blocks is one task's, and what their links join are the parts; so a task holds two blocks at most, and no pair goes uncompared.
 
@@ -353,12 +354,13 @@ def _near(x: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count(x).sum(-1, dtype=np.int64) <= bits
 
 
-def _wide_run(prints: np.ndarray, bits: int, entry: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links of one long posting: a part grows from a seed against what is left. What is of one entry is joined already."""
-    out, rest, label = [], prints, np.arange(len(prints)) if entry is None else entry
+def _wide_run(prints: np.ndarray, bits: int, entry: np.ndarray | None = None, name: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of the links of one long posting: a part grows from a seed against what is left. What is of one entry is joined already.
+    Links are of names, by default the prints."""
+    out, rest, label, name = [], prints, np.arange(len(prints)) if entry is None else entry, prints if name is None else name
     while len(rest) > 1:
         own = label == label[0]
-        seed, front, rest, label, joined = rest[:1], rest[own], rest[~own], label[~own], []
+        seed, front, rest, label, name, joined = name[:1], rest[own], rest[~own], label[~own], name[~own], []
         while len(front) and len(rest):
             near, step = np.zeros(len(rest), bool), max(1, 300_000 // len(rest))
             for at in range(0, len(front), step):
@@ -367,19 +369,34 @@ def _wide_run(prints: np.ndarray, bits: int, entry: np.ndarray | None = None) ->
                     break
                 near[left] = _near(front[at : at + step, None] ^ rest[None, left], bits).any(0)
             near |= np.isin(label, label[near])
-            front, rest, label = rest[near], rest[~near], label[~near]
-            joined.append(front)
+            joined.append(name[near])
+            front, rest, label, name = rest[near], rest[~near], label[~near], name[~near]
         if joined and len(found := np.concatenate(joined)):
             out.append((found, np.repeat(seed, len(found), 0)))
     return out
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root): fewer links than members, which join what the links (a, b) join."""
+    nodes, of = np.unique(np.stack([a, b]), return_inverse=True)
+    (a, b), root, new = of.reshape(2, -1), None, np.arange(len(nodes))
+    while root is None or (new != root).any():
+        root, new = new, new.copy()
+        for x in (a, b):
+            np.minimum.at(new, root[x], np.minimum(root[a], root[b]))
+        while (new[new] != new).any():
+            new = new[new]
+    member = np.flatnonzero(new != np.arange(len(nodes)))
+    return nodes[member], nodes[new[member]]
+
+
 def _print_ids(prints: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), 42) for r in prints], np.uint64).view(np.int64)
 
 
 def posting_block(near: np.ndarray, prints: np.ndarray, sizes: np.ndarray, postings: np.ndarray, many: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """Sets side by side by `near`, with `sizes` postings each -> (bucket, postings, entries, data): each entry once under each posting, and the prints of its members."""
+    """Sets side by side by `near`, with `sizes` postings each -> (bucket, postings, entries, data): each entry once under each posting, with the
+    posting before among its own (the first: itself), its `near`, and the prints of its members."""
     new = np.ones(len(near), bool)
     new[1:] = near[1:] != near[:-1]
     new[::ENTRY] = True
@@ -387,55 +404,71 @@ def posting_block(near: np.ndarray, prints: np.ndarray, sizes: np.ndarray, posti
     members = np.diff(np.append(start, len(near)))
     entry = np.repeat(np.cumsum(new) - 1, sizes)
     order = np.argsort(postings, kind="stable")
+    order = order[np.argsort(entry[order].astype(np.uint16), kind="stable")]
     p, e = postings[order], entry[order]
-    once = np.ones(len(p), bool)
-    once[1:] = (p[1:] != p[:-1]) | (e[1:] != e[:-1])
-    p, e = p[once], e[once]
+    first = np.ones(len(p), bool)
+    first[1:] = e[1:] != e[:-1]
+    once = first.copy()
+    once[1:] |= p[1:] != p[:-1]
+    p, e, first = p[once], e[once], first[once]
+    before = np.where(first, p, np.roll(p, 1))
     for bucket, at in _dealt(p, many):
         used, local = np.unique(e[at], return_inverse=True)
         own = members[used]
         rows = np.repeat(start[used] - np.cumsum(own) + own, own) + np.arange(own.sum())
-        yield bucket, len(at), len(used), b"".join(x.tobytes() for x in (p[at], local.astype(np.uint16), own.astype(np.uint16), prints[rows]))
+        data = (p[at], before[at], local.astype(np.uint16), own.astype(np.uint16), near[start[used]].astype(np.int64), prints[rows])
+        yield bucket, len(at), len(used), b"".join(x.tobytes() for x in data)
 
 
 def bucket_links(blocks: list[tuple[int, int, bytes]], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): ids of prints that meet in a posting of these blocks (postings, entries, data) and differ in few bits."""
-    posting, of, size, prints, entries = [], [], [], [], 0
+    """(a, b): ids of prints that join what meets in a posting of these blocks (postings, entries, data) and differs in few bits; what has one
+    `near` is joined already. Entries that share a posting share the one before, too, or begin to share there: only there they
+    meet, so that a pair is not found again under all it shares."""
+    posting, before, of, size, label, prints, entries = [], [], [], [], [], [], 0
     for n, k, data in blocks:
         posting.append(np.frombuffer(data, np.uint64, n))
-        of.append(np.frombuffer(data, np.uint16, n, 8 * n).astype(np.int32) + entries)
-        size.append(np.frombuffer(data, np.uint16, k, 10 * n).astype(np.int32))
-        prints.append(np.frombuffer(data, np.uint64, -1, 10 * n + 2 * k).reshape(-1, WIDE))
+        before.append(np.frombuffer(data, np.uint64, n, 8 * n))
+        of.append(np.frombuffer(data, np.uint16, n, 16 * n).astype(np.int32) + entries)
+        size.append(np.frombuffer(data, np.uint16, k, 18 * n).astype(np.int32))
+        label.append(np.frombuffer(data, np.int64, k, 18 * n + 2 * k))
+        prints.append(np.frombuffer(data, np.uint64, -1, 18 * n + 10 * k).reshape(-1, WIDE))
         entries += k
-    posting, of, size, prints = (np.concatenate(x) for x in (posting, of, size, prints))
+    posting, before, of, size, label, prints = (np.concatenate(x) for x in (posting, before, of, size, label, prints))
     order = np.argsort(posting, kind="stable")
-    posting, of = posting[order], of[order]
+    posting, before, of = posting[order], before[order], of[order]
     shared = np.zeros(len(posting) + 1, bool)  # what is alone in its posting meets nothing
     shared[1:-1] = posting[1:] == posting[:-1]
     kept = shared[1:] | shared[:-1]
-    posting, of = posting[kept], of[kept]
+    posting, before, of = posting[kept], before[kept], of[kept]
     first, own = np.cumsum(size) - size, size[of]
     row = np.repeat(first[of] - np.cumsum(own) + own, own) + np.arange(own.sum())
-    posting, of = np.repeat(posting, own), np.repeat(of, own)
+    posting, before, near = np.repeat(posting, own), np.repeat(before, own), np.repeat(label[of], own)
     if not len(posting):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(posting)) + 1])
     sizes = np.diff(np.append(starts, len(posting)))
+    label = np.repeat(label, size)  # from here on of each print
     at, found, d = np.flatnonzero(np.repeat(sizes <= 32, sizes)), [np.empty(0, np.uint64)], 0
     while len(at):
         d += 1
         at = at[at + d < len(posting)]
         at = at[posting[at] == posting[at + d]]
-        pair = np.stack([row[at], row[at + d]])[:, of[at] != of[at + d]]
+        meet = (near[at] != near[at + d]) & ((before[at] != before[at + d]) | (before[at] == posting[at]))
+        pair = np.stack([row[at], row[at + d]])[:, meet]
         pair = np.unique(pair.min(0).astype(np.uint64) << np.uint64(32) | pair.max(0).astype(np.uint64))
         a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         found.append(pair[_near(prints[a] ^ prints[b], bits)])
     pair = np.unique(np.concatenate(found))
-    out = [(prints[(pair >> np.uint64(32)).astype(np.int64)], prints[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)])]
+    out = [(label[(pair >> np.uint64(32)).astype(np.int64)], label[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)])]
     for s, n in zip(starts[sizes > 32], sizes[sizes > 32]):
-        out += _wide_run(prints[row[s : s + n]], bits, of[s : s + n])
-    pair = np.unique(np.concatenate([np.concatenate(x) for x in zip(*out)], 1), axis=0)
-    return tuple(_print_ids(np.ascontiguousarray(pair[:, k : k + WIDE])) for k in (0, WIDE))
+        if before[s] == posting[s] or (before[s : s + n] != before[s]).any():  # else all meet in the posting before
+            out += _wide_run(prints[row[s : s + n]], bits, near[s : s + n], near[s : s + n])
+    a, b = _forest(*(np.concatenate(x) for x in zip(*out)))
+    rows = np.flatnonzero(np.isin(label, np.concatenate([a, b])))  # of each `near` the least print stands for it
+    rows = rows[np.lexsort((*prints[rows].T, label[rows]))]
+    names, at = np.unique(label[rows], return_index=True)
+    ids = _print_ids(prints[rows[at]])
+    return ids[np.searchsorted(names, a)], ids[np.searchsorted(names, b)]
 
 
 def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
@@ -469,7 +502,7 @@ def wide_links(distinct: DataFrame, bits: int) -> DataFrame:
 
     side = distinct.select("near", "id", *names, "prefix").repartitionByRange(many, "near", "id").sortWithinPartitions("near", "id").select("near", *names, "prefix")
     blocks = side.mapInArrow(pack, "bucket long, n int, entries int, data binary")
-    return blocks.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return blocks.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 class _Sets:

@@ -417,6 +417,39 @@ def test_blocks_of_postings_against_every_pair(many):
     assert len(blocks) == many and parts(found) == parts(want) and 60 < len(set(parts(want))) < len(set(near.tolist()))
 
 
+def test_links_of_blocks_do_not_multiply():
+    """A pair is found where it begins to share postings, not in every bucket; a group gives links fewer than its sets, not all pairs; one `near` gives none."""
+    rng = np.random.default_rng(9)
+    centre = rng.integers(0, 2**63, D.WIDE).astype(np.uint64)
+
+    def found(near, own):
+        prints = centre ^ np.arange(len(near), dtype=np.uint64)[:, None] * np.array([1, 0, 0, 0], np.uint64)
+        blocks = collections.defaultdict(list)
+        for bucket, *block in D.posting_block(np.array(near), prints, np.array([len(x) for x in own]), np.concatenate(own), 50):
+            blocks[bucket].append(block)
+        return [tuple(sorted(x)) for b in blocks.values() for x in zip(*map(np.ndarray.tolist, D.bucket_links(b, 8)))], D._print_ids(prints).tolist()
+
+    same = np.sort(rng.integers(0, 2**63, 80).astype(np.uint64))
+    links, ids = found([1, 2], [same, same])
+    assert links == [tuple(sorted(ids))]
+    links, ids = found([1, 2], [same, np.delete(same, 40)])  # two runs of shared postings
+    assert set(links) == {tuple(sorted(ids))} and len(links) == 2
+    for n in (30, 40):
+        links, ids = found(list(range(n)), [same] * n)
+        assert len(links) == n - 1 and {x for pair in links for x in pair} == set(ids)
+    assert found([5] * 20, [same] * 20)[0] == []
+
+
+def test_links_join_what_brute_force_joins():
+    rng = np.random.default_rng(10)
+    a, b = rng.integers(-(2**62), 2**62, 400)[rng.integers(0, 400, (2, 300))]
+    root = {int(x): int(x) for x in [*a, *b]}
+    for x, y in [*zip(a.tolist(), b.tolist())] * 400:
+        root[x] = root[y] = min(root[x], root[y])
+    member, top = D._forest(a, b)
+    assert dict(zip(member.tolist(), top.tolist())) == {x: r for x, r in root.items() if x != r}
+
+
 def test_frequent_shingles_are_counted_whole(spark):
     rows = [(k, f"a b c d e f own{k} x{k} y{k} z{k} v{k}") for k in range(30)]
     found = D.frequent_shingles(spark.createDataFrame(rows, "doc_id long, text string"), 5)
