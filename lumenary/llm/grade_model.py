@@ -174,8 +174,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grade
 
     rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
     one = rows.select("doc_id", "grade", ids(F.col("text").cast("binary")).alias("ids")).groupBy("doc_id", "grade").agg(F.min("ids").alias("ids"))
-    got = one.filter("ids IS NOT NULL").toPandas().sort_values("doc_id")
-    return GradeModel.fit([np.frombuffer(x, np.int32) for x in got["ids"]], got["grade"].tolist())
+    got = one.filter("ids IS NOT NULL").toArrow().sort_by("doc_id")  # in Arrow's blocks, so the driver's JVM holds no rows
+    return GradeModel.fit([np.frombuffer(x.as_buffer(), np.int32) for x in got["ids"]], got["grade"].to_pylist())
 
 
 def grade_documents(docs: DataFrame, model: GradeModel, keep: float = KEEP, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -52,6 +52,8 @@ BLOCK_SETS = 4096
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 20, 100_000
 #: Texts that are hashed at once; sets and postings in a block of postings; sets of an entry. They bound memory and work, no result depends on them.
 TEXTS, BLOCK_ROWS, BLOCK_POSTINGS, ENTRY = 512, 4096, 1 << 19, 8
+#: Links that a task joins at once.
+LINKS = 1 << 20
 
 
 def _shingle_hashes(text: bytes | None, n: int) -> np.ndarray:
@@ -238,11 +240,48 @@ def links(distinct: DataFrame, bits: int = BITS, long: int = LONG) -> DataFrame:
     return postings.repartition(many, "posting").sortWithinPartitions("posting", "fp").select("posting", "fp").mapInArrow(meet, "a long, b long")
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root): fewer links than members, which join what the links (a, b) join."""
+    nodes, of = np.unique(np.stack([a, b]), return_inverse=True)
+    (a, b), root, new = of.reshape(2, -1), None, np.arange(len(nodes))
+    while root is None or (new != root).any():
+        root, new = new, new.copy()
+        for x in (a, b):
+            np.minimum.at(new, root[x], np.minimum(root[a], root[b]))
+        while (new[new] != new).any():
+            new = new[new]
+    member = np.flatnonzero(new != np.arange(len(nodes)))
+    return nodes[member], nodes[new[member]]
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that join what these join: what each task reads, up to LINKS at once, becomes stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def stars():
+            a, b = _forest(*(np.concatenate(x) for x in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            n += batch.num_rows
+            if n >= LINKS:
+                yield stars()
+                held, n = [], 0
+        if n:
+            yield stars()
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b), root the smallest node of its component.
 
     Large star: each node's larger neighbours are tied to its smallest neighbour (or itself); small star:
-    likewise its smaller neighbours. Both steps keep components; they end in stars after O(log^2 n) rounds.
+    likewise its smaller neighbours. Both steps keep components; they end in stars after O(log^2 n) rounds,
+    of few where tasks join much beforehand: each round's plan takes memory of the driver, however few its edges.
     """
     spark = edges.sparkSession
 
@@ -267,7 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
         e.write.parquet(path)
         return path, spark.read.schema("a long, b long").parquet(path)
 
-    path, now = write(tidy(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
+    path, now = write(_contract(tidy(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))))
     was = state(now)
     while was[0]:
         new_path, new = write(small(large(now)))
@@ -376,20 +415,6 @@ def _wide_run(prints: np.ndarray, bits: int, entry: np.ndarray | None = None, na
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root): fewer links than members, which join what the links (a, b) join."""
-    nodes, of = np.unique(np.stack([a, b]), return_inverse=True)
-    (a, b), root, new = of.reshape(2, -1), None, np.arange(len(nodes))
-    while root is None or (new != root).any():
-        root, new = new, new.copy()
-        for x in (a, b):
-            np.minimum.at(new, root[x], np.minimum(root[a], root[b]))
-        while (new[new] != new).any():
-            new = new[new]
-    member = np.flatnonzero(new != np.arange(len(nodes)))
-    return nodes[member], nodes[new[member]]
-
-
 def _print_ids(prints: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), 42) for r in prints], np.uint64).view(np.int64)
 

@@ -252,6 +252,21 @@ def test_components_of_a_path(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 40])
+def test_components_take_few_rounds(spark, monkeypatch, at_once):
+    """Paths in any order: tasks join what they read, so that few tables are written, and the parts are the same however much they join at once."""
+    rng, paths, write = random.Random(3), [], D.shared_path
+    monkeypatch.setattr(D, "LINKS", at_once)
+    monkeypatch.setattr(D, "shared_path", lambda s, tag: paths.append(tag) or write(s, tag))
+    chains = [rng.sample(range(1000 * k, 1000 * k + 1000), 60) for k in range(-3, 4)]
+    edges = [(a, b) for c in chains for a, b in zip(c, c[1:])]
+    rng.shuffle(edges)
+    found = D.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in found} == {x: min(c) for c in chains for x in c} and len(found) == 420
+    assert at_once == 40 or len(paths) <= 3
+
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 1000, 65537])
 def test_feistel(n):
     net = S.Feistel(n)
